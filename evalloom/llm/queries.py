@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalloom.llm import skeleton, tensored
+from evalloom.llm import history, leakage, skeleton, tensored
 from evalloom.session import table
 
 
@@ -21,6 +21,28 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select(F.col("a").alias("problem_id_a"), F.col("b").alias("problem_id_b"))
 
 
+def _problem_rows(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "problems").select("seq", "session_id", _ident("problem_id").alias("problem_id"), "problem_text", "proposed_at")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return history.repeated_problems(_problem_rows(spark, d), k=3, threshold=0.5).filter("problem_id is not null")
+
+
+def p3_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return history.coverage(_problem_rows(spark, d))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    found = leakage.leaked_passages(table(spark, d, "documents"), table(spark, d, "eval_items"), window=10, edits=0)
+    return found.select("doc_id", "item_id")
+
+
+def p8_near(spark: SparkSession, d: str) -> DataFrame:
+    """Passages of twelve words with up to one word inserted, dropped or replaced."""
+    return leakage.leaked_passages(table(spark, d, "documents"), table(spark, d, "eval_items"), window=12, edits=1, recall=0.95)
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return skeleton.look_alike_pairs(table(spark, d, "documents"))
 
@@ -33,5 +55,5 @@ def p9_classes(spark: SparkSession, d: str) -> DataFrame:
     return skeleton.look_alike_classes(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p9_found, p9_canonical, p9_classes)}
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_coverage, p8_found, p8_near, p9_found, p9_canonical, p9_classes)}
 SQL: dict[str, str] = {}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalloom.operators.pairs import pairs_within
+from evalloom.session import materialize
 
 # Letters of other alphabets with the shape of a Latin letter, and that letter.
 LOOK_ALIKES = {
@@ -45,6 +47,23 @@ class _Table(dict):
 
 
 _TABLE = _Table()
+#: ASCII characters start a combining sequence and never change, so the runs between them can be taken one by one.
+_BEYOND_ASCII = re.compile(r"[^\x00-\x7f]+")
+
+
+class _Runs(dict):
+    def __missing__(self, run: str) -> str:
+        if len(self) > 200_000:
+            self.clear()
+        self[run] = new = unicodedata.normalize("NFD", unicodedata.normalize("NFKD", run).translate(_TABLE))
+        return new
+
+
+_RUNS = _Runs()
+
+
+def _run(match: re.Match) -> str:
+    return _RUNS[match[0]]
 
 
 def skeleton(text: str) -> str:
@@ -53,9 +72,7 @@ def skeleton(text: str) -> str:
     Characters that show nothing vanish and every kind of space becomes the plain one. Case, accents,
     digits against letters, and line breaks are visible, so they stay. Plain ASCII is its own skeleton.
     """
-    if text.isascii():
-        return text
-    return unicodedata.normalize("NFD", unicodedata.normalize("NFKD", text).translate(_TABLE))
+    return text if text.isascii() else _BEYOND_ASCII.sub(_run, text)
 
 
 def canonical(text: str | None) -> str | None:
@@ -104,7 +121,7 @@ def skeleton_hashes(docs: DataFrame, ident: str = "doc_id", text: str = "text")
 
 def look_alike_classes(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document that shares its skeleton with a different text: doc_id, class_id (the class's least doc_id), n_docs, n_texts."""
-    h = skeleton_hashes(docs, ident, text)
+    h = materialize(skeleton_hashes(docs, ident, text), "skeletons")
     per_text = h.groupBy("skeleton_hash", "text_hash").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
     per_class = per_text.groupBy("skeleton_hash").agg(F.min("first").alias("class_id"), F.sum("n").alias("n_docs"), F.count("*").alias("n_texts")).filter("n_texts > 1")
     return h.join(per_class, "skeleton_hash").select("doc_id", "class_id", "n_docs", "n_texts")
@@ -116,7 +133,7 @@ def look_alike_pairs(docs: DataFrame, ident: str = "doc_id", text: str = "text")
     Only hashes are shuffled, never texts. Skeletons with a single spelling are dropped by partial aggregates
     first, so groups of exact copies, however large, are never paired; what remains is paired in bounded cells.
     """
-    h = skeleton_hashes(docs, ident, text)
+    h = materialize(skeleton_hashes(docs, ident, text), "skeletons")
     mixed = h.groupBy("skeleton_hash").agg(F.min("text_hash").alias("lo"), F.max("text_hash").alias("hi")).filter("lo <> hi").select("skeleton_hash")
     p = pairs_within(h.join(mixed, "skeleton_hash"), "skeleton_hash", "doc_id", ("text_hash",))
     return p.filter("text_hash_a <> text_hash_b").select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
