@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalloom.llm import history, leakage, skeleton, tensored
+from evalloom.llm import defects, history, leakage, packing, skeleton, tensored
 from evalloom.session import table
 
 
@@ -33,6 +33,18 @@ def p3_coverage(spark: SparkSession, d: str) -> DataFrame:
     return history.coverage(_problem_rows(spark, d))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return defects.broken_pairs(table(spark, d, "training_pool"), "pool_record_id", "prompt", "response").withColumnRenamed("record_id", "pool_record_id")
+
+
+def p7_assignment(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(table(spark, d, "documents"), table(spark, d, "pack_budgets"))
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill(p7_assignment(spark, d), table(spark, d, "pack_budgets"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     found = leakage.leaked_passages(table(spark, d, "documents"), table(spark, d, "eval_items"), window=10, edits=0)
     return found.select("doc_id", "item_id")
@@ -55,5 +67,5 @@ def p9_classes(spark: SparkSession, d: str) -> DataFrame:
     return skeleton.look_alike_classes(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_coverage, p8_found, p8_near, p9_found, p9_canonical, p9_classes)}
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_coverage, p4_found, p7_assignment, p7_fill, p8_found, p8_near, p9_found, p9_canonical, p9_classes)}
 SQL: dict[str, str] = {}
