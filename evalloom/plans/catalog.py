@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from evalloom.plans import general
+from evalloom.plans import general, scalars
 
-_PARTS = (general,)
+_PARTS = (general, scalars)
 QUERIES = {k: v for part in _PARTS for k, v in part.QUERIES.items()}
 SQL = {k: v for part in _PARTS for k, v in part.SQL.items()}
