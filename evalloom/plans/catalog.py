@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from evalloom.plans import general, scalars
+from evalloom.plans import effects, general, scalars
 
-_PARTS = (general, scalars)
+_PARTS = (general, scalars, effects)
 QUERIES = {k: v for part in _PARTS for k, v in part.QUERIES.items()}
 SQL = {k: v for part in _PARTS for k, v in part.SQL.items()}
