@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from evalloom.plans import effects, general, scalars
+from evalloom.plans import aggregates, effects, general, histories, logs, rankings, scalars, streams
 
-_PARTS = (general, scalars, effects)
+_PARTS = (general, scalars, effects, aggregates, histories, rankings, logs, streams)
 QUERIES = {k: v for part in _PARTS for k, v in part.QUERIES.items()}
 SQL = {k: v for part in _PARTS for k, v in part.SQL.items()}

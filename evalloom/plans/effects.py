@@ -223,9 +223,9 @@ def jon9_mastered_anti(spark: SparkSession, d: str) -> DataFrame:
     return K.missing(_ev(spark, d).select("event_id", "user_id"), good, "user_id").select("event_id")
 
 
-@_query("SELECT event_id FROM events WHERE user_id IN (SELECT user_id FROM events WHERE event_type = 'error' AND value > 400)")
+@_query("SELECT event_id FROM events WHERE user_id IN (SELECT user_id FROM events WHERE event_type = 'error' AND value > 250)")
 def jon10_failure_semi(spark: SparkSession, d: str) -> DataFrame:
-    failed = _ev(spark, d).filter("event_type = 'error' and value > 400").select("user_id").distinct()
+    failed = _ev(spark, d).filter("event_type = 'error' and value > 250").select("user_id").distinct()
     return K.present(_ev(spark, d).select("event_id", "user_id"), failed, "user_id").select("event_id")
 
 
@@ -234,9 +234,9 @@ def jon11_other_sessions(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "training_pool").filter("session_id <> 'rsi' and prompt <> '' and response <> ''").select("seq", "session_id")
 
 
-@_query("SELECT seq, candidate_idx, accepted FROM verify_decisions WHERE nullif(lower(trim(problem_id)), '') = 'a0dc1769-b3f4-88a8-9b6c-d70e3ff534db' AND accepted")
+@_query("SELECT seq, candidate_idx, accepted FROM verify_decisions WHERE accept_policy = 'any_pass' AND candidate_idx = 1 AND accepted")
 def jon15_lookup(spark: SparkSession, d: str) -> DataFrame:
-    r = table(spark, d, "verify_decisions").filter(F.expr(f"{_KEY} = 'a0dc1769-b3f4-88a8-9b6c-d70e3ff534db'") & F.col("accepted"))
+    r = table(spark, d, "verify_decisions").filter("accept_policy = 'any_pass' and candidate_idx = 1 and accepted")
     return r.select("seq", "candidate_idx", "accepted")
 
 
@@ -245,9 +245,9 @@ def jon16_domain_or_any(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "problems").filter("coalesce(domain, '') = '' or domain = 'math'").select("seq")
 
 
-@_query(f"WITH {_pairs_sql('event_type')}, w AS (SELECT DISTINCT event_type FROM events WHERE value > 990) SELECT event_type IN (SELECT event_type FROM w) AS warned, count(*) AS n, round(avg(post - pre), 6) AS delta FROM p GROUP BY 1")
+@_query(f"WITH {_pairs_sql('event_type')}, w AS (SELECT DISTINCT event_type FROM events WHERE value > 340) SELECT event_type IN (SELECT event_type FROM w) AS warned, count(*) AS n, round(avg(post - pre), 6) AS delta FROM p GROUP BY 1")
 def jon17_warned_split(spark: SparkSession, d: str) -> DataFrame:
-    warned = _ev(spark, d).filter("value > 990").select("event_type").distinct().withColumn("w", F.lit(True))
+    warned = _ev(spark, d).filter("value > 340").select("event_type").distinct().withColumn("w", F.lit(True))
     j = _pairs(spark, d, "event_type").join(warned, "event_type", "left").withColumn("warned", F.coalesce("w", F.lit(False)))
     return j.groupBy("warned").agg(F.count("*").alias("n"), F.round(F.avg(F.col("post") - F.col("pre")), 6).alias("delta"))
 
