@@ -50,7 +50,7 @@ def drill_down(rows: DataFrame, domain: str, sub: str, correct: str, difficulty:
     return g.select(
         domain, sub, "n", "failures", low.alias("low"), high.alias("high"), p.alias("p_value"),
         F.when(n < least, raw * shrink + baseline * (1 - shrink)).otherwise(raw).alias("severity"),
-        F.coalesce("worst_difficulty", F.lit("mixed")).alias("worst_difficulty"), "wrong_confidence", "check_type",
+        F.coalesce(F.col("worst_difficulty").cast("string"), F.lit("mixed")).alias("worst_difficulty"), "wrong_confidence", "check_type",
         F.when(n >= least, p <= alpha).otherwise(raw >= 0.5).alias("flagged"),
     )
 

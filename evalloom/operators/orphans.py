@@ -74,8 +74,8 @@ def orphans(refs: DataFrame, parents: DataFrame, n_parents: int | None = None) -
     references are probed. A range with many references, such as that of a hot key, is spread over as many tasks as it
     needs, each with the range's parents.
     """
-    p = parents.filter("key is not null").withColumn("h", F.xxhash64("target", "key"))
-    r = refs.filter("key is not null").withColumn("h", F.xxhash64("target", "key"))
+    p = parents.filter("key is not null").select("key", "first", "gone", F.xxhash64("target", "key").alias("h"))
+    r = refs.filter("key is not null").select("src_table", "ref_field", "src_seq", "key", "t", F.xxhash64("target", "key").alias("h"))
     n = p.count() if n_parents is None else n_parents
     bits = max(0, math.ceil(math.log2(max(1, n) / PARENTS)))
     part = F.pmod(F.shiftrightunsigned("h", 64 - bits), F.lit(1 << bits)).cast("int") if bits else F.lit(0)

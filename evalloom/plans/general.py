@@ -81,7 +81,7 @@ def p5_table(spark: SparkSession, d: str) -> DataFrame:
     common = schema.join(files, "table_name").filter("n_files >= 0.5 * all_files").groupBy("field_path").agg(F.min("field_type").alias("lo"), F.max("field_type").alias("hi"))
     # field names, not rows: as many as a schema has columns
     cols = [(r["field_path"], r["lo"] if r["lo"] == r["hi"] else "string") for r in common.orderBy("field_path").collect()]
-    return drift.unified(logs, cols, SNAPSHOTS, LEFT_OUT)
+    return drift.unified(logs, cols, SNAPSHOTS, LEFT_OUT).withColumn("fields", F.to_json("fields"))
 
 
 def _references(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

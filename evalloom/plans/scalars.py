@@ -131,10 +131,10 @@ _add(
     lambda df: F.exists(F.split("training_sample_payload", "\n"), lambda s: F.get_json_object(s, "$.prompt").isNotNull() & F.get_json_object(s, "$.response").isNotNull()),
 )
 _add("prj40_difficulty_bucket", "problems", "seq", lambda df: T.difficulty_bucket(c("declared_difficulty") * 10), "CASE WHEN declared_difficulty * 10 <= 2 THEN 'easy' WHEN declared_difficulty * 10 <= 5 THEN 'medium' WHEN declared_difficulty * 10 <= 8 THEN 'hard' WHEN declared_difficulty IS NOT NULL THEN 'expert' END AS value")
-_CHECK = F.when(c("domain") == "math", "math_equiv").when(c("domain") == "code", "code_executes").otherwise("contains")
+_check = lambda: F.when(c("domain") == "math", "math_equiv").when(c("domain") == "code", "code_executes").otherwise("contains")
 _add(
     "prj41_answer_type", "problems", "seq",
-    lambda df: {"answer_type": T.answer_type(_CHECK), "tags": F.array_join(T.invariant_tags(F.coalesce("domain", F.lit("")), _CHECK), ",")},
+    lambda df: {"answer_type": T.answer_type(_check()), "tags": F.array_join(T.invariant_tags(F.coalesce("domain", F.lit("")), _check()), ",")},
     """CASE domain WHEN 'math' THEN 'symbolic' WHEN 'code' THEN 'code' ELSE 'enum' END AS answer_type,
     CASE domain WHEN 'math' THEN 'deterministic,has_unique_answer,requires_calculation' WHEN 'code' THEN 'deterministic,has_unique_answer,requires_execution' WHEN 'logic' THEN 'requires_logical_deduction' WHEN 'reasoning' THEN 'requires_logical_deduction' ELSE '' END AS tags""",
 )
@@ -150,10 +150,10 @@ _add(
         ), ","),
     "array_to_string(list_filter([CASE WHEN coalesce(record_id, '') = '' THEN 'record_id' END, CASE WHEN coalesce(problem_id, '') = '' THEN 'problem_id' END, CASE WHEN coalesce(candidate_id, '') = '' THEN 'candidate_id' END, CASE WHEN NOT coalesce(created_at > 0, false) THEN 'created_at' END, CASE WHEN pass_count + fail_count + error_count <> quorum_n THEN 'counts' END, CASE WHEN strlen(quorum_reason) > 4096 THEN 'quorum_reason' END], lambda x: x IS NOT NULL), ',') AS value",
 )
-_CLS = F.transform(F.coalesce("per_property_verdicts", F.array()), lambda v: v["independence_class"])
+_cls = lambda: F.transform(F.coalesce("per_property_verdicts", F.array()), lambda v: v["independence_class"])
 _add(
     "prj44_class_coverage", "verifications", "seq",
-    lambda df: {"reaches": T.reaches(_CLS), "covers": T.covers(_CLS)},
+    lambda df: {"reaches": T.reaches(_cls()), "covers": T.covers(_cls())},
     f"coalesce(list_has_any(list_transform(per_property_verdicts, lambda v: v.independence_class), {_list(T.REACHING)}), false) AS reaches, coalesce(len(list_distinct(list_filter(list_transform(per_property_verdicts, lambda v: v.independence_class), lambda k: list_contains({_list(T.CLASSES)}, k)))) >= 3, false) AS covers",
 )
 _add("prj45_warning", "verify_decisions", "seq", lambda df: T.has_warning(c("verdict_warnings")), "coalesce(len(list_filter(verdict_warnings, lambda w: contains(w, 'any_fail'))) > 0, false) AS value")
