@@ -283,10 +283,13 @@ def _code_cut(code: str) -> bool:
     last = t.split("\n")[-1]
     if not _CODE.search(t):
         return bool(re.search(r"[=+\-*/%<>,(\[{&|]\s*$|[:]\s*$", last))
-    if _CODE_END.match(last):
-        return bool(re.search(r"(?:[=+\-*/%<>,&|.:]|\b(?:and|or|not|in|is|if|else|lambda|for))\s*$", last)) or last.strip() in ("raise",)
-    # a body may end with another statement only if the function returns nothing at all and the statement is whole
-    return True
+    if not _CODE_END.match(last) or last.strip() in ("return", "raise", "yield"):
+        return True  # a function stops before its end
+    if re.search(r"(?:[=+\-*/%<>,&|.:]|\b(?:and|or|not|in|is|if|else|lambda|for))\s*$", last):
+        return True
+    # a name at the very end that the code never sets is a name, or a call, cut short
+    name = re.search(r"(?<![\w.'\"])([A-Za-z_]\w*)$", last)
+    return bool(name) and name[1] not in ("None", "True", "False", "pass") and len(re.findall(rf"\b{name[1]}\b", t)) == 1
 
 
 def is_truncated(text: str | None) -> bool:
@@ -332,8 +335,9 @@ def is_truncated(text: str | None) -> bool:
 def _prose_cut(t: str) -> bool:
     """Prose that ends inside a construct, a list item, or a sentence."""
     last = t.split("\n")[-1].strip()
-    if re.fullmatch(r"[*_#>\s]*[-+]?[\d.,/%$\\{}\w^]+[*_]*", last) and len(t.split()) <= 3:
-        return False  # a bare value
+    whole = len(t.split()) <= 3
+    if re.fullmatch(r"[*_#>\s]*[-+]?[\d.,/%$\\{}\w^]+[*_]*" if whole else r"[-+]?\d[\d.,/%]*", last):
+        return False  # a bare value, alone or in a line of its own
     if [x for x in parse_open(t, False) if x != "<p>"]:
         return True
     if re.fullmatch(r"(?:[-*+•]|\d+[.)])\s*", last):

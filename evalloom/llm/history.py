@@ -85,7 +85,7 @@ class HistoryIndex:
             new.write.mode("append").format("parquet").bucketBy(self.buckets, "hash").sortBy("hash").saveAsTable(t)
 
 
-def repeated_problems(rows: DataFrame, k: int = 5, threshold: float = 0.8, m: int = 16) -> DataFrame:
+def repeated_problems(rows: DataFrame, k: int = 5, threshold: float = 0.8, m: int = 20) -> DataFrame:
     """session_id, problem_id: rows whose text repeats, or nearly repeats, one accepted in an earlier batch; distinct.
 
     rows: session_id, problem_id, problem_text, proposed_at. Of the rows with one set of shingles only those of its first

@@ -206,7 +206,7 @@ def similar_classes(sigs: DataFrame, threshold: float, m: int, shared: int = 2)
     return verified(candidates(sigs, m, shared), sigs, threshold)
 
 
-def similar_owners(rows: DataFrame, owner: str, text: str, k: int = 5, threshold: float = 0.8, m: int = 16) -> DataFrame:
+def similar_owners(rows: DataFrame, owner: str, text: str, k: int = 5, threshold: float = 0.8, m: int = 20) -> DataFrame:
     """a < b: owners (strings) with texts of similarity ``threshold`` on runs of ``k`` words.
 
     Owners that hold the same set of shingles pair with each other, as do owners of similar sets.
