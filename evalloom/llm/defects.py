@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,6 +25,8 @@ PLACEHOLDERS = {"n/a", "na", "none", "null", "nil", "nan", "tbd", "todo", "undef
 _THOUGHT = re.compile(r"<think\b[^>]*>.*?</think\s*>", re.S | re.I)
 _TAG = re.compile(r"</?[a-z][a-z0-9]*\b[^<>]*/?>", re.I)
 _FENCE = re.compile(r"^[ \t]*(`{3,}|~{3,})[ \t]*([\w+.-]*)[ \t]*$", re.M)
+# all format characters, found by rule
+_FORMAT = re.compile("[" + re.escape("".join(chr(c) for c in (*range(0x20000), *range(0xE0000, 0xE0200)) if unicodedata.category(chr(c)) == "Cf")) + "]+")
 _CODE = re.compile(r"^[ \t]*(?:async[ \t]+)?(?:def|class)[ \t]+\w+", re.M)
 
 
@@ -32,9 +35,7 @@ def visible(text: str | None) -> str:
     if not text:
         return ""
     t = _THOUGHT.sub("", text)
-    if not t.isascii():
-        t = "".join(c for c in t if unicodedata.category(c) != "Cf")
-    return t.strip()
+    return (t if t.isascii() else _FORMAT.sub("", t)).strip()
 
 
 def is_empty(text: str | None) -> bool:
@@ -89,15 +90,24 @@ def is_refusal(text: str | None) -> bool:
 # -- copies -----------------------------------------------------------------------------------------------------
 
 
-def tiled(pattern: list[str], text: list[str], least: int = 5) -> list[bool]:
+#: Words of a run that counts as copied.
+LEAST = 5
+
+
+def _places(pattern: list[str], least: int) -> dict[tuple[str, ...], list[int]]:
+    places: dict[tuple[str, ...], list[int]] = {}
+    for i in range(len(pattern) - least + 1):
+        places.setdefault(tuple(pattern[i : i + least]), []).append(i)
+    return places
+
+
+def tiled(pattern: list[str], text: list[str], least: int = LEAST, places: dict[tuple[str, ...], list[int]] | None = None) -> list[bool]:
     """Which words of ``text`` greedy string tiling covers with runs of ``pattern``, the longest first, none shorter than ``least``.
 
     A run of the pattern may be used again once all of its copies are spent, so a repeated copy is covered whole.
     """
     covered = [False] * len(text)
-    places: dict[tuple[str, ...], list[int]] = {}
-    for i in range(len(pattern) - least + 1):
-        places.setdefault(tuple(pattern[i : i + least]), []).append(i)
+    places = _places(pattern, least) if places is None else places
     matches = []
     j = 0
     while j <= len(text) - least:
@@ -119,10 +129,11 @@ def tiled(pattern: list[str], text: list[str], least: int = 5) -> list[bool]:
 def is_copy(prompt: str, response: str | None) -> bool:
     """Nearly all words lie in tiles of the prompt, and no part that stands by itself adds anything."""
     t = visible(response)
-    pattern, text = words(prompt), words(t)
+    text = words(t)
+    pattern, places = _pattern(prompt)
     if len(text) < 5 or len(pattern) < 5:
         return bool(text) and text == pattern
-    covered = tiled(pattern, text)
+    covered = tiled(pattern, text, LEAST, places)
     if sum(covered) < 0.75 * len(text):
         return False
     # an answer after the copy: the last paragraph, or line, has words of its own for the most part
@@ -147,7 +158,9 @@ FUNCTION_WORDS = {
     "fr": "le la les des de du et est une un que en dans pour par avec on sur au aux se ne pas plus chaque selon sans jusqu tant toutes tous".split(),
     "pt": "o os de que e em um uma da dos das por com para se na não como cada até sem mais todos todas enquanto antes é à ao".split(),
 }
-_SETS = {k: frozenset(v) for k, v in FUNCTION_WORDS.items()}
+_LANGUAGES = {w: tuple(k for k, v in FUNCTION_WORDS.items() if w in v) for v in FUNCTION_WORDS.values() for w in v}
+_DOZEN_LETTERS = re.compile(r"(?:[^\W\d_][\W\d_]*){12}")
+_BEYOND_LATIN = re.compile("[\u0250-\U0010ffff]")
 _FENCED = re.compile(r"(`{3,}|~{3,}).*?(?:\1|\Z)", re.S)
 
 
@@ -170,9 +183,11 @@ def prose(text: str) -> str:
 
 def _script(text: str) -> str | None:
     """The name of the script that most letters beyond Latin have, if they are a good part of all; "" for Latin, null for too few letters."""
-    letters = [c for c in text if c.isalpha()]
-    if len(letters) < 12:
+    if not _DOZEN_LETTERS.search(text):
         return None
+    if not _BEYOND_LATIN.search(text):
+        return ""
+    letters = [c for c in text if c.isalpha()]
     beyond = [c for c in letters if ord(c) > 0x24F]
     if len(beyond) <= 0.4 * len(letters):
         return ""
@@ -184,8 +199,11 @@ def _script(text: str) -> str | None:
 
 
 def _scores(text: str) -> dict[str, int]:
-    found = words(text)
-    return {k: sum(w in s for w in found) for k, s in _SETS.items()}
+    scores = dict.fromkeys(FUNCTION_WORDS, 0)
+    for w in words(text):
+        for k in _LANGUAGES.get(w, ()):
+            scores[k] += 1
+    return scores
 
 
 def language(text: str) -> str | None:
@@ -201,13 +219,24 @@ def language(text: str) -> str | None:
     return best if scores[best] >= 2 and scores[best] > rest else None
 
 
+@lru_cache(maxsize=4096)  # prompts come several times
+def _asked(prompt: str) -> str | None:
+    return language(prose(prompt))
+
+
+@lru_cache(maxsize=4096)
+def _pattern(prompt: str) -> tuple[list[str], dict[tuple[str, ...], list[int]]]:
+    w = words(prompt)
+    return w, _places(w, LEAST)
+
+
 def in_other_language(prompt: str, response: str) -> bool:
     """The prose of the response clearly belongs to another language than the prompt's."""
-    asked, text = language(prose(prompt)), prose(visible(response))
+    asked, text = _asked(prompt), prose(visible(response))
     script = _script(text)
     if asked is None or script is None:
         return False
-    if script or asked not in _SETS:
+    if script or asked not in FUNCTION_WORDS:
         return language(text) not in (asked, None)
     scores = _scores(text)
     best = max(scores, key=scores.get)
