@@ -100,7 +100,7 @@ def repeated_problems(rows: DataFrame, k: int = 5, threshold: float = 0.8, m: in
     held = r.filter("text is not null").select("session_id", "problem_id", "owner").distinct().join(members, "owner").join(order, "session_id")
     held = materialize(held.select("session_id", "problem_id", "class_id", "turn"), "held")
     first = held.groupBy("class_id").agg(F.min("turn").alias("first"))
-    links = tensored.similar_classes(sigs, threshold, m).select("a", "b")
+    links = tensored.similar_classes(sigs, threshold).select("a", "b")
     side = lambda c: first.select(F.col("class_id").alias(c), F.col("first").alias(f"first_{c}"))
     links = links.join(side("a"), "a").join(side("b"), "b").filter("first_a <> first_b")
     earlier = F.col("first_a") < F.col("first_b")

@@ -83,7 +83,7 @@ def test_share_of_met_tables_follows_the_formula():
         _, a, b = X.sign([" ".join(shared + one), " ".join(shared + two)], 1, m)
         met += bool((a[0] == a[1]).any() and (b[0] == b[1]).any())
     s = 60 / 100
-    assert met / n == pytest.approx((1 - (1 - s * s) ** m) ** 2, abs=0.06)
+    assert met / n == pytest.approx((1 - (1 - s * s) ** m) * (1 - (1 - s * s) ** X.N), abs=0.06)
 
 
 def test_shingle_sets_of_a_batch_do_not_run_into_each_other():
