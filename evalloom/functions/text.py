@@ -45,6 +45,11 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with the value computed once however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(x: Column | str) -> Column:
     """Without leading and trailing blanks of any kind."""
     return F.btrim(_c(x), F.lit(BLANK))
@@ -252,22 +257,22 @@ def plain_text(x: Column) -> Column:
 
 def modal_share(x: Column) -> Column:
     """The share of the most frequent token; 0 for fewer than five tokens. Runs over the sorted tokens once."""
-    t = F.array_sort(tokens(x))
     zero = F.struct(F.lit("").alias("at"), F.lit(0).alias("run"), F.lit(0).alias("best"))
 
     def step(acc: Column, w: Column) -> Column:
         run = F.when(acc["at"] == w, acc["run"] + 1).otherwise(1)
         return F.struct(w.alias("at"), run.alias("run"), F.greatest(acc["best"], run).alias("best"))
 
-    best = F.aggregate(t, zero, step)["best"]
-    return F.when(F.size(t) >= 5, best / F.size(t)).otherwise(0.0)
+    return let(F.array_sort(tokens(x)), lambda t: F.when(F.size(t) >= 5, F.aggregate(t, zero, step)["best"] / F.size(t)).otherwise(0.0))
 
 
 def is_gibberish(x: Column) -> Column:
     """Shorter than ten characters, hardly any letters and digits, or one token over and over. Null counts."""
-    s = strip(x)
-    signal = F.length(F.regexp_replace(s, r"[^\p{L}\p{Nd}]", ""))
-    return F.coalesce((F.length(s) < 10) | ((F.length(s) > 20) & (signal / F.greatest(F.length(s), F.lit(1)) < 0.3)) | (modal_share(s) > 0.6), F.lit(True))
+    def judge(s: Column) -> Column:
+        signal = F.length(F.regexp_replace(s, r"[^\p{L}\p{Nd}]", ""))
+        return (F.length(s) < 10) | ((F.length(s) > 20) & (signal / F.greatest(F.length(s), F.lit(1)) < 0.3)) | (modal_share(s) > 0.6)
+
+    return F.coalesce(let(strip(x), judge), F.lit(True))
 
 
 def is_refusal(x: Column) -> Column:
@@ -313,11 +318,12 @@ def occurrences(x: Column, phrase: str) -> Column:
 
 def hedge_confidence(x: Column) -> Column:
     """0.5, raised by assertions and lowered by hedges per hundred words, within 0 and 1; 0 for an empty text."""
-    r = F.lower(x)
-    total = lambda phrases: reduce(lambda a, b: a + b, [occurrences(r, p) for p in phrases])
-    words = F.greatest(F.size(F.filter(F.split(r, r"\s+"), lambda w: w != "")), F.lit(1))
-    score = 0.5 + 0.1 * (total(ASSERTIONS) / words * 100) - 0.15 * (total(HEDGES) / words * 100)
-    return F.when(F.coalesce(x, F.lit("")) == "", 0.0).otherwise(clamp(score))
+    def score(r: Column) -> Column:
+        total = lambda phrases: reduce(lambda a, b: a + b, [occurrences(r, p) for p in phrases])
+        words = F.greatest(F.size(F.filter(F.split(r, r"\s+"), lambda w: w != "")), F.lit(1))
+        return 0.5 + 0.1 * (total(ASSERTIONS) / words * 100) - 0.15 * (total(HEDGES) / words * 100)
+
+    return F.when(F.coalesce(x, F.lit("")) == "", 0.0).otherwise(clamp(let(F.lower(x), score)))
 
 
 def confidence_mark(x: Column) -> Column:
