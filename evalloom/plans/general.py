@@ -133,5 +133,31 @@ k AS (
 P6_REPORT = P6_FOUND + "SELECT src_table, ref_field, orphan_kind, strftime(make_timestamp(CAST(floor(secs) AS BIGINT) * 1000000), '%Y-%m') AS ref_month, count(*) AS n FROM k WHERE orphan_kind IS NOT NULL GROUP BY 1, 2, 3, 4"
 P6_FOUND += "SELECT src_table, ref_field, src_seq, orphan_kind, strftime(make_timestamp(CAST(floor(secs) AS BIGINT) * 1000000), '%Y-%m') AS ref_month FROM k WHERE orphan_kind IS NOT NULL"
 
+_ELEMENTS = "CASE json_type({0}) WHEN 'ARRAY' THEN json_extract({0}, '$[*]') WHEN 'OBJECT' THEN [{0}] ELSE [] END"
+
+
+def _children(source: str, array: str) -> str:
+    """(the source's columns), i, e: the objects of a JSON array, or of an object in its place."""
+    return f"SELECT * FROM (SELECT *, l[i + 1] AS e FROM (SELECT *, unnest(range(0, len(l))) AS i FROM (SELECT *, {_ELEMENTS.format(array)} AS l FROM {source}))) WHERE json_type(e) = 'OBJECT'"
+
+
+P2_FOUND = f"""
+WITH c AS (SELECT seq, CASE json_type(body, '$.config_snapshot') WHEN 'VARCHAR' THEN CAST(json_extract_string(body, '$.config_snapshot') AS JSON) ELSE json_extract(body, '$.config_snapshot') END AS c FROM decision_records WHERE json_valid(body)),
+f AS (SELECT seq, coalesce(json_extract(c, '$.model.model_path'), json_extract(c, '$."model.model_path"')) AS path, coalesce(json_extract(c, '$.model.adapters'), json_extract(c, '$."model.adapters"')) AS adapters,
+  coalesce(json_extract(c, '$.verifier.backends'), json_extract(c, '$."verifier.backends"')) AS backends FROM c),
+a AS (SELECT seq, CAST(i AS VARCHAR) AS pos, e AS a FROM ({_children("f", "adapters")})),
+m AS (SELECT seq, pos || '.' || i AS pos, e AS m FROM ({_children("(SELECT seq, pos, json_extract(a, '$.merges') AS x FROM a)", "x")})),
+b AS (SELECT seq, CAST(i AS VARCHAR) AS pos, e AS b FROM ({_children("f", "backends")})),
+k AS (SELECT seq, pos || '.' || i AS pos, e AS k FROM ({_children("(SELECT seq, pos, json_extract(b, '$.checks') AS x FROM b)", "x")})),
+r AS (
+  SELECT 'per_backend' AS child_table, parent_seq, CAST(place AS VARCHAR) AS pos, backend || '/' || verdict AS label FROM ({P2_BACKENDS})
+  UNION ALL SELECT 'model', seq, '', json_extract_string(path, '$') FROM f WHERE json_type(path) = 'VARCHAR'
+  UNION ALL SELECT 'adapters', seq, pos, json_extract_string(a, '$.adapter_id') FROM a
+  UNION ALL SELECT 'merges', seq, pos, json_extract_string(m, '$.merge_id') FROM m
+  UNION ALL SELECT 'backends', seq, pos, json_extract_string(b, '$.backend') FROM b
+  UNION ALL SELECT 'checks', seq, pos, coalesce(json_extract_string(k, '$.check'), '') || '/' || coalesce(json_extract_string(k, '$.verdict'), '') FROM k)
+SELECT child_table, parent_seq, pos, label FROM r WHERE label IS NOT NULL
+"""
+
 QUERIES = {f.__name__: f for f in (p2_found, p2_backends, p5_found, p5_schema, p5_table, p6_found, p6_report)}
-SQL = {"p2_backends": P2_BACKENDS, "p6_found": P6_FOUND, "p6_report": P6_REPORT}
+SQL = {"p2_found": P2_FOUND, "p2_backends": P2_BACKENDS, "p6_found": P6_FOUND, "p6_report": P6_REPORT}
