@@ -68,4 +68,74 @@ def p9_classes(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_coverage, p4_found, p7_assignment, p7_fill, p8_found, p8_near, p9_found, p9_canonical, p9_classes)}
-SQL: dict[str, str] = {}
+P1_FOUND = r"""
+WITH t AS (
+  SELECT DISTINCT nullif(lower(trim(problem_id)), '') AS id, problem_text AS text FROM problems WHERE problem_text IS NOT NULL
+  UNION SELECT DISTINCT nullif(lower(trim(problem_id)), ''), prompt FROM training_pool WHERE prompt IS NOT NULL),
+w AS (SELECT text, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM (SELECT DISTINCT text FROM t WHERE id IS NOT NULL)),
+s AS (SELECT DISTINCT text, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT text, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 3)),
+n AS (SELECT text, count(*) AS n FROM s GROUP BY text),
+c AS (SELECT a.text AS x, b.text AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.text <= b.text GROUP BY 1, 2),
+m AS (SELECT x, y FROM c JOIN n a ON a.text = x JOIN n b ON b.text = y WHERE 2 * k >= a.n + b.n - k)
+SELECT DISTINCT least(a.id, b.id) AS problem_id_a, greatest(a.id, b.id) AS problem_id_b FROM m JOIN t a ON a.text = x JOIN t b ON b.text = y WHERE a.id <> b.id
+"""
+
+_N = r"trim(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+P3_COVERAGE = rf"""
+WITH o AS (SELECT session_id, {{'b': coalesce(min(proposed_at), 'infinity'::DOUBLE), 's': session_id}} AS turn FROM problems WHERE session_id IS NOT NULL GROUP BY session_id),
+r AS (SELECT seq, p.session_id AS session_id, nullif(lower(trim(problem_id)), '') AS problem_id, problem_text, turn, {_N.format("problem_text")} AS whole FROM problems p JOIN o ON p.session_id = o.session_id WHERE problem_text IS NOT NULL),
+f AS (SELECT whole, min(turn) AS first FROM r GROUP BY whole),
+g AS (SELECT seq, turn, {_N.format("p")} AS para FROM (SELECT seq, turn, unnest(regexp_split_to_array(problem_text, '[.!?\n]+')) AS p FROM r)),
+h AS (SELECT para, min(turn) AS first FROM g GROUP BY para),
+q AS (SELECT seq, sum(len(string_split(g.para, ' ')))::BIGINT AS n_words, sum(CASE WHEN h.first < g.turn THEN len(string_split(g.para, ' ')) ELSE 0 END)::BIGINT AS seen_words FROM g JOIN h ON g.para = h.para WHERE g.para <> '' GROUP BY seq)
+SELECT r.session_id AS session_id, r.problem_id AS problem_id, r.seq AS seq, f.first < r.turn AS full_copy, n_words, seen_words FROM r JOIN q ON r.seq = q.seq JOIN f ON r.whole = f.whole
+"""
+
+
+
+def _look_sql(text: str) -> str:
+    """The canonical form in SQL, for characters up to U+FFFF whose compatibility form is one character."""
+    import unicodedata
+
+    plain, new, gone = [], [], []
+    for code in (*range(0x80, 0xD800), *range(0xE000, 0x10000)):
+        ch = chr(code)
+        own = skeleton.skeleton(ch)
+        if not own:
+            gone.append(ch)
+        elif own != unicodedata.normalize("NFD", ch):
+            base = unicodedata.normalize("NFC", own)
+            if len(base) == 1 and len(unicodedata.normalize("NFD", ch)) == 1:
+                plain.append(ch)
+                new.append(base)
+    for ch in [c for c in map(chr, range(0xC0, 0x530)) if len(d := unicodedata.normalize("NFD", c)) > 1 and d[0] in plain]:
+        text = f"replace({text}, '{ch}', '{unicodedata.normalize('NFD', ch)}')"
+    quote = lambda cs: "'" + "".join(cs).replace("'", "''") + "'"
+    return f"nfc_normalize(translate({text}, {quote(plain + gone)}, {quote(new)}))"
+
+
+_LOOK = _look_sql("text")
+P9_FOUND = f"""
+WITH k AS (SELECT doc_id, text, {_LOOK} AS s FROM documents WHERE text <> '')
+SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM k a JOIN k b ON a.s = b.s AND a.doc_id < b.doc_id AND a.text <> b.text WHERE a.s <> ''
+"""
+P9_CANONICAL = f"SELECT doc_id, {_LOOK} AS text, {_LOOK} <> text AS changed FROM documents"
+P9_CLASSES = f"""
+WITH k AS (SELECT doc_id, text, {_LOOK} AS s FROM documents WHERE text <> ''),
+c AS (SELECT s, min(doc_id) AS class_id, count(*) AS n_docs, count(DISTINCT text) AS n_texts FROM k WHERE s <> '' GROUP BY s HAVING count(DISTINCT text) > 1)
+SELECT doc_id, class_id, n_docs, n_texts FROM k JOIN c ON k.s = c.s
+"""
+
+
+def _windows_sql(source: str, ident: str) -> str:
+    w = f"SELECT {ident}, regexp_extract_all(lower({_LOOK}), '[\\p{{L}}\\p{{N}}]+') AS w FROM {source} WHERE text IS NOT NULL"
+    return f"SELECT DISTINCT {ident}, array_to_string(w[i:i + 9], ' ') AS g FROM (SELECT {ident}, w, unnest(range(1, len(w) - 8)) AS i FROM ({w}) WHERE len(w) >= 10)"
+
+
+P8_FOUND = f"""
+WITH d AS ({_windows_sql("documents", "doc_id")}),
+i AS ({_windows_sql("(SELECT item_id, prompt AS text FROM eval_items UNION ALL SELECT item_id, answer FROM eval_items)", "item_id")})
+SELECT DISTINCT doc_id, item_id FROM d JOIN i ON d.g = i.g
+"""
+
+SQL = {"p1_found": P1_FOUND, "p3_coverage": P3_COVERAGE, "p8_found": P8_FOUND, "p9_found": P9_FOUND, "p9_canonical": P9_CANONICAL, "p9_classes": P9_CLASSES}
