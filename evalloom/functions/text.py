@@ -55,6 +55,11 @@ def strip(x: Column | str) -> Column:
     return F.btrim(_c(x), F.lit(BLANK))
 
 
+def key(x: Column | str) -> Column:
+    """A key as it is compared everywhere: stripped and lower-cased, null where blank."""
+    return F.nullif(F.lower(strip(x)), F.lit(""))
+
+
 def truthy(x: Column | str) -> Column:
     """The text, or null where it is empty."""
     return F.nullif(_c(x), F.lit(""))

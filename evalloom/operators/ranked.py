@@ -58,20 +58,28 @@ def rebalanced(df: DataFrame, domain: str, sub: str, severity: str, seq: str, do
     return capped(capped(df, domain, domain_share), sub, sub_share)
 
 
+def prefix_pairs(sets: DataFrame, ident: str, tokens: str, threshold: float) -> DataFrame:
+    """a < b: ids whose sets may have the Jaccard similarity ``threshold``; every pair that has it is among them.
+
+    Only the rarest tokens of a set are matched, as many as every partner must share one of, so common tokens pair nobody; sets of
+    too different sizes are passed over. sets: one row per id, distinct tokens. Empty sets pair with nothing.
+    """
+    words = sets.select(F.col(ident).alias("id"), F.explode(tokens).alias("w"))
+    df = words.groupBy("w").agg(F.count("*").alias("df"))
+    order = words.join(df, "w").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("o"))
+    n = F.size("o")
+    prefix = order.select("id", n.alias("n"), F.explode(F.slice("o", 1, n - F.ceil(n * threshold).cast("int") + 1)).alias("x")).filter("x.df > 1").select("id", "n", F.col("x.w").alias("w"))
+    return pairs_within(prefix, "w", "id", ("n",)).filter(f"n_a >= n_b * {threshold} and n_b >= n_a * {threshold}").select("a", "b").distinct()
+
+
 def near_pairs(sets: DataFrame, ident: str, tokens: str, threshold: float) -> DataFrame:
     """a < b, similarity: all pairs of token sets at or above the threshold, exactly, by prefix filtering.
 
-    Only the rarest tokens of a set are matched, as many as every partner must share one of; sets of too different sizes
-    are passed over. Equal sets are reduced to one before matching and unfolded after. Empty sets and nulls pair with nothing.
+    Equal sets are reduced to one before matching and unfolded after. Empty sets and nulls pair with nothing.
     """
     s = sets.filter(F.size(tokens) > 0).select(F.col(ident).alias("id"), F.array_sort(F.array_distinct(tokens)).alias("t")).withColumn("cls", F.xxhash64("t"))
     one = s.groupBy("cls").agg(F.first("t").alias("t"))
-    words = one.select("cls", F.explode("t").alias("w"))
-    df = words.groupBy("w").agg(F.count("*").alias("df"))
-    order = words.join(df, "w").groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("o"))
-    n = F.size("o")
-    prefix = order.select("cls", n.alias("n"), F.posexplode(F.slice("o", 1, n - F.ceil(n * threshold).cast("int") + 1)).alias("p", "x")).select("cls", "n", F.col("x.w").alias("w"))
-    cand = pairs_within(prefix, "w", "cls", ("n",)).filter(f"n_a >= n_b * {threshold} and n_b >= n_a * {threshold}").select("a", "b").distinct()
+    cand = prefix_pairs(one, "cls", "t", threshold)
     side = lambda c: one.select(F.col("cls").alias(c), F.col("t").alias(f"t_{c}"))
     sim = cand.join(side("a"), "a").join(side("b"), "b").select("a", "b", jaccard(F.col("t_a"), F.col("t_b")).alias("similarity")).filter(F.col("similarity") >= threshold)
     ids = s.select("cls", "id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evalloom.functions.text import key
 from evalloom.operators import drift, nested, orphans
 from evalloom.session import materialize, table
 
@@ -18,10 +19,6 @@ SNAPSHOTS = ("config_snapshot",)
 LEFT_OUT = ("config_snapshot.model.adapters", "config_snapshot.verifier.backends")
 
 
-def _ident(col: str) -> F.Column:
-    return F.expr(f"nullif(lower(trim({col})), '')")
-
-
 def p2_tagged(spark: SparkSession, d: str) -> DataFrame:
     """All child rows of both sources in one tagged stream."""
     typed = nested.shred_column(table(spark, d, "verify_decisions"), "seq", "per_backend", "per_backend")
@@ -89,14 +86,14 @@ def _references(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     patch = F.coalesce("_patch", F.lit(False))
     first = F.min(F.when(~patch, orphans.seconds("ingested_at", problems))).alias("first")
     own = F.max(F.when(~patch, 1)).alias("own")
-    p = problems.groupBy(_ident("problem_id").alias("key")).agg(first, F.min(F.when(patch, F.col("removed_at"))).alias("gone"), own)
+    p = problems.groupBy(key("problem_id").alias("key")).agg(first, F.min(F.when(patch, F.col("removed_at"))).alias("gone"), own)
     p = p.filter("own = 1 and key is not null").select(F.lit("problems").alias("target"), "key", "first", "gone")
     checks = table(spark, d, "verifications")
-    v = checks.groupBy(_ident("record_id").alias("key")).agg(F.min(orphans.seconds("ingested_at", checks)).alias("first"), F.min("deleted_at").alias("gone"))
+    v = checks.groupBy(key("record_id").alias("key")).agg(F.min(orphans.seconds("ingested_at", checks)).alias("first"), F.min("deleted_at").alias("gone"))
     v = v.filter("key is not null").select(F.lit("verifications").alias("target"), "key", "first", "gone")
 
     pool = table(spark, d, "training_pool")
-    of = lambda field, target: F.struct(F.lit(field).alias("ref_field"), F.lit(target).alias("target"), _ident(field).alias("key"))
+    of = lambda field, target: F.struct(F.lit(field).alias("ref_field"), F.lit(target).alias("target"), key(field).alias("key"))
     r = pool.select(F.lit("training_pool").alias("src_table"), F.col("seq").alias("src_seq"), orphans.seconds("admitted_at", pool).alias("t"), F.inline(F.array(of("problem_id", "problems"), of("verification_record_id", "verifications"))))
     made = table(spark, d, "verify_decisions")
     q = made.select(F.lit("verify_decisions").alias("src_table"), F.col("seq").alias("src_seq"), orphans.seconds("emitted_at", made).alias("t"), F.inline(F.array(of("problem_id", "problems"))))
