@@ -5,24 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evalloom.functions.text import key
 from evalloom.llm import defects, history, leakage, packing, skeleton, tensored
 from evalloom.session import table
 
 
-def _ident(col: str) -> F.Column:
-    """A key trimmed and lower-cased; null where blank."""
-    return F.expr(f"nullif(lower(trim({col})), '')")
-
-
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    problems = table(spark, d, "problems").select(_ident("problem_id").alias("owner"), F.col("problem_text").alias("text"))
-    pool = table(spark, d, "training_pool").select(_ident("problem_id").alias("owner"), F.col("prompt").alias("text"))
+    problems = table(spark, d, "problems").select(key("problem_id").alias("owner"), F.col("problem_text").alias("text"))
+    pool = table(spark, d, "training_pool").select(key("problem_id").alias("owner"), F.col("prompt").alias("text"))
     pairs = tensored.similar_owners(problems.unionByName(pool), "owner", "text", k=3, threshold=0.5)
     return pairs.select(F.col("a").alias("problem_id_a"), F.col("b").alias("problem_id_b"))
 
 
 def _problem_rows(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "problems").select("seq", "session_id", _ident("problem_id").alias("problem_id"), "problem_text", "proposed_at")
+    return table(spark, d, "problems").select("seq", "session_id", key("problem_id").alias("problem_id"), "problem_text", "proposed_at")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

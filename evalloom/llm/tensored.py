@@ -5,8 +5,9 @@ Every pair (A_i, B_j) is a key of one of m*n tables, so 2*(m+n) minhashes do the
 A text meets a text of similarity s in some table with probability (1 - (1 - s^2)^m) * (1 - (1 - s^2)^n).
 
 The m*n keys are not shuffled: rows go out once per A_i with the B hashes beside it, and the keys are
-formed where rows of one A_i meet. Groups too large for that are keyed by (A_i, B_j) in full and
-paired in bounded cells. Candidates that share a single table key are almost all chance meetings of
+formed where rows of one A_i meet. A table key with many texts tells little about any two of them: they may share
+a template and nothing else. Such texts are matched among themselves by their rarest shingles instead, which is
+exact and never pairs by what is common. Other candidates that share a single table key are almost all chance meetings of
 unlike texts; asking for two shared keys leaves them out before they are written, and exact sets of shingles
 decide on the rest. With the defaults m = 20 and n = 28 a pair of similarity 0.5 is met with probability 0.9935,
 one of 0.55 with 0.9989, one of 0.6 with 0.9998.
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 
 from evalloom.llm.words import mix, shingle_sets
 from evalloom.operators.pairs import pairs_within
+from evalloom.operators.ranked import prefix_pairs
 from evalloom.session import materialize, parallelism
 
 #: B hashes of a text.
@@ -32,7 +34,7 @@ N = 28
 #: Rows of one A hash that a task pairs itself, and rows that it takes from its sorted input at a time.
 RUN, CHUNK = 4096, 60_000
 #: Members of one table key that are paired in place.
-CELL = 64
+CELL = 256
 
 SIGNATURES = "text_id long, class_id long, a array<long>, b binary, shingles array<long>"
 
@@ -100,8 +102,8 @@ def _table_keys(key: np.ndarray, b: np.ndarray) -> np.ndarray:
         return mix(key.view(np.uint64)[:, None] * np.uint64(5) + (b.astype(np.uint64) << np.uint64(8)) + np.arange(b.shape[1], dtype=np.uint64))
 
 
-def _pair_up(key: np.ndarray, ident: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of rows that share a table key, from full groups of A hashes; and table keys with too many members, with these."""
+def _pair_up(key: np.ndarray, ident: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows that share a table key, from full groups of A hashes; and the members of table keys with too many."""
     n = b.shape[1]
     tk = _table_keys(key, b).reshape(-1)
     order = np.argsort(tk, kind="stable")
@@ -119,22 +121,26 @@ def _pair_up(key: np.ndarray, ident: np.ndarray, b: np.ndarray) -> tuple[np.ndar
         hi.append(np.maximum(x, y))
     hot = np.repeat(~small, length)
     none = np.zeros(0, np.int64)
-    return (np.concatenate(lo) if lo else none), (np.concatenate(hi) if hi else none), tk[hot].view(np.int64), who[hot]
+    return (np.concatenate(lo) if lo else none), (np.concatenate(hi) if hi else none), who[hot]
 
 
 def _meet(batches: Iterator[pa.RecordBatch], shared: int) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by A hash: pairs with the number of table keys that they share here (n > 0), or hot (table key, member) rows (n = 0).
+    """From rows sorted by A hash: pairs with the number of table keys that they share here (n > 0), or members of hot groups in b (n = 0).
 
-    All keys of one A hash come together, so a pair with fewer keys than asked for is left out at once, unless both are
-    in hot keys, where they may share more.
+    All keys of one A hash come together, so a pair with fewer keys than asked for is left out at once; members of hot
+    keys are matched otherwise, so no key is missed by that.
     """
 
     def out(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
         if len(a):
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n)], names=["a", "b", "n"])
 
+    def members(ident: np.ndarray) -> Iterator[pa.RecordBatch]:
+        who = np.unique(ident)
+        yield from out(np.zeros(len(who), np.int64), who, np.zeros(len(who), np.int64))
+
     def work(key: np.ndarray, ident: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
-        lo, hi, tk, who = _pair_up(key, ident, b)
+        lo, hi, who = _pair_up(key, ident, b)
         keep = lo != hi
         if keep.any():
             pair = np.stack([lo[keep], hi[keep]], 1)
@@ -143,11 +149,9 @@ def _meet(batches: Iterator[pa.RecordBatch], shared: int) -> Iterator[pa.RecordB
             at = np.flatnonzero(new)
             count = np.diff(np.concatenate([at, [len(pair)]])).astype(np.int64)
             enough = count >= shared
-            if len(who):
-                enough |= np.isin(pair[at, 0], who) & np.isin(pair[at, 1], who)
             at, count = at[enough], count[enough]
             yield from out(pair[at, 0], pair[at, 1], count)
-        yield from out(tk, who, np.zeros(len(tk), np.int64))
+        yield from members(who)
 
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     rows, hot_key = 0, None
@@ -159,8 +163,7 @@ def _meet(batches: Iterator[pa.RecordBatch], shared: int) -> Iterator[pa.RecordB
             if hot_key is not None:
                 same = key == hot_key
                 if same.any():
-                    tk = _table_keys(key[same], b[same])
-                    yield from out(tk.reshape(-1).view(np.int64), np.repeat(ident[same], N), np.zeros(tk.size, np.int64))
+                    yield from members(ident[same])
                     key, ident, b = key[~same], ident[~same], b[~same]
                 if not len(key):
                     continue
@@ -175,8 +178,7 @@ def _meet(batches: Iterator[pa.RecordBatch], shared: int) -> Iterator[pa.RecordB
                 yield from work(key[:last], ident[:last], b[:last])
             if len(key) - last > RUN:
                 hot_key = key[-1]
-                tk = _table_keys(key[last:], b[last:])
-                yield from out(tk.reshape(-1).view(np.int64), np.repeat(ident[last:], N), np.zeros(tk.size, np.int64))
+                yield from members(ident[last:])
                 held, rows = [], 0
             else:
                 held, rows = [(key[last:], ident[last:], b[last:])], len(key) - last
@@ -184,15 +186,18 @@ def _meet(batches: Iterator[pa.RecordBatch], shared: int) -> Iterator[pa.RecordB
         yield from work(*(np.concatenate(x) for x in zip(*held)))
 
 
-def candidates(sigs: DataFrame, shared: int = 2) -> DataFrame:
-    """a < b: class ids that share at least ``shared`` table keys of one A hash."""
+def candidates(sigs: DataFrame, threshold: float, shared: int = 2) -> DataFrame:
+    """a < b: class ids that share at least ``shared`` table keys of one A hash, or that are in hot keys and may have the similarity."""
     spark = sigs.sparkSession
     rows = sigs.select(F.explode("a").alias("key"), F.col("class_id").alias("ident"), "b")
     met = rows.repartition(parallelism(spark), "key").sortWithinPartitions("key").mapInArrow(partial(_meet, shared=shared), "a long, b long, n long")
     met = materialize(met, "met")
-    hot = met.filter("n = 0").select(F.col("a").alias("key"), F.col("b").alias("ident"))
-    rest = pairs_within(hot, "key", "ident").groupBy("a", "b").agg(F.count("*").alias("n"))
-    return met.filter("n > 0").unionByName(rest).groupBy("a", "b").agg(F.sum("n").alias("n")).filter(F.col("n") >= shared).select("a", "b")
+    pairs = met.filter("n > 0").groupBy("a", "b").agg(F.sum("n").alias("n")).filter(F.col("n") >= shared).select("a", "b")
+    hot = met.filter("n = 0").select(F.col("b").alias("class_id"))
+    if not hot.head(1):
+        return pairs
+    sets = materialize(sigs.join(hot.distinct(), "class_id", "left_semi").select("class_id", "shingles"), "hot")
+    return pairs.unionByName(prefix_pairs(sets, "class_id", "shingles", threshold)).distinct()
 
 
 def verified(pairs: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
@@ -217,7 +222,7 @@ def text_classes(rows: DataFrame, owner: str, text: str, k: int, m: int) -> tupl
 
 def similar_classes(sigs: DataFrame, threshold: float, shared: int = 2) -> DataFrame:
     """a < b, similarity: pairs of class ids at or above the threshold."""
-    return verified(candidates(sigs, shared), sigs, threshold)
+    return verified(candidates(sigs, threshold, shared), sigs, threshold)
 
 
 def similar_owners(rows: DataFrame, owner: str, text: str, k: int = 5, threshold: float = 0.8, m: int = 20) -> DataFrame:
