@@ -87,13 +87,14 @@ def score_or_correct(score: Column, correct: Column) -> Column:
 
 
 def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), x))
+    """x within low and high; null stays null."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))
 
 
 def clip_relative(new: Column, old: Column, share: float = 0.3) -> Column:
     """new, moved to within ``share`` of old; any value where old is 0."""
     a, b = old * (1 - share), old * (1 + share)
-    return F.when(old == 0, new).otherwise(F.greatest(F.least(a, b), F.least(F.greatest(a, b), new)))
+    return F.when(old == 0, new).when(new.isNotNull() & old.isNotNull(), F.greatest(F.least(a, b), F.least(F.greatest(a, b), new)))
 
 
 def domain_key(*names: Column) -> Column:

@@ -132,7 +132,7 @@ def dot(a: Column, b: Column) -> Column:
 def cosine(a: Column, b: Column) -> Column:
     """Within -1 and 1; 0 for a zero vector or different lengths."""
     c = F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
-    return F.when(F.size(a) == F.size(b), F.coalesce(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c)), F.lit(0.0))).otherwise(0.0)
+    return F.when(F.size(a) == F.size(b), F.when(c.isNull(), 0.0).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c)))).otherwise(0.0)
 
 
 def norm_summary(rows: DataFrame, by: str, x: str) -> DataFrame:

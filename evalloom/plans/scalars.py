@@ -51,7 +51,7 @@ _add(
 )
 _add("prj3_nan_to_null", "events", "event_id", lambda df: T.nan_to_null(F.when(c("event_type") == "error", F.lit(float("nan"))).otherwise(c("value"))), "CASE WHEN event_type = 'error' THEN NULL ELSE value END AS value")
 _add("prj4_score_fallback", "verify_decisions", "seq", lambda df: T.score_or_correct(c("reject_reason"), c("accepted")), "coalesce(try_cast(reject_reason AS DOUBLE), CASE WHEN accepted THEN 1.0 ELSE 0.0 END)::DOUBLE AS value")
-_add("prj5_clamp", "problems", "seq", lambda df: _r(T.clamp(c("nearest_neighbor_dist") * 2 - 0.5)), "round(greatest(0.0, least(1.0, nearest_neighbor_dist * 2 - 0.5))::DOUBLE, 6) AS value")
+_add("prj5_clamp", "problems", "seq", lambda df: _r(T.clamp(c("nearest_neighbor_dist") * 2 - 0.5)), "CASE WHEN nearest_neighbor_dist IS NOT NULL THEN round(greatest(0.0, least(1.0, nearest_neighbor_dist * 2 - 0.5))::DOUBLE, 6) END AS value")
 _add("prj6_domain_key", "problems", "seq", lambda df: T.domain_key(c("domain"), c("session_id")), "coalesce(nullif(domain, ''), nullif(session_id, ''), '_') AS value")
 _add(
     "prj7_subdomain_key", "problems", "seq",
