@@ -127,14 +127,14 @@ def tiled(pattern: list[str], text: list[str], least: int = LEAST, places: dict[
 
 
 def is_copy(prompt: str, response: str | None) -> bool:
-    """Nearly all words lie in tiles of the prompt, and no part that stands by itself adds anything."""
+    """Nearly all words lie in tiles of the prompt, as do the prompt's in tiles of the response, and no part that stands by itself adds anything."""
     t = visible(response)
     text = words(t)
     pattern, places = _pattern(prompt)
     if len(text) < 5 or len(pattern) < 5:
         return bool(text) and text == pattern
     covered = tiled(pattern, text, LEAST, places)
-    if sum(covered) < 0.75 * len(text):
+    if sum(covered) < 0.7 * len(text) or sum(tiled(text, pattern)) < 0.65 * len(pattern):
         return False
     # an answer after the copy: the last paragraph, or line, has words of its own for the most part
     at = 0
@@ -152,11 +152,11 @@ def is_copy(prompt: str, response: str | None) -> bool:
 
 # Frequent function words of the languages told apart by words; Cyrillic text is told by its script.
 FUNCTION_WORDS = {
-    "en": "the of and to is that it with as for are was this be by a an or from which not if at in on has must can may you we how what two one into over under so when where".split(),
-    "de": "der die das und ist nicht mit den dem des ein eine einen auf für von wird im zu sich weil bei nach wie oben werden man jede alle bis zur zum durch".split(),
-    "es": "el la los las de que y en un una por con se para del al es como cada hasta según sin más todos si pero entre".split(),
-    "fr": "le la les des de du et est une un que en dans pour par avec on sur au aux se ne pas plus chaque selon sans jusqu tant toutes tous".split(),
-    "pt": "o os de que e em um uma da dos das por com para se na não como cada até sem mais todos todas enquanto antes é à ao".split(),
+    "en": "the of and to is that it with as for are was this be by a an or from which not if at in on has must can may you we how what two one into over under so when where then here there".split(),
+    "de": "der die das und ist nicht mit den dem des ein eine einen auf für von wird im in zu sich weil bei nach vor wie oben werden man jede alle bis zur zum durch dann danach zuerst auch während solange außerdem trotzdem innerhalb".split(),
+    "es": "el la los las de que y a en un una por con se para del al es como cada hasta según sin más todos todas si pero entre antes después desde mientras también donde".split(),
+    "fr": "le la les des de du et est un une a que en dans pour par avec on sur au aux se ne pas plus chaque selon sans jusqu tant toutes tous après même si car comme avant entre ce cette qui".split(),
+    "pt": "o a os as de que e em um uma do da dos das no na por com para se não como cada até sem mais todos todas enquanto antes depois após além disso isso é à ao pelo pela são".split(),
 }
 _LANGUAGES = {w: tuple(k for k, v in FUNCTION_WORDS.items() if w in v) for v in FUNCTION_WORDS.values() for w in v}
 _DOZEN_LETTERS = re.compile(r"(?:[^\W\d_][\W\d_]*){12}")
