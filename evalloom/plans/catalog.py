@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from evalloom.plans import aggregates, effects, general, histories, logs, rankings, reports, scalars, streams
+from evalloom.plans import aggregates, effects, general, histories, logs, rankings, reports, scalars, stepwise_sql, streams
 
-_PARTS = (general, scalars, effects, aggregates, histories, rankings, logs, reports, streams)
+_PARTS = (general, scalars, effects, aggregates, histories, rankings, logs, reports, streams, stepwise_sql)
 QUERIES = {k: v for part in _PARTS for k, v in part.QUERIES.items()}
 SQL = {k: v for part in _PARTS for k, v in part.SQL.items()}

@@ -126,9 +126,10 @@ def src15_after_cutoff(spark: SparkSession, d: str) -> DataFrame:
 def src16_bundle(spark: SparkSession, d: str) -> DataFrame:
     path = _folder(spark, "bundle")
     one = table(spark, d, "eval_items").select("domain", F.struct(F.col("answer").alias("correct"), F.concat(F.lit("not "), "answer").alias("wrong_similar"), F.lit("").alias("wrong_obvious")).alias("t"))
-    one.groupBy("domain").agg(F.collect_list("t").alias("triples")).select(F.to_json(F.struct("domain", "triples")).alias("value")).write.text(path)
-    r = spark.read.schema("domain string, triples array<struct<correct:string,wrong_similar:string,wrong_obvious:string>>").option("multiLine", True).json(path)
-    return r.select("domain", F.inline("triples"))
+    bundle = one.groupBy("domain").agg(F.to_json(F.collect_list("t")).alias("value"))
+    bundle.write.partitionBy("domain").text(path)  # one array in one file per domain
+    r = spark.read.schema("correct string, wrong_similar string, wrong_obvious string, domain string").option("multiLine", True).json(path)
+    return r.select("domain", "correct", "wrong_similar", "wrong_obvious")
 
 
 @_query()
