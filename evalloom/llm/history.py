@@ -46,7 +46,7 @@ def coverage(rows: DataFrame) -> DataFrame:
     r = rows.filter("problem_text is not null").select("seq", "session_id", "problem_id", "problem_text").join(order, "session_id")
     whole = r.withColumn("hash", content_hash("problem_text"))
     first_whole = whole.groupBy("hash").agg(F.min("turn").alias("first"))
-    copies = whole.join(first_whole, "hash").select("seq", (F.col("first") < F.col("turn")).alias("full_copy"))
+    copies = whole.join(first_whole, "hash").groupBy("seq").agg(F.bool_or(F.col("first") < F.col("turn")).alias("full_copy"))
     p = paragraphs(r, "problem_text").withColumn("hash", F.xxhash64("paragraph")).select("seq", "session_id", "problem_id", "turn", "hash", "n_words")
     first = p.groupBy("hash").agg(F.min("turn").alias("first"))
     seen = p.join(first, "hash").groupBy("seq", "session_id", "problem_id").agg(
@@ -64,14 +64,18 @@ class HistoryIndex:
         for t in (self.whole, self.part):
             spark.sql(f"CREATE TABLE IF NOT EXISTS {t} (hash BIGINT, batch STRING) USING parquet CLUSTERED BY (hash) SORTED BY (hash) INTO {buckets} BUCKETS LOCATION '{folder}/{t}'")
 
+    def _known(self, hashes: DataFrame, table: str) -> DataFrame:
+        """The distinct hashes that the table has: a bucket-local semi-join. A hash that fills a batch is one row here."""
+        return hashes.select("hash").distinct().repartition(self.buckets, "hash").join(self.spark.table(table).select("hash").hint("merge"), "hash", "left_semi")
+
     def probe(self, batch: DataFrame, ident: str, text: str) -> DataFrame:
         """ident, full_copy, n_words, seen_words for each row with words; the history's side is read bucket by bucket, without a shuffle."""
         b = batch.filter(F.col(text).isNotNull()).select(F.col(ident).alias("ident"), F.col(text).alias("text")).withColumn("row", F.monotonically_increasing_id())
         b = materialize(b, "batch")
-        whole = b.select("row", "ident", content_hash("text").alias("hash")).repartition(self.buckets, "hash")
-        copies = whole.join(self.spark.table(self.whole).select("hash").hint("merge"), "hash", "left_semi").select("row").withColumn("full_copy", F.lit(True))
-        p = paragraphs(b, "text").select("row", F.xxhash64("paragraph").alias("hash"), "n_words").repartition(self.buckets, "hash")
-        seen = p.join(self.spark.table(self.part).select("hash").hint("merge"), "hash", "left_semi").groupBy("row").agg(F.sum("n_words").alias("seen_words"))
+        whole = b.select("row", content_hash("text").alias("hash"))
+        copies = whole.join(self._known(whole, self.whole), "hash", "left_semi").select("row").withColumn("full_copy", F.lit(True))
+        p = paragraphs(b, "text").select("row", F.xxhash64("paragraph").alias("hash"), "n_words")
+        seen = p.join(self._known(p, self.part), "hash", "left_semi").groupBy("row").agg(F.sum("n_words").alias("seen_words"))
         total = p.groupBy("row").agg(F.sum("n_words").alias("n_words"))
         j = b.select("row", "ident").join(total, "row").join(seen, "row", "left").join(copies, "row", "left")
         return j.select("ident", F.coalesce("full_copy", F.lit(False)).alias("full_copy"), "n_words", F.coalesce("seen_words", F.lit(0)).alias("seen_words"))
