@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evalloom.operators.totals import with_totals
+
 
 def fold_column(df: DataFrame, key: str | None, order: str, value: str, start: Column, step: Callable[[Column, Column], Column], name: str) -> DataFrame:
     """One value per key (or one in all): ``step`` applied from ``start`` over the values in order. Null values are handed to ``step`` as they are."""
@@ -56,7 +58,7 @@ def trailing_streak(df: DataFrame, key: str | None, order: str, good: str) -> Da
     """How many of the latest rows in a row are not good: those after the last good one, counted without a window."""
     k = [key] if key else []
     g = df.groupBy(*k).agg(F.max(F.when(F.col(good), F.col(order))).alias("last_good"))
-    j = df.join(g, key) if key else df.crossJoin(F.broadcast(g))  # one row is broadcast
+    j = df.join(g, key) if key else with_totals(df, g)
     return j.groupBy(*k).agg(F.count_if(F.col("last_good").isNull() | (F.col(order) > F.col("last_good"))).alias("streak"))
 
 

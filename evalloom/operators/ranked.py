@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalloom.operators.pairs import pairs_within
+from evalloom.operators.totals import with_totals
 
 
 def jaccard(a: Column, b: Column, both_empty: float = 0.0) -> Column:
@@ -53,7 +54,7 @@ def rebalanced(df: DataFrame, domain: str, sub: str, severity: str, seq: str, do
         total = sizes.agg(F.sum("_g").alias("_n"), F.count("*").alias("_groups"))
         cap = F.when(F.col("_groups") < 2, F.col("_n")).otherwise(F.greatest(F.lit(2), F.floor(F.col("_n") * share)))
         r = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(key).orderBy(F.col(severity).desc_nulls_last(), seq)))
-        return r.crossJoin(F.broadcast(total.select(cap.alias("_cap")))).filter("_rank <= _cap").drop("_rank", "_cap")  # one row is broadcast
+        return with_totals(r, total.select(cap.alias("_cap"))).filter("_rank <= _cap").drop("_rank", "_cap")
 
     return capped(capped(df, domain, domain_share), sub, sub_share)
 

@@ -9,6 +9,7 @@ from evalloom.functions import stats as S
 from evalloom.functions import text as T
 from evalloom.operators import grouped as G
 from evalloom.operators.ranked import hash_partition
+from evalloom.operators.totals import with_totals
 from evalloom.plans.effects import _KEY, _rounded
 from evalloom.session import table
 
@@ -126,7 +127,7 @@ def agg20_component_contribution(spark: SparkSession, d: str) -> DataFrame:
     """Mean over units with a component less the mean over those without, from totals: absent components need no rows."""
     u = table(spark, d, "events").groupBy("user_id").agg(F.avg("value").alias("v"), F.collect_set("event_type").alias("on"))
     total = u.agg(F.sum("v").alias("sv"), F.count("v").alias("nv"))
-    g = u.select("v", F.explode("on").alias("component")).groupBy("component").agg(F.sum("v").alias("s"), F.count("v").alias("n")).crossJoin(F.broadcast(total))  # one row is broadcast
+    g = with_totals(u.select("v", F.explode("on").alias("component")).groupBy("component").agg(F.sum("v").alias("s"), F.count("v").alias("n")), total)
     return g.select("component", F.round(F.col("s") / F.col("n") - F.try_divide(F.col("sv") - F.col("s"), F.col("nv") - F.col("n")), 6).alias("contribution"))
 
 

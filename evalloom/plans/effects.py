@@ -137,9 +137,11 @@ def jon13_folded(spark: SparkSession, d: str) -> DataFrame:
     return K.folded(_problems(spark, d), "key", "seq", F.col("_patch"), ["retired_at", "removed_at"]).drop("_patch")
 
 
-@_query(f"SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events WHERE event_id <= 5000) WHERE rn = 1")
+@_query(f"SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events WHERE ts <= TIMESTAMP '2024-01-20 12:00:00') WHERE rn = 1")
 def jon14_as_of(spark: SparkSession, d: str) -> DataFrame:
-    return K.as_of(_ev(spark, d).select("user_id", "event_id", "event_type", "value"), "user_id", "event_id", F.lit(5000))
+    e = _ev(spark, d).select("user_id", "event_id", "event_type", "value", F.struct("ts", "event_id").alias("at"))
+    moment = F.struct(F.lit("2024-01-20 12:00:00").cast("timestamp_ntz").alias("ts"), F.lit(2**62).alias("event_id"))
+    return K.as_of(e, "user_id", "at", moment).drop("at")
 
 
 @_query("SELECT c.event_id, c.user_id, p.value AS last_value FROM (SELECT event_id, user_id, ts FROM events WHERE event_type = 'click') c ASOF LEFT JOIN (SELECT user_id, ts, max(value) AS value FROM events WHERE event_type = 'purchase' GROUP BY user_id, ts) p ON c.user_id = p.user_id AND c.ts >= p.ts")

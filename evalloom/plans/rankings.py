@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evalloom.functions import text as T
 from evalloom.operators import ranked as R
+from evalloom.operators.totals import with_totals
 from evalloom.plans.aggregates import _PART, _U
 from evalloom.plans.effects import _KEY
 from evalloom.session import table
@@ -173,7 +174,7 @@ _CLEAN = "len(list_filter(coalesce(verdict_warnings, []), lambda w: contains(w,
 def top19_clean_with_floor(spark: SparkSession, d: str) -> DataFrame:
     r = table(spark, d, "verify_decisions").select("seq", (~T.has_warning(F.col("verdict_warnings"))).alias("clean"))
     n = r.agg(((F.count("*") >= 100) & (F.count_if("clean") >= 100)).alias("enough"))
-    return r.crossJoin(F.broadcast(n)).filter("clean or not enough").select("seq")  # one row is broadcast
+    return with_totals(r, n).filter("clean or not enough").select("seq")
 
 
 @_query("SELECT problem_id, newest FROM (SELECT seq, problem_id, coalesce(nullif(retired_at, 0), proposed_at) AS newest FROM problems) WHERE newest IS NOT NULL ORDER BY newest DESC, seq LIMIT 500")
@@ -186,7 +187,7 @@ def top20_newest(spark: SparkSession, d: str) -> DataFrame:
 def top21_ucb(spark: SparkSession, d: str) -> DataFrame:
     g = table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), (F.avg("value") / 100).alias("m"))
     total = g.agg(F.sum("n").alias("total"))
-    return g.crossJoin(F.broadcast(total)).select("event_type", F.round(F.col("m") + 1.4 * F.sqrt(F.ln("total") / F.col("n")), 6).alias("ucb"))  # one row is broadcast
+    return with_totals(g, total).select("event_type", F.round(F.col("m") + 1.4 * F.sqrt(F.ln("total") / F.col("n")), 6).alias("ucb"))
 
 
 @_query()
@@ -209,7 +210,7 @@ def top24_best_by_margin(spark: SparkSession, d: str) -> DataFrame:
     g = table(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.avg("l_discount").alias("m"))
     two = g.orderBy(F.col("m").desc()).limit(2).agg(F.max("m").alias("m1"), F.min("m").alias("m2"), F.count("*").alias("k"))
     best = F.when(F.col("k") < 2, None).when(F.col("m") == F.col("m1"), F.col("m2")).otherwise(F.col("m1"))
-    r = g.crossJoin(F.broadcast(two))  # one row is broadcast
+    r = with_totals(g, two)
     return r.select("l_returnflag", "l_linestatus", ((F.col("n") >= 100) & (best.isNull() | (F.col("m") >= best + 0.0001))).alias("admitted"))
 
 

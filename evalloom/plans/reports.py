@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from evalloom.functions import graders as G
 from evalloom.functions import text as T
 from evalloom.operators import properties as P
+from evalloom.operators.totals import with_totals
 from evalloom.plans import aggregates, effects, histories
 from evalloom.plans.effects import _KEY
 from evalloom.session import shared_dir, table
@@ -86,7 +87,7 @@ def agg_signals(spark: SparkSession, d: str) -> DataFrame:
     a = s["Training health"].agg(F.min("moved_share").alias("least_moved"), F.max(F.col("last_loss") - F.col("first_loss")).alias("worst_loss_rise"))
     b = s["Damage probe"].agg(F.min("delta").alias("worst_delta"))
     c = s["Verifier noise"].agg(F.max("multi_fail_share").alias("multi_fail"), F.max("any_fail_share").alias("any_fail"))
-    one = a.crossJoin(F.broadcast(b)).crossJoin(F.broadcast(c))  # single rows
+    one = with_totals(with_totals(a, b), c)
     fires = F.concat_ws("; ", F.when(F.col("least_moved") < 0.5, "few steps moved"), F.when(F.col("worst_loss_rise") > 0, "loss rose"), F.when(F.col("worst_delta") < -1e-4, "a domain got worse"), F.when(F.col("multi_fail") > 0.1, "several checks fail"), F.when(F.col("any_fail") > 0.66, "accepted despite failures"))
     return one.withColumn("signals", fires)
 

@@ -8,7 +8,6 @@ only the tasks that ran on it.
 from __future__ import annotations
 
 import atexit
-import os
 import shutil
 import tempfile
 import uuid
@@ -51,6 +50,3 @@ def parallelism(spark: SparkSession) -> int:
     """The number of shuffle partitions that the session asks for."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
-
-def getenv_path(name: str, default: str) -> str:
-    return os.environ.get(name, default)

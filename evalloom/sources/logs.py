@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from evalloom.operators.totals import with_totals
+
 CORRUPT = "_corrupt"
 
 
@@ -87,9 +89,8 @@ def cached(rows: DataFrame, version: int, model: str, key: str, order: str) -> D
 def fresh_or_fallback(rows: DataFrame, at: str, now: float, days: float, fallback: DataFrame) -> DataFrame:
     """Fresh rows; all stale ones where none is fresh; the fallback where there are none at all."""
     n = rows.agg(F.count_if(F.col(at) > now - days * 86400).alias("fresh"), F.count("*").alias("all"))
-    r = rows.crossJoin(F.broadcast(n)).filter((F.col("fresh") == 0) | (F.col(at) > now - days * 86400)).select(rows.columns)  # one row is broadcast
-    empty = n.filter(F.col("all") == 0).select("all")
-    return r.unionByName(fallback.select(rows.columns).crossJoin(F.broadcast(empty)).select(rows.columns))
+    r = with_totals(rows, n).filter((F.col("fresh") == 0) | (F.col(at) > now - days * 86400)).select(rows.columns)
+    return r.unionByName(with_totals(fallback.select(rows.columns), n).filter(F.col("all") == 0).select(rows.columns))
 
 
 def after_cutoff(released: F.Column, cutoff: str) -> F.Column:
