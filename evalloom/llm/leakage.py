@@ -3,7 +3,8 @@
 A passage is a window of ``window`` successive words as a reader sees them (see ``skeleton``). Windows of items
 and documents are laid out by CGK random walks, which turn edit distance into Hamming distance; sampled
 positions of the walks form the keys of locality-sensitive tables, as many tables as the wanted recall
-needs for the allowed number of edits; exact edit distances decide on every pair of windows that meets.
+needs for the allowed number of edits; exact edit distances decide on every pair that meets. An inserted or dropped
+word changes how long a passage is, so item windows meet document spans of ``window - edits`` to ``window + edits`` words.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from evalloom.llm.words import WORD, mix
 
 #: Items whose windows are held by every worker at once; more are taken in blocks of this many.
 BLOCK = 20_000
+#: Tables on which the share that one table finds is measured; they are kept.
+TRIALS = 16
 
 
 def seen_words(text: str | None) -> list[str]:
@@ -35,10 +38,10 @@ def seen_words(text: str | None) -> list[str]:
 
 
 def edit_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Levenshtein distances of the rows of two equally shaped matrices."""
-    rows, n = x.shape
+    """Levenshtein distances of the rows of two matrices with as many rows."""
+    rows, n = y.shape
     prev = np.repeat(np.arange(n + 1, dtype=np.int16)[None, :], rows, 0)
-    for i in range(n):
+    for i in range(x.shape[1]):
         cur = np.empty_like(prev)
         cur[:, 0] = i + 1
         for j in range(n):
@@ -53,6 +56,7 @@ class PassageIndex:
     def __init__(self, items: list[tuple[str, list[str | None]]], window: int, edits: int, recall: float, sampled: int = 10, seed: int = 8):
         """items: (item_id, its texts). Texts with fewer than ``window`` words give no window."""
         self.window, self.edits = window, edits
+        self.spans = range(max(1, window - edits), window + edits + 1)
         self.ids = [i for i, _ in items]
         self.vocab: dict[str, int] = {}
         rows: dict[tuple[int, ...], set[int]] = defaultdict(set)
@@ -70,7 +74,7 @@ class PassageIndex:
         wanted = self._tables_needed(recall)
         while len(self.tables) < wanted:
             self._add_table()
-        self.keys = [self._sorted(self._walk_keys(self.windows.reshape(-1), np.arange(len(self.windows)) * window, t)) for t in self.tables]
+        self.keys = [self._sorted(self._walk_keys(self.windows.reshape(-1), np.arange(len(self.windows)) * window, t, [window])[0]) for t in self.tables]
 
     @staticmethod
     def _sorted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -85,92 +89,107 @@ class PassageIndex:
         self.tables.append((coins, sorted(self.rng.choice(self.steps, self.sampled, replace=False).tolist())))
 
     def _tables_needed(self, recall: float) -> int:
-        """From the share of windows with ``edits`` random edits that one table still finds, over item windows."""
+        """From the share of item windows that one table still finds after ``edits`` edits of the kind and at the place that it stands worst."""
         if not self.edits or not len(self.windows):
             return 1
-        trials = self.windows[self.rng.integers(0, len(self.windows), 2000)]
-        changed = trials.copy()
-        for r in changed:
+        cases = [(kind, at) for kind in range(3) for at in range(self.window)]
+        trials = self.windows[self.rng.integers(0, len(self.windows), 200 * len(cases))]
+        changed = np.zeros((len(trials), self.window + self.edits), np.int32)
+        sizes = np.zeros(len(trials), np.int64)
+        for k, r in enumerate(trials.tolist()):
+            kind, at = cases[k % len(cases)]
             for _ in range(self.edits):
-                at, kind = self.rng.integers(0, self.window), self.rng.integers(0, 3)
-                if kind == 0:
-                    r[at] = 0
-                elif kind == 1:
-                    r[at:-1] = r[at + 1 :].copy()
-                else:
-                    r[at + 1 :] = r[at:-1].copy()
-                    r[at] = 0
-        starts, hits = np.arange(len(trials)) * self.window, []
-        for _ in range(8):
+                r[at : at + 1] = [[0], [], [0, *r[at : at + 1]]][kind]
+                at = int(self.rng.integers(0, max(1, len(r))))
+            changed[k, : len(r)], sizes[k] = r, len(r)
+        hits = []
+        for _ in range(TRIALS):
             self._add_table()
-            hits.append((self._walk_keys(trials.reshape(-1), starts, self.tables[-1]) == self._walk_keys(changed.reshape(-1), starts, self.tables[-1])).mean())
-        p = max(float(np.mean(hits)), 0.01)
+            whole = self._walk_keys(trials.reshape(-1), np.arange(len(trials)) * self.window, self.tables[-1], [self.window])[0]
+            cut = self._walk_keys(changed.reshape(-1), np.arange(len(trials)) * changed.shape[1], self.tables[-1], [sizes])[0]
+            hits.append((whole == cut).reshape(-1, len(cases)).mean(0))
+        p = max(float(np.mean(hits, 0).min()), 0.01)
         return max(1, math.ceil(math.log(1 - recall) / math.log(1 - min(p, 0.999999))))
 
-    def _walk_keys(self, codes: np.ndarray, starts: np.ndarray, table: tuple[np.ndarray, list[int]]) -> np.ndarray:
-        """The table keys of the windows that begin at ``starts``: the walk's words at the sampled steps, hashed."""
+    def _walk_keys(self, codes: np.ndarray, starts: np.ndarray, table: tuple[np.ndarray, list[int]], spans) -> list[np.ndarray]:
+        """For each of ``spans`` the table keys of so many words from ``starts``: the walk's words at the sampled steps, hashed.
+
+        A walk is the same for all spans until it leaves them, so it is made once.
+        """
         coins, sampled = table
         end = coins.shape[1] - 1
-        at, stop = starts.copy(), starts + self.window
+        at = starts.copy()
         last = len(codes) - 1
-        key = np.zeros(len(starts), np.uint64)
+        keys = [np.zeros(len(starts), np.uint64) for _ in spans]
         with np.errstate(over="ignore"):
             for step in range(sampled[-1] + 1):
-                word = np.where(at < stop, codes[np.minimum(at, last)], end)
+                word = codes[np.minimum(at, last)]
                 if step in sampled:
-                    key = key * np.uint64(0x9E3779B97F4A7C15) + word.astype(np.uint64)
+                    gone = at - starts
+                    keys = [key * np.uint64(0x9E3779B97F4A7C15) + np.where(gone < span, word, end).astype(np.uint64) for key, span in zip(keys, spans)]
                 at += coins[step][word]
-        return mix(key)
+        return [mix(key) for key in keys]
 
     def search(self, texts: list[str | None]) -> list[tuple[int, int, int, int]]:
         """(position in ``texts``, position of the item, windows shown, least edits) for each item that a text shows."""
         lists = [seen_words(t) for t in texts]
         lengths = np.fromiter(map(len, lists), np.int64, len(lists))
-        total, n = int(lengths.sum()), self.window
-        if total < n or not len(self.windows):
+        total = int(lengths.sum())
+        if total < self.spans[0] or not len(self.windows):
             return []
         codes = np.fromiter(map(self.vocab.get, chain.from_iterable(lists), repeat(0)), np.int32, total)
-        # a window with more unknown words than allowed edits is no passage of any item
+        # a span with more unknown words than allowed edits is no passage of any item
         unknown = np.concatenate([[0], np.cumsum(codes == 0)])
-        ok = (unknown[n:] - unknown[:-n]) <= self.edits
         ends = np.cumsum(lengths)
-        for e in ends[:-1]:
-            ok[max(0, e - n + 1) : e] = False
-        starts = np.flatnonzero(ok)
+        room = np.repeat(ends, lengths) - np.arange(total)
+        fits = []
+        for n in self.spans:
+            ok = room >= n
+            ok[: max(0, total - n + 1)] &= (unknown[n:] - unknown[:-n]) <= self.edits
+            fits.append(ok)
+        # where a longer span fits, the shortest does
+        starts = np.flatnonzero(fits[0])
         if not len(starts):
             return []
-        shown: dict[tuple[int, int], list] = {}
-        met: set[tuple[int, int]] = set()
+        fits = [ok[starts] for ok in fits]
+        least: dict[tuple[int, int], int] = {}
         for table, (keys, order, mask) in zip(self.tables, self.keys):
-            k = self._walk_keys(codes, starts, table)
-            near = np.flatnonzero(mask[(k >> np.uint64(44)).astype(np.int64)])
-            lo, hi = np.searchsorted(keys, k[near], "left"), np.searchsorted(keys, k[near], "right")
-            hit = hi > lo
-            lo, hi, near = lo[hit], hi[hit], near[hit]
-            if not len(near):
-                continue
-            count = hi - lo
-            where = starts[np.repeat(near, count)]
-            which = order[np.repeat(lo - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())]
-            found = codes[where[:, None] + np.arange(n)]
-            d = (found != self.windows[which]).any(1).astype(np.int16) if not self.edits else edit_distances(found, self.windows[which])
-            good = d <= self.edits
-            text_at = np.searchsorted(ends, where[good], "right")
-            for t, pos, w, e in zip(text_at.tolist(), where[good].tolist(), which[good].tolist(), d[good].tolist()):
-                if (pos, w) in met:
+            for n, ok, k in zip(self.spans, fits, self._walk_keys(codes, starts, table, self.spans)):
+                near = np.flatnonzero(ok & mask[(k >> np.uint64(44)).astype(np.int64)])
+                lo, hi = np.searchsorted(keys, k[near], "left"), np.searchsorted(keys, k[near], "right")
+                hit = hi > lo
+                lo, hi, near = lo[hit], hi[hit], near[hit]
+                if not len(near):
                     continue
-                met.add((pos, w))
-                for o in self.owners[w]:
-                    s = shown.setdefault((t, o), [0, e])
-                    s[0] += 1
-                    s[1] = min(s[1], e)
+                count = hi - lo
+                where = starts[np.repeat(near, count)]
+                which = order[np.repeat(lo - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())]
+                found = codes[where[:, None] + np.arange(n)]
+                d = (found != self.windows[which]).any(1).astype(np.int16) if not self.edits else edit_distances(found, self.windows[which])
+                good = d <= self.edits
+                for pos, w, e in zip(where[good].tolist(), which[good].tolist(), d[good].tolist()):
+                    least[w, pos] = min(e, least.get((w, pos), e))
+        met = sorted(least)
+        text_at = np.searchsorted(ends, np.array([pos for _, pos in met], np.int64), "right").tolist()
+        shown: dict[tuple[int, int], list] = {}
+        first: tuple[int, int, int] | None = None
+        for t, (w, pos) in zip(text_at, met):
+            # a passage also meets its window with a word more or less at either end: that is the same showing
+            if first is None or first[:2] != (t, w) or pos - first[2] > 2 * self.edits:
+                first, new = (t, w, pos), 1
+            else:
+                new = 0
+            for o in self.owners[w]:
+                s = shown.setdefault((t, o), [0, least[w, pos]])
+                s[0] += new
+                s[1] = min(s[1], least[w, pos])
         return [(t, o, n_windows, e) for (t, o), (n_windows, e) in shown.items()]
 
 
 def leaked_passages(docs: DataFrame, items: DataFrame, window: int = 10, edits: int = 0, recall: float = 0.99, block: int = BLOCK) -> DataFrame:
     """doc_id, item_id, n_windows, least_edits: documents that show ``window`` successive words of an item's prompt or answer.
 
-    docs: doc_id, text. items: item_id, prompt, answer. A window counts if its edit distance in words is at most ``edits``;
+    docs: doc_id, text. items: item_id, prompt, answer. A window counts if its edit distance in words to some span of the document is at most ``edits``;
     without edits recall is whole, with edits each window within them is found with probability ``recall`` or more.
     Items are the stated query set: blocks of at most ``block`` of them (by a hash of item_id) are sent to the executors,
     and each block runs against all documents where these lie; no document is shuffled.

@@ -77,3 +77,26 @@ def test_nothing_beyond_the_allowed_edits():
     index = L.PassageIndex([("a", ["one two three four five six seven eight nine ten"])], 10, 1, 0.99)
     assert index.search(["one two three four X six seven Y nine ten"]) == []
     assert [x[2:] for x in index.search(["one two three four five six seven eight nine ten"])] == [(1, 0)]
+
+
+def test_every_kind_and_place_of_an_edit_reaches_the_wanted_recall():
+    rnd = random.Random(10)
+    items = [(f"i{k}", [" ".join(words(rnd, 12))]) for k in range(150)]
+    index = L.PassageIndex(items, 12, 1, 0.95)
+    for kind in range(3):
+        for at in range(12):
+            texts = []
+            for _, (t,) in items:
+                w = t.split()
+                w[at : at + 1] = [["zz"], [], ["zz", w[at]]][kind]
+                texts.append(" ".join([*words(rnd, 5), *w, *words(rnd, 5)]))
+            hit = sum(k == o for k, o, _, _ in index.search(texts))
+            # 0.95 less three standard errors of 150 trials
+            assert hit >= 0.896 * len(items), (kind, at, hit)
+
+
+def test_a_passage_at_the_end_of_a_document_may_lack_a_word():
+    index = L.PassageIndex([("a", ["one two three four five six seven eight nine ten"])], 10, 1, 0.999)
+    assert [x[2:] for x in index.search(["one two three four six seven eight nine ten"])] == [(1, 1)]
+    assert [x[2:] for x in index.search(["one two three four five X six seven eight nine ten"])] == [(1, 1)]
+    assert index.search(["one two three four five six", "seven eight nine ten"]) == []
