@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -108,35 +110,101 @@ OPPOSITES = (
 )
 
 
+STOPWORDS = frozenset(
+    """the a an and or but is are was were be been being to of in on at by for with from as that this these those it its we our you your they their i he she him her step steps
+    then so if thus hence therefore because since given have has had will can could should would may might must do does did done also only just more less than some any all no not yes""".split()
+)
+_SENTENCE_END = re.compile(r"[!?;\n]+|\.(?!\d)|(?<!\d)\.")
+_WORD = re.compile(r"[a-z_][a-z0-9_]*")
+_NUMBER = re.compile(r"-?\d+(?:\.\d+)?(?:/\d+)?")
+_FOR_ALL = re.compile(r"\b(?:for\s+all|every|each|any)\b")
+_SOME_NOT = re.compile(r"\b(?:there\s+exists?|some)\b.*?\bnot\b")
+_REFERS = re.compile(r"\bstep\s*\d+\b|\b(?:above|previous|earlier|prior)\b")
+_ASSIGNED = re.compile(r"(?<![\w.])([a-z_]\w*)\s*=(?!=)\s*([-+(]*\.?\d[-+*/^().\d ]*)(?!\w)")
+_MAY_BEGIN = re.compile(r"^[^\w\n]*(?:step\s*\d|\d{1,3}|justification|because|reason|rationale|the\s+reason)", re.I | re.M)
+_SIDES = [(frozenset(a.split()), frozenset(b.split())) for a, b in OPPOSITES]
+
+
+def _significant(text: str) -> set[str]:
+    return {w for w in _WORD.findall(text) if len(w) > 3 and w not in STOPWORDS}
+
+
 def _sentence_conflicts(text: str) -> int:
-    import re
-
-    sides = [(frozenset(a.split()), frozenset(b.split())) for a, b in OPPOSITES]
-    n = 0
-    before: frozenset[str] | None = None
-    for sentence in re.split(r"[.!?\n]+", text.lower()):
-        w = frozenset(re.findall(r"[a-z_][a-z0-9_]*", sentence))
-        if not w:
+    """Pairs of sentences, near or far, that contradict each other. Equal sentences are compared once and count as often as they stand."""
+    times = {t: k for t, k in Counter(_SENTENCE_END.split(text.lower())).items() if not t.isspace()}
+    texts, n, said = list(times), list(times.values()), [frozenset(_WORD.findall(t)) for t in times]
+    every_word = frozenset().union(*said)
+    pairs: set[tuple[int, int]] = set()
+    for a, b in _SIDES:
+        if not (a <= every_word and b <= every_word):
             continue
-        if before is not None:
-            for a, b in sides:
-                yes_no = a <= before and not b <= before and b <= w
-                no_yes = b <= before and a <= w and not b <= w
-                rest = len((before & w) - a - b)
-                if (yes_no or no_yes) and rest >= 0.5 * max(1, min(len(before - a - b), len(w - a - b))):
-                    n += 1
-                    break
-        before = w
-    return n
+        no = [(i, w - a - b) for i, w in enumerate(said) if b <= w]
+        yes = [(i, w - a - b) for i, w in enumerate(said) if a <= w and not b <= w] if no else []
+        pairs |= {(min(i, j), max(i, j)) for i, x in yes for j, y in no if len(x & y) >= 0.5 * max(1, min(len(x), len(y)))}
+    some_not = [(j, said[j] - STOPWORDS) for j, t in enumerate(texts) if "not" in said[j] and _SOME_NOT.search(t)]
+    if some_not:
+        pairs |= {(min(i, j), max(i, j)) for i, t in enumerate(texts) if _FOR_ALL.search(t) for j, y in some_not if len(said[i] & y) >= 2}
+    return sum(n[i] * n[j] if i < j else n[i] * (n[i] - 1) // 2 for i, j in pairs)
+
+
+def _reassigned(text: str) -> int:
+    """Names that are given two different numbers."""
+    from evalloom.operators.properties import equivalent
+
+    first: dict[str, str] = {}
+    other: set[str] = set()
+    for name, value in _ASSIGNED.findall(text.lower()):
+        value = value.rstrip(" .")
+        if name not in other and value != first.setdefault(name, value) and equivalent(first[name], value) is False:
+            other.add(name)
+    return len(other)
+
+
+def _circular(content: str, reason: str) -> bool:
+    """The reason only says the step again."""
+    c, r = (re.sub(r"\W+", " ", x).strip() for x in (content, reason))
+    if not c or not r:
+        return False
+    if r in c or c in r:
+        return True
+    sc, sr = _significant(content), _significant(reason)
+    return bool(sr) and len(sr & sc) > 0.8 * len(sr | sc) and len(sr - sc) <= 1
+
+
+def _step_faults(text: str) -> tuple[int, int]:
+    """Steps with a circular reason, and steps after the first that take up nothing of any step before."""
+    from evalloom.functions.parsing import parse_chain
+
+    # without a line that may begin a step or a reason there is one step at most, which has no reason
+    if not _MAY_BEGIN.search(text):
+        return 0, 0
+    circular = ungrounded = 0
+    before: list[tuple[set[str], set[str], set[str]]] = []
+    for step in parse_chain(text)["chain"]:
+        content, reason = step["content"].lower(), "" if step["justification"] == "implicit" else step["justification"].lower()
+        circular += _circular(content, reason)
+        whole = f"{content} {reason}"
+        own = _significant(whole), set(_NUMBER.findall(whole)), {w for w in _WORD.findall(whole) if re.search(r"\d", w)}
+        if before and not _REFERS.search(whole):
+            ungrounded += not any(0.2 * len(own[0] & w) + 0.3 * len(own[1] & n) + 0.25 * len(own[2] & m) >= 0.3 for w, n, m in reversed(before))
+        before.append(own)
+    return circular, ungrounded
 
 
 def _conflict_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        n = [None if t is None else _sentence_conflicts(t) for t in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], names=["ident", "conflicts"])
+        texts, steps = b.column(1).to_pylist(), b.column(2).to_pylist()
+        faults = [(None, None) if t is None else _step_faults(t) for t in steps]
+        found = [[None if t is None else _sentence_conflicts(t) for t in texts], [None if t is None else _reassigned(t) for t in texts], [c for c, _ in faults], [u for _, u in faults]]
+        yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x, pa.int64()) for x in found]], names=["ident", "conflicts", "reassigned", "circular", "ungrounded"])
 
 
 def contradictions(rows: DataFrame, ident: str, text: str) -> DataFrame:
-    """ident, conflicts: neighbouring sentences of which one says and the next denies the same; null for null texts."""
-    r = rows.select(F.col(ident).cast("long").alias("ident"), text)
-    return r.mapInArrow(_conflict_rows, "ident long, conflicts long").withColumnRenamed("ident", ident)
+    """ident, conflicts, reassigned, circular, ungrounded; null for null texts.
+
+    conflicts: pairs of sentences, of all of the text, of which one says and the other denies the same, or one holds for all and the other
+    not for some. reassigned: names given two different numbers. circular, ungrounded: steps of the parsed chain whose reason
+    repeats them, and later steps without a link to any step before.
+    """
+    r = rows.select(F.col(ident).cast("long").alias("ident"), F.col(text).alias("t"), T.without_thoughts(text).alias("s"))
+    return r.mapInArrow(_conflict_rows, "ident long, conflicts long, reassigned long, circular long, ungrounded long").withColumnRenamed("ident", ident)

@@ -25,6 +25,16 @@ def test_contradictions(spark):
     assert {r.doc_id: r.conflicts for r in G.contradictions(df, "doc_id", "t").collect()} == {1: 1, 2: 0, 3: None}
 
 
+def test_contradictions_of_any_two_sentences_names_and_steps(spark):
+    far = "The list is always sorted here. A tree is wide. Nothing else matters; pi is 3.14 or so. The list is never sorted here. The list is never sorted here."
+    quantified = "Every prime number divides it. Look closer. Some prime number does not divide it."
+    values = "Let x = 3.5, y = 2 and z = 1/2.\nThen z = 0.5, y = 2 + 0, n == 4 and x = 3.25."
+    chain = "Step 1: The sum of angles equals 180 degrees\nJustification: the sum of angles equals 180 degrees\nStep 2: Of 180 the third leaves 60\nJustification: subtract both\nStep 3: Bananas ripen quickly"
+    df = spark.createDataFrame([(1, far), (2, quantified), (3, values), (4, chain), (5, None), (6, "")], "doc_id long, t string")
+    got = {r.doc_id: (r.conflicts, r.reassigned, r.circular, r.ungrounded) for r in G.contradictions(df, "doc_id", "t").collect()}
+    assert got == {1: (2, 0, 0, 0), 2: (1, 0, 0, 0), 3: (0, 1, 0, 0), 4: (0, 0, 1, 1), 5: (None,) * 4, 6: (0, 0, 0, 0)}
+
+
 def test_bank_prefers_curated_and_holds_out_by_hash(spark):
     cur = spark.createDataFrame([("a", 2), ("b", 1), ("a", 3)], "prompt string, o long")
     gen = spark.createDataFrame([("b", 0), ("c", 0), ("d", 1)], "prompt string, o long")
