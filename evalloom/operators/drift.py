@@ -157,3 +157,54 @@ def unified(rows: DataFrame, schema: list[tuple[str, str]], snapshots: tuple[str
     cols = [F.col("fields")[path].try_cast(cast.get(kind, "string")).alias(path.replace(".", "__")) for path, kind in schema]
     known = F.array(*[F.lit(p) for p, _ in schema]) if schema else F.expr("cast(array() as array<string>)")
     return r.select(*keep, *cols, F.map_filter("fields", lambda k, v: ~F.array_contains(known, k)).alias("fields"))
+
+
+TYPED = "seq long, table_name string, run_id string, file_name string, line_no int, numbers map<string,double>, booleans map<string,boolean>, strings map<string,string>, arrays map<string,array<string>>"
+
+
+def _number(v) -> float:
+    try:
+        return float(v)
+    except OverflowError:
+        return float("inf") if v > 0 else float("-inf")
+
+
+def _text(v) -> str:
+    return v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)
+
+
+#: Of each promoted type the Arrow type and how a value is cast to it.
+CASTS = {
+    "number": (pa.float64(), _number),
+    "boolean": (pa.bool_(), bool),
+    "string": (pa.string(), _text),
+    "array": (pa.list_(pa.string()), lambda v: [None if e is None else _text(e) for e in v]),
+}
+
+
+def _typed(batches: Iterator[pa.RecordBatch], schema: dict[str, str], snapshots: tuple[str, ...], left_out: frozenset[str]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        at, maps = [], {kind: [] for kind in CASTS}
+        for n, body in enumerate(b.column(b.num_columns - 1).to_pylist()):
+            record = parsed(body, snapshots)
+            if record is None:
+                continue
+            at.append(n)
+            own: dict[str, dict] = {kind: {} for kind in CASTS}
+            for path, v in leaves(record, left_out):
+                kind = schema[path]
+                own[kind].setdefault(path, CASTS[kind][1](v))
+            for kind, m in own.items():
+                maps[kind].append(list(m.items()))
+        kept = [c.take(pa.array(at, pa.int64())) for c in b.columns[:-1]]
+        yield pa.RecordBatch.from_arrays([*kept, *[pa.array(m, pa.map_(pa.string(), CASTS[kind][0])) for kind, m in maps.items()]], names=[*b.schema.names[:-1], *(f"{kind}s" for kind in maps)])
+
+
+def typed(rows: DataFrame, schema: dict[str, str], snapshots: tuple[str, ...] = (), left_out: tuple[str, ...] = ()) -> DataFrame:
+    """seq, table_name, run_id, file_name, line_no, numbers, booleans, strings, arrays: every valid line, each field cast to its promoted type.
+
+    schema: the type of every field that some line has. A field is in the map of its type, whatever share of the files has it, so the
+    table's columns never change as files are added; names that differ only in case stay apart. Elements of arrays are texts, those that are no strings as JSON.
+    """
+    keep = ["seq", "table_name", "run_id", "file_name", "line_no"]
+    return rows.select(*keep, "body").mapInArrow(partial(_typed, schema=schema, snapshots=snapshots, left_out=frozenset(left_out)), TYPED)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evalloom.functions.text import key
 from evalloom.operators import drift, nested, orphans
-from evalloom.session import materialize, table
+from evalloom.session import table
 
 ARRAYS = {
     "config_snapshot.model.adapters": "adapters",
@@ -71,14 +71,12 @@ def p5_schema(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_table(spark: SparkSession, d: str) -> DataFrame:
-    """One table of all lines: the fields that most files have as columns, the drifted rest in a map."""
+    """One table of all lines: every field of the union schema, cast to its promoted type, in the map of that type."""
     logs = _logs(spark, d)
-    schema = materialize(drift.union_schema(logs, SNAPSHOTS, LEFT_OUT), "schema")
-    files = logs.select("table_name", "file_name").distinct().groupBy("table_name").agg(F.count("*").alias("all_files"))
-    common = schema.join(files, "table_name").filter("n_files >= 0.5 * all_files").groupBy("field_path").agg(F.min("field_type").alias("lo"), F.max("field_type").alias("hi"))
-    # field names, not rows: as many as a schema has columns
-    cols = [(r["field_path"], r["lo"] if r["lo"] == r["hi"] else "string") for r in common.orderBy("field_path").collect()]
-    return drift.unified(logs, cols, SNAPSHOTS, LEFT_OUT).withColumn("fields", F.to_json("fields"))
+    f = drift.union_schema(logs, SNAPSHOTS, LEFT_OUT).groupBy("field_path").agg(F.min("field_type").alias("lo"), F.max("field_type").alias("hi"))
+    # field names, not rows
+    schema = {r["field_path"]: r["lo"] if r["lo"] == r["hi"] else "string" for r in f.collect()}
+    return drift.typed(logs, schema, SNAPSHOTS, LEFT_OUT)
 
 
 def _references(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

@@ -49,3 +49,18 @@ def test_empty_and_union_schema(spark):
     assert {(r.field_path, r.field_type, r.n_files) for r in D.union_schema(t).collect()} == {("a", "string", 2), ("b", "boolean", 2)}
     u = D.unified(t, [("a", "number"), ("b", "boolean")])
     assert sorted((r.seq, r.a, r.b) for r in u.collect()) == [(0, 1.0, True), (1, None, False)]
+
+
+def test_every_field_is_typed_however_few_files_have_it(spark, monkeypatch):
+    from evalloom.plans import general
+
+    many = [("r", f"f{n}", [{"cycle": n, "a": n, "ok": True}]) for n in range(8)]
+    late = ("r", "late", [{"cycle": 9, "a": "9", "Ok": False, "renamed": {"x": 0.5}, "l": [1, "b", None, {"c": 1}]}, "{broken", None])
+    monkeypatch.setattr(general, "_logs", lambda *_: logs(spark, *many, late))
+    table = general.p5_table(spark, "")
+    rows = {(r.file_name, r.line_no): r for r in table.collect()}
+    assert len(rows) == 9 and table.columns == general.p5_table(spark, "").columns
+    r = rows["late", 0]
+    assert (r.numbers, r.booleans, r.strings) == ({"cycle": 9.0, "renamed.x": 0.5}, {"Ok": False}, {"a": "9"})
+    assert r.arrays == {"l": ["1", "b", None, '{"c": 1}']}
+    assert (rows["f3", 0].numbers, rows["f3", 0].booleans, rows["f3", 0].strings) == ({"cycle": 3.0}, {"ok": True}, {"a": "3"})
