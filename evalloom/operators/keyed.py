@@ -101,17 +101,25 @@ def moved(pre: DataFrame, post: DataFrame, key: str, correct: str) -> DataFrame:
     return j.select(key, F.when(F.col("b"), "wrong_to_right").otherwise("right_to_wrong").alias("direction"))
 
 
-def ranked_pairs(rows: DataFrame, key: str, group: str, score: str, most: int, top: int = 200) -> DataFrame:
-    """Pairs of different keys, of different groups first, by the ranks of their scores; the ``most`` best.
+def ranked_pairs(rows: DataFrame, key: str, group: str, score: str, most: int) -> DataFrame:
+    """Pairs of different keys, of different groups first, by the ranks of their scores; the ``most`` best. Keys are unique.
 
-    A pair outside the ``top`` ranks cannot be among the best ``most`` of either kind as long as top*(top-1)/2 covers them, so only these
-    ranks are paired; the report is a top-k by definition.
+    Whatever the sizes of the groups, the best pairs lie among the ``most`` + 1 best rows of each group, and of these among the (``most`` + 1)^2 best:
+    every row of b's group before b makes a pair with a, and every row before a one with a or b, that comes before (a, b); so does the best row of every
+    other group before b. Rows of one group only are paired when there are fewer than ``most`` pairs of two groups, hence at most ``most`` groups.
     """
-    best = rows.orderBy(F.col(score).desc(), key).limit(top)
-    r = best.withColumn("rank", F.row_number().over(Window.orderBy(F.col(score).desc(), key)))
-    a, b = (r.select(F.col(key).alias(f"{key}_{s}"), F.col(group).alias(f"g_{s}"), F.col("rank").alias(f"rank_{s}")) for s in "ab")
-    p = a.join(b, F.col("rank_a") < F.col("rank_b")).withColumn("same_group", F.col("g_a") == F.col("g_b"))
-    return p.orderBy("same_group", "rank_a", "rank_b").limit(most).select(f"{key}_a", f"{key}_b", "same_group", "rank_a", "rank_b")
+    order = [F.col(score).desc(), F.col(key)]
+    few = rows.withColumn("n", F.row_number().over(Window.partitionBy(group).orderBy(*order))).filter(F.col("n") <= most + 1)
+    r = few.orderBy(*order).limit((most + 1) ** 2).withColumn("at", F.row_number().over(Window.orderBy(*order)))
+    # of the first rows none is left out, so that their place is their rank
+    a = r.filter(F.col("at") <= most).select(F.col(key).alias(f"{key}_a"), F.col(group).alias("g_a"), F.col("at").alias("rank_a"))
+    b = r.select(F.col(key).alias(f"{key}_b"), F.col(group).alias("g_b"), F.col("at").alias("at_b"), F.col(score).alias("score_b"))
+    p = a.join(b, F.col("rank_a") < F.col("at_b")).withColumn("same_group", F.col("g_a").eqNullSafe(F.col("g_b"))).orderBy("same_group", "rank_a", "at_b").limit(most)
+    # the rank of b among all rows: a at least is before it
+    every = rows.select(F.col(key).alias("k"), F.col(score).alias("s"))
+    ahead = (F.col("s") > F.col("score_b")) | (F.col("s").isNotNull() & F.col("score_b").isNull()) | (F.col("s").eqNullSafe(F.col("score_b")) & (F.col("k") < F.col(f"{key}_b")))
+    ranked = F.broadcast(p).join(every, ahead).groupBy(f"{key}_a", f"{key}_b", "same_group", "rank_a").agg((F.count("*") + 1).cast("int").alias("rank_b"))
+    return ranked.orderBy("same_group", "rank_a", "rank_b")
 
 
 def preference_pairs(rows: DataFrame, group: str, order: str, correct: str, text: str, most: int = 4) -> DataFrame:

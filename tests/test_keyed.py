@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from evalloom.operators import keyed as K
@@ -53,3 +55,16 @@ def test_near_pairs_against_brute_force(spark):
     for t in (0.5, 0.85):
         want = {(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and len(set(sets[a]) & set(sets[b])) >= t * len(set(sets[a]) | set(sets[b])) - 1e-12}
         assert {(r.a, r.b) for r in near_pairs(df, "i", "t", t).collect()} == want
+
+
+def test_ranked_pairs_against_all_pairs_whatever_the_groups(spark):
+    rnd = random.Random(18)
+    hot = [(k, 0, 1000.0 - k) for k in range(210)] + [(k, 1 + k % 2, 700.0 - k) for k in range(210, 220)]
+    mixed = [(k, rnd.choice([0, 0, 0, 1, 2, None]), rnd.choice([None, 1.0, 2.0, 3.0])) for k in range(40)]
+    for rows in (hot, mixed, [(k, k, float(k)) for k in range(30)], [(k, 7, float(k)) for k in range(9)], hot[:1], []):
+        df = spark.createDataFrame(rows, "k long, g int, s double")
+        order = sorted(rows, key=lambda r: (r[2] is None, -(r[2] or 0), r[0]))
+        pairs = [(x[0], y[0], x[1] == y[1], i + 1, j + 1) for i, x in enumerate(order) for j, y in enumerate(order) if i < j]
+        for most in (1, 6, 50):
+            want = sorted(pairs, key=lambda p: p[2:])[:most]
+            assert [tuple(r) for r in K.ranked_pairs(df, "k", "g", "s", most).collect()] == want, (len(rows), most)
