@@ -75,16 +75,16 @@ _REFUSE = re.compile(
         )
     )
 )
-_ANSWERED = re.compile(r"\b(?:so|hence|therefore|thus)\b[^.]{0,40}\b(?:answer|result|value)\b|####|\\boxed|\b(?:answer|conclusion)\s*:|\bstep \d", re.I)
+_ANSWERED = re.compile(r"\b(?:so|hence|therefore|thus)\b[^.]{0,40}\b(?:answer|result|value)\b|####|\\boxed|\b(?:answer|conclusion)\s*:|\bstep \d|[=≈]\s*[-+]?\$?\d", re.I)
 
 
 def is_refusal(text: str | None) -> bool:
-    """Declines, and holds neither code nor a worked answer; an apology before a real answer is none."""
+    """Declines, at whatever length, and holds neither code nor a worked answer; an apology before a real answer is none."""
     t = visible(text)
     if _CODE.search(t) or "```" in t or _ANSWERED.search(t):
         return False
     plain = re.sub(r"[*_#>`]+", "", t).lower().replace("’", "'")
-    return len(plain.split()) <= 80 and _REFUSE.search(re.sub(r"\s+", " ", plain)) is not None
+    return _REFUSE.search(re.sub(r"\s+", " ", plain)) is not None
 
 
 # -- copies -----------------------------------------------------------------------------------------------------

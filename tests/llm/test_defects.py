@@ -55,3 +55,12 @@ def test_records_once_with_nulls_and_extra_columns(spark):
     got = sorted((r.record_id, r.defect) for r in D.broken_pairs(df, "i", "p", "r").collect())
     assert got == [("a", "empty"), ("d", "truncated")]
     assert D.broken_pairs(df.limit(0), "i", "p", "r").count() == 0
+
+
+def test_a_refusal_may_explain_itself_at_length():
+    why = " ".join(["The matter touches on things that deserve the care of somebody who knows the whole background."] * 8)
+    assert len(why.split()) > 80
+    assert D.is_refusal(f"I'm sorry, but I cannot help with this request. {why}")
+    assert D.is_refusal(f"{why} For these reasons I must decline to answer.")
+    assert not D.is_refusal(why)
+    assert not D.is_refusal(f"I cannot help with the first part. {why} The second part gives 3 * 4 = 12.")
