@@ -11,7 +11,7 @@ from evalloom.functions import parsing as P
 from evalloom.functions import text as T
 from evalloom.operators import keyed as K
 from evalloom.plans.effects import _KEY
-from evalloom.session import shared_dir, table
+from evalloom.session import run_dir, table
 from evalloom.sources import logs as L
 from evalloom.sources import sinks as W
 
@@ -30,7 +30,7 @@ def _query(sql: str | None = None):
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 PROGRESS = "cycle int, had_errors string, eval_subdomain map<string,string>"
@@ -47,7 +47,7 @@ def src1_registry_scan(spark: SparkSession, d: str) -> DataFrame:
 
 @_query("SELECT 0::BIGINT AS n")
 def src2_missing_file(spark: SparkSession, d: str) -> DataFrame:
-    return L.read_lines(spark, f"{shared_dir(spark)}/no-such-log.jsonl", PROGRESS).agg(F.count("*").alias("n"))
+    return L.read_lines(spark, f"{run_dir(spark)}/no-such-log.jsonl", PROGRESS).agg(F.count("*").alias("n"))
 
 
 @_query("SELECT max(cycle)::BIGINT AS cycle, count(*) FILTER (cycle = (SELECT max(cycle) FROM verify_decisions)) AS n FROM verify_decisions")

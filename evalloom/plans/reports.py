@@ -13,7 +13,7 @@ from evalloom.operators import properties as P
 from evalloom.operators.totals import with_totals
 from evalloom.plans import aggregates, effects, histories
 from evalloom.plans.effects import _KEY
-from evalloom.session import shared_dir, table
+from evalloom.session import run_dir, table
 from evalloom.sources import logs as L
 from evalloom.sources import sinks as W
 
@@ -32,7 +32,7 @@ def _query(sql: str | None = None):
 
 
 def _written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
     W.append_registry(df, path)
     return spark.read.text(path)
 
@@ -52,7 +52,7 @@ def src9_verdict_scan(spark: SparkSession, d: str) -> DataFrame:
 
 @_query("SELECT record_id, session_id FROM verifications WHERE adversarial")
 def src12_bank_scan(spark: SparkSession, d: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/bank-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/bank-{uuid.uuid4().hex}"
     W.append_registry(table(spark, d, "verifications").filter("adversarial").select("record_id", "session_id"), path)
     return L.read_lines(spark, path, "record_id string, session_id string").select("record_id", "session_id")
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalloom.session import shared_dir, table
+from evalloom.session import run_dir, table
 from evalloom.streaming import live
 
 QUERIES: dict = {}
@@ -17,7 +17,7 @@ SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value do
 
 
 def _source(spark: SparkSession, d: str, parts: int = 4) -> tuple[DataFrame, str]:
-    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    root = f"{run_dir(spark)}/stream-{uuid.uuid4().hex}"
     e = table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
     e.repartitionByRange(parts, "ts").write.parquet(f"{root}/in")
     return live.follow(spark, f"{root}/in", SCHEMA), root

@@ -2,18 +2,19 @@
 
 Nothing here keeps data on one machine: an intermediate table is written to the shared
 folder named by ``spark.checkpoint.dir`` and read back, so that a lost executor costs
-only the tasks that ran on it.
+only the tasks that ran on it. All intermediates of one application lie in one folder, which is removed when the driver ends.
 """
 
 from __future__ import annotations
 
 import atexit
-import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_RUNS: dict[str, str] = {}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The named input table; column pruning and filters reach its scan."""
@@ -24,7 +25,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder for written intermediates.
 
     ``spark.checkpoint.dir`` of the session where set. Only in plain local mode, as in tests,
-    a temporary folder takes its place and is removed at exit.
+    a temporary folder takes its place.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -32,16 +33,40 @@ def shared_dir(spark: SparkSession) -> str:
     master = spark.sparkContext.master
     if not master.startswith("local") or master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="evalloom-")
-    atexit.register(shutil.rmtree, folder, True)
-    spark.conf.set("spark.checkpoint.dir", f"file://{folder}")
-    return f"file://{folder}"
+    folder = f"file://{tempfile.mkdtemp(prefix='evalloom-')}"
+    spark.conf.set("spark.checkpoint.dir", folder)
+    atexit.register(_remove, spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), folder)
+    return folder
+
+
+def run_dir(spark: SparkSession) -> str:
+    """This application's own folder in the shared one; removed by ``release``, at the latest when the driver ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _RUNS:
+        _RUNS[app] = f"{shared_dir(spark)}/evalloom-{app}-{uuid.uuid4().hex[:8]}"
+        atexit.register(_remove, spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), _RUNS[app])
+    return _RUNS[app]
+
+
+def _remove(jvm, conf, folder: str) -> None:
+    try:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+    except Exception:  # the JVM is gone already
+        pass
+
+
+def release(spark: SparkSession) -> None:
+    """Remove all intermediates of this application. Results that were not read yet are lost, so call it between jobs of a long-lived driver."""
+    folder = _RUNS.pop(spark.sparkContext.applicationId, None)
+    if folder:
+        _remove(spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), folder)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it back, which cuts its lineage."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -49,4 +74,3 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def parallelism(spark: SparkSession) -> int:
     """The number of shuffle partitions that the session asks for."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-
