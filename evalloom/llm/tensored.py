@@ -5,9 +5,11 @@ Every pair (A_i, B_j) is a key of one of m*n tables, so 2*(m+n) minhashes do the
 A text meets a text of similarity s in some table with probability (1 - (1 - s^2)^m) * (1 - (1 - s^2)^n).
 
 The m*n keys are not shuffled: rows go out once per A_i with the B hashes beside it, and the keys are
-formed where rows of one A_i meet. A table key with many texts tells little about any two of them: they may share
+formed where rows of one A_i meet. A key with many texts tells little about any two of them: they may share
 a template and nothing else. Such texts are matched among themselves by their rarest shingles instead, which is
-exact and never pairs by what is common. Other candidates that share a single table key are almost all chance meetings of
+exact and never pairs by what is common. A_i with many texts are counted and taken out before the shuffle, so no task
+gets more than HOT rows of one A_i; table keys with many texts are told where the rest meet. Both go by the count of the key alone,
+not by how rows are partitioned. Other candidates that share a single table key are almost all chance meetings of
 unlike texts; asking for two shared keys leaves them out before they are written, and exact sets of shingles
 decide on the rest. With the defaults m = 20 and n = 28 a pair of similarity 0.5 is met with probability 0.9935,
 one of 0.55 with 0.9989, one of 0.6 with 0.9998.
@@ -31,8 +33,10 @@ from evalloom.session import materialize, parallelism
 
 #: B hashes of a text.
 N = 28
-#: Rows of one A hash that a task pairs itself, and rows that it takes from its sorted input at a time.
-RUN, CHUNK = 4096, 60_000
+#: Rows of one A hash that meet in one task at most, and rows that a task takes from its sorted input at a time.
+HOT, CHUNK = 4096, 60_000
+#: Hot A hashes that are sent to every executor at most, 8 bytes each; more are joined by a shuffle.
+HOT_KEYS = 200_000
 #: Members of one table key that are paired in place.
 CELL = 256
 
@@ -102,30 +106,32 @@ def _table_keys(key: np.ndarray, b: np.ndarray) -> np.ndarray:
         return mix(key.view(np.uint64)[:, None] * np.uint64(5) + (b.astype(np.uint64) << np.uint64(8)) + np.arange(b.shape[1], dtype=np.uint64))
 
 
-def _pair_up(key: np.ndarray, ident: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of rows that share a table key, from full groups of A hashes; and the members of table keys with too many."""
+def _pair_up(key: np.ndarray, ident: np.ndarray, b: np.ndarray, old: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows that share a table key, from full groups of A hashes; and the members of table keys with too many. Two old rows are no pair."""
     n = b.shape[1]
     tk = _table_keys(key, b).reshape(-1)
     order = np.argsort(tk, kind="stable")
     tk = tk[order]
-    who = ident[order // n]
+    row = order // n
     start, length = _runs(tk)
     lo, hi = [], []
     small = length <= CELL
     for size in np.unique(length[(length > 1) & small]):
         s = start[length == size]
-        block = who[s[:, None] + np.arange(size)]
+        block = row[s[:, None] + np.arange(size)]
         i, j = np.triu_indices(size, 1)
         x, y = block[:, i].reshape(-1), block[:, j].reshape(-1)
+        new = ~(old[x] & old[y])
+        x, y = ident[x[new]], ident[y[new]]
         lo.append(np.minimum(x, y))
         hi.append(np.maximum(x, y))
     hot = np.repeat(~small, length)
     none = np.zeros(0, np.int64)
-    return (np.concatenate(lo) if lo else none), (np.concatenate(hi) if hi else none), who[hot]
+    return (np.concatenate(lo) if lo else none), (np.concatenate(hi) if hi else none), ident[row[hot]]
 
 
 def _meet(batches: Iterator[pa.RecordBatch], shared: int) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by A hash: pairs with the number of table keys that they share here (n > 0), or members of hot groups in b (n = 0).
+    """From rows sorted by A hash, at most HOT of each: pairs with the number of table keys that they share here (n > 0), or members of hot table keys in b (n = 0).
 
     All keys of one A hash come together, so a pair with fewer keys than asked for is left out at once; members of hot
     keys are matched otherwise, so no key is missed by that.
@@ -135,12 +141,8 @@ def _meet(batches: Iterator[pa.RecordBatch], shared: int) -> Iterator[pa.RecordB
         if len(a):
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n)], names=["a", "b", "n"])
 
-    def members(ident: np.ndarray) -> Iterator[pa.RecordBatch]:
-        who = np.unique(ident)
-        yield from out(np.zeros(len(who), np.int64), who, np.zeros(len(who), np.int64))
-
-    def work(key: np.ndarray, ident: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
-        lo, hi, who = _pair_up(key, ident, b)
+    def work(key: np.ndarray, ident: np.ndarray, b: np.ndarray, old: np.ndarray) -> Iterator[pa.RecordBatch]:
+        lo, hi, who = _pair_up(key, ident, b, old)
         keep = lo != hi
         if keep.any():
             pair = np.stack([lo[keep], hi[keep]], 1)
@@ -151,58 +153,65 @@ def _meet(batches: Iterator[pa.RecordBatch], shared: int) -> Iterator[pa.RecordB
             enough = count >= shared
             at, count = at[enough], count[enough]
             yield from out(pair[at, 0], pair[at, 1], count)
-        yield from members(who)
+        who = np.unique(who)
+        yield from out(np.zeros(len(who), np.int64), who, np.zeros(len(who), np.int64))
 
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    rows, hot_key = 0, None
+    held: list[tuple[np.ndarray, ...]] = []
+    rows = 0
     for batch in batches:
         for cut in range(0, batch.num_rows, CHUNK):
             part = batch.slice(cut, CHUNK)
-            key, ident = part.column(0).to_numpy(zero_copy_only=False), part.column(1).to_numpy(zero_copy_only=False)
             b = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint16).reshape(-1, N)
-            if hot_key is not None:
-                same = key == hot_key
-                if same.any():
-                    yield from members(ident[same])
-                    key, ident, b = key[~same], ident[~same], b[~same]
-                if not len(key):
-                    continue
-                hot_key = None
-            held.append((key, ident, b))
-            rows += len(key)
+            held.append((part.column(0).to_numpy(zero_copy_only=False), part.column(1).to_numpy(zero_copy_only=False), b, part.column(3).to_numpy(zero_copy_only=False)))
+            rows += part.num_rows
             if rows < CHUNK:
                 continue
-            key, ident, b = (np.concatenate(x) for x in zip(*held))
-            last = int(np.searchsorted(key, key[-1]))  # the last group may go on
+            all_ = tuple(np.concatenate(x) for x in zip(*held))
+            last = int(np.searchsorted(all_[0], all_[0][-1]))  # the last group may go on
             if last:
-                yield from work(key[:last], ident[:last], b[:last])
-            if len(key) - last > RUN:
-                hot_key = key[-1]
-                yield from members(ident[last:])
-                held, rows = [], 0
-            else:
-                held, rows = [(key[last:], ident[last:], b[last:])], len(key) - last
+                yield from work(*(x[:last] for x in all_))
+            held, rows = [tuple(x[last:] for x in all_)], len(all_[0]) - last
     if rows:
         yield from work(*(np.concatenate(x) for x in zip(*held)))
 
 
-def candidates(sigs: DataFrame, threshold: float, shared: int = 2) -> DataFrame:
-    """a < b: class ids that share at least ``shared`` table keys of one A hash, or that are in hot keys and may have the similarity."""
+def keyed(sigs: DataFrame) -> DataFrame:
+    """key, ident, b: one row per A hash of each class."""
+    return sigs.select(F.explode("a").alias("key"), F.col("class_id").alias("ident"), "b")
+
+
+def candidates(sigs: DataFrame, threshold: float, shared: int = 2, history: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """a < b: class ids that share at least ``shared`` table keys of one A hash, or that are in hot keys and may have the similarity.
+
+    history: (key, ident, b) and (class_id, shingles) of other, older classes. They meet the classes of ``sigs``, never each other.
+    """
     spark = sigs.sparkSession
-    rows = sigs.select(F.explode("a").alias("key"), F.col("class_id").alias("ident"), "b")
-    met = rows.repartition(parallelism(spark), "key").sortWithinPartitions("key").mapInArrow(partial(_meet, shared=shared), "a long, b long, n long")
+    rows = keyed(sigs).withColumn("old", F.lit(False))
+    sets = sigs.select("class_id", "shingles", F.lit(False).alias("old"))
+    if history:
+        rows = rows.unionByName(history[0].select("key", "ident", "b", F.lit(True).alias("old")))
+        sets = sets.unionByName(history[1].select("class_id", "shingles", F.lit(True).alias("old")))
+    hot_keys = materialize(rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("key"), "hotkeys")
+    n_hot = hot_keys.limit(HOT_KEYS + 1).count()
+    hot = None
+    if n_hot:
+        side = F.broadcast(hot_keys) if n_hot <= HOT_KEYS else hot_keys
+        hot = rows.join(side, "key", "left_semi").select(F.col("ident").alias("class_id"))
+        rows = rows.join(side, "key", "left_anti")
+    met = rows.select("key", "ident", "b", "old").repartition(parallelism(spark), "key").sortWithinPartitions("key").mapInArrow(partial(_meet, shared=shared), "a long, b long, n long")
     met = materialize(met, "met")
     pairs = met.filter("n > 0").groupBy("a", "b").agg(F.sum("n").alias("n")).filter(F.col("n") >= shared).select("a", "b")
-    hot = met.filter("n = 0").select(F.col("b").alias("class_id"))
-    if not hot.head(1):
+    own = met.filter("n = 0").select(F.col("b").alias("class_id"))
+    hot = own if hot is None else hot.unionByName(own)
+    if not n_hot and not own.head(1):
         return pairs
-    sets = materialize(sigs.join(hot.distinct(), "class_id", "left_semi").select("class_id", "shingles"), "hot")
-    return pairs.unionByName(prefix_pairs(sets, "class_id", "shingles", threshold)).distinct()
+    sets = materialize(sets.join(hot.distinct(), "class_id", "left_semi").select("class_id", "shingles", "old"), "hot")
+    return pairs.unionByName(prefix_pairs(sets, "class_id", "shingles", threshold, "old")).distinct()
 
 
-def verified(pairs: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Of the pairs a, b those whose sets of shingles have the similarity ``threshold``, with it: a, b, similarity."""
-    side = sigs.select("class_id", "shingles")
+    side = sets.select("class_id", "shingles")
     j = pairs.join(side.select(F.col("class_id").alias("a"), F.col("shingles").alias("sa")), "a").join(side.select(F.col("class_id").alias("b"), F.col("shingles").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb"))
     j = j.select("a", "b", (both / (F.size("sa") + F.size("sb") - both)).alias("similarity"))
@@ -225,6 +234,13 @@ def similar_classes(sigs: DataFrame, threshold: float, shared: int = 2) -> DataF
     return verified(candidates(sigs, threshold, shared), sigs, threshold)
 
 
+def links_to(sigs: DataFrame, history: tuple[DataFrame, DataFrame], threshold: float, shared: int = 2) -> DataFrame:
+    """a < b, similarity: like ``similar_classes``, with the pairs of a class and an older one of ``history``."""
+    pairs = candidates(sigs, threshold, shared, history)
+    sets = sigs.select("class_id", "shingles").unionByName(history[1].select("class_id", "shingles"))
+    return verified(pairs, sets, threshold)
+
+
 def similar_owners(rows: DataFrame, owner: str, text: str, k: int = 5, threshold: float = 0.8, m: int = 20) -> DataFrame:
     """a < b: owners (strings) with texts of similarity ``threshold`` on runs of ``k`` words.
 

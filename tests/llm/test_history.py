@@ -49,8 +49,29 @@ def test_chains_of_copies_against_brute_force(spark):
         texts.append(t)
         rows.append((f"s{rnd.randrange(12)}", f"p{i}", t, float(rnd.randrange(100))))
     rows += [("s0", "n", None, 1.0), (None, "m", texts[0], 0.0), ("late", "q", texts[0], None), ("s1", "short", "two words", 3.0)]
-    got = {(r.session_id, r.problem_id) for r in H.repeated_problems(table(spark, rows), k=3, threshold=0.5).collect()}
-    assert got == brute(rows, 0.5)
+    for n in (1, 3):
+        got = {(r.session_id, r.problem_id) for r in H.repeated_problems(table(spark, rows), k=3, threshold=0.5, n_waves=n).collect()}
+        assert got == brute(rows, 0.5)
+
+
+def test_batches_one_by_one(spark, tmp_path):
+    rnd = random.Random(9)
+    base = [f"v{i}" for i in range(40)]
+    rows = []
+    for i in range(16):
+        w = list(base)
+        for _ in range(rnd.randrange(0, 14)):
+            w[rnd.randrange(40)] = f"n{rnd.randrange(10**6)}"
+        rows.append((f"s{i // 4}", f"p{i}", " ".join(w).upper() if i % 3 else ", ".join(w), float(i)))
+    x = H.HistoryIndex(spark, f"file://{tmp_path}", "one_by_one", buckets=2, k=3, threshold=0.5)
+    t = table(spark, rows).drop("turn").join(H.batch_order(table(spark, rows)), "session_id")
+    got = set()
+    for s in ("s0", "s1", "s2", "s3"):
+        got |= {(r.session_id, r.problem_id) for r in x.admit(t.filter(f"session_id = '{s}'"), s).collect()}
+    assert got == brute(rows, 0.5) and got
+    held = spark.table("one_by_one_sets").count()
+    again = x.admit(t.filter("session_id = 's3'"), "again")
+    assert again.count() == 4 and spark.table("one_by_one_sets").count() == held  # what was fed before is known and adds nothing
 
 
 def test_a_barred_text_bars_nobody(spark):

@@ -59,7 +59,7 @@ def test_defaults_are_five_words_and_four_fifths(spark):
 
 
 def test_hot_groups_lose_nothing(spark, monkeypatch):
-    monkeypatch.setattr(X, "RUN", 8)
+    monkeypatch.setattr(X, "HOT", 8)
     monkeypatch.setattr(X, "CHUNK", 64)
     monkeypatch.setattr(X, "CELL", 6)
     base = " ".join(f"b{i}" for i in range(60))
