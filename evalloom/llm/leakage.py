@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalloom.llm.skeleton import skeleton
+from evalloom.llm.skeleton import Skeleton, look_alikes
 from evalloom.llm.words import WORD, mix
 
 #: Items whose windows are held by every worker at once; more are taken in blocks of this many.
@@ -29,7 +29,7 @@ BLOCK = 20_000
 TRIALS = 16
 
 
-def seen_words(text: str | None) -> list[str]:
+def seen_words(text: str | None, skeleton: Skeleton) -> list[str]:
     """The words that a reader sees: of the skeleton, composed, lower-cased."""
     if not text:
         return []
@@ -53,16 +53,16 @@ def edit_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 class PassageIndex:
     """The windows of a block of items, in LSH tables over CGK walks."""
 
-    def __init__(self, items: list[tuple[str, list[str | None]]], window: int, edits: int, recall: float, sampled: int = 10, seed: int = 8):
+    def __init__(self, items: list[tuple[str, list[str | None]]], window: int, edits: int, recall: float, skeleton: Skeleton, sampled: int = 10, seed: int = 8):
         """items: (item_id, its texts). Texts with fewer than ``window`` words give no window."""
-        self.window, self.edits = window, edits
+        self.window, self.edits, self.skeleton = window, edits, skeleton
         self.spans = range(max(1, window - edits), window + edits + 1)
         self.ids = [i for i, _ in items]
         self.vocab: dict[str, int] = {}
         rows: dict[tuple[int, ...], set[int]] = defaultdict(set)
         for at, (_, texts) in enumerate(items):
             for t in texts:
-                codes = [self.vocab.setdefault(w, len(self.vocab) + 1) for w in seen_words(t)]
+                codes = [self.vocab.setdefault(w, len(self.vocab) + 1) for w in seen_words(t, skeleton)]
                 for s in range(len(codes) - window + 1):
                     rows[tuple(codes[s : s + window])].add(at)
         self.windows = np.array(list(rows), np.int32).reshape(len(rows), window)
@@ -132,7 +132,7 @@ class PassageIndex:
 
     def search(self, texts: list[str | None]) -> list[tuple[int, int, int, int]]:
         """(position in ``texts``, position of the item, windows shown, least edits) for each item that a text shows."""
-        lists = [seen_words(t) for t in texts]
+        lists = [seen_words(t, self.skeleton) for t in texts]
         lengths = np.fromiter(map(len, lists), np.int64, len(lists))
         total = int(lengths.sum())
         if total < self.spans[0] or not len(self.windows):
@@ -205,7 +205,7 @@ def leaked_passages(docs: DataFrame, items: DataFrame, window: int = 10, edits:
         own: dict[str, list[str | None]] = defaultdict(list)
         for r in known.filter(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part).collect():
             own[r["item_id"]] += [r["prompt"], r["answer"]]
-        index = spark.sparkContext.broadcast(PassageIndex(sorted(own.items()), window, edits, recall))
+        index = spark.sparkContext.broadcast(PassageIndex(sorted(own.items()), window, edits, recall, Skeleton(look_alikes(spark))))
 
         def search(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             it = index.value

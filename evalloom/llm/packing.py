@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import importlib.util
 import math
 import os
 from collections.abc import Iterator
@@ -23,20 +22,16 @@ GROUP = 20_000
 
 
 def default_ranks() -> str:
-    """The byte-level BPE ranks that the public tokenizer files hold; EVALLOOM_BPE_RANKS names another file."""
-    named = os.environ.get("EVALLOOM_BPE_RANKS")
-    if named:
-        return named
-    spec = importlib.util.find_spec("public_tokenizers")
-    folder = Path(spec.origin).parent if spec and spec.origin else Path("/opt/tokenizers")
-    return str(folder / "byte_bpe_50k.tiktoken")
+    """The ranks of a byte-level BPE of 50,256 pieces, as tiktoken files hold them: EVALLOOM_BPE_RANKS names the file, else that in /opt/tokenizers."""
+    return os.environ.get("EVALLOOM_BPE_RANKS") or "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
 @cache
 def _encoder(ranks: str):
     import tiktoken
+    from pyspark import SparkFiles
 
-    table = {base64.b64decode(a): int(b) for a, b in (line.split() for line in Path(ranks).read_bytes().splitlines() if line)}
+    table = {base64.b64decode(a): int(b) for a, b in (line.split() for line in Path(SparkFiles.get(ranks)).read_bytes().splitlines() if line)}
     # Fixed value: the pattern that cuts text before this vocabulary is applied.
     pattern = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
     return tiktoken.Encoding("evalloom", pat_str=pattern, mergeable_ranks=table, special_tokens={})
@@ -50,8 +45,13 @@ def _count(batches: Iterator[pa.RecordBatch], ranks: str) -> Iterator[pa.RecordB
 
 
 def token_counts(docs: DataFrame, ranks: str | None = None) -> DataFrame:
-    """doc_id, n_tokens. Null and empty texts have none; the strings of special tokens are ordinary text."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(partial(_count, ranks=ranks or default_ranks()), "doc_id long, n_tokens long")
+    """doc_id, n_tokens. Null and empty texts have none; the strings of special tokens are ordinary text.
+
+    ranks: the file of ranks (see ``default_ranks``), any URI that Spark can fetch; only the driver reads it there, and sends it to the executors.
+    """
+    ranks = ranks or default_ranks()
+    docs.sparkSession.sparkContext.addFile(ranks)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(partial(_count, ranks=ranks.rsplit("/", 1)[-1]), "doc_id long, n_tokens long")
 
 
 class Bins:
@@ -131,3 +131,15 @@ def fill(packed: DataFrame, budgets: DataFrame) -> DataFrame:
     """budget_id, capacity_tokens, containers, tokens, fill: how full the containers are; containers of a budget are counted where they were made."""
     per = packed.filter("container_id is not null").groupBy("budget_id", "container_id").agg(F.sum("n_tokens").alias("n")).groupBy("budget_id").agg(F.count("*").alias("containers"), F.sum("n").alias("tokens"))
     return budgets.join(per, "budget_id").select("budget_id", "capacity_tokens", "containers", "tokens", (F.col("tokens") / (F.col("containers") * F.col("capacity_tokens"))).alias("fill"))
+
+
+def faults(packed: DataFrame, docs: DataFrame, budgets: DataFrame, ranks: str | None = None) -> DataFrame:
+    """budget_id, wrong_tokens, split_without_need, over_full, texts: texts whose pieces do not hold their tokens, texts in pieces that fit a
+    container, containers beyond their capacity, and texts with a container. The first three are 0 for a right assignment."""
+    sized = token_counts(docs, ranks).withColumnRenamed("n_tokens", "want")
+    per_text = packed.groupBy("budget_id", "doc_id").agg(F.sum("n_tokens").alias("got"), F.count("*").alias("pieces"), F.count("container_id").alias("placed"))
+    t = per_text.join(sized, "doc_id", "full_outer").join(F.broadcast(budgets.select("budget_id", "capacity_tokens")), "budget_id", "left")
+    t = t.groupBy("budget_id").agg(F.count_if(~F.col("got").eqNullSafe(F.col("want"))).alias("wrong_tokens"), F.count_if((F.col("pieces") > 1) & (F.col("want") <= F.col("capacity_tokens"))).alias("split_without_need"), F.count_if(F.col("placed") > 0).alias("texts"))
+    full = packed.filter("container_id is not null").groupBy("budget_id", "container_id").agg(F.sum("n_tokens").alias("n")).join(F.broadcast(budgets.select("budget_id", "capacity_tokens")), "budget_id")
+    full = full.groupBy("budget_id").agg(F.count_if(F.col("n") > F.col("capacity_tokens")).alias("over_full"))
+    return t.join(full, "budget_id", "left").select("budget_id", "wrong_tokens", "split_without_need", F.coalesce("over_full", F.lit(0)).alias("over_full"), "texts")

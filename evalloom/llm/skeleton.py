@@ -1,86 +1,119 @@
-"""Problem 9: one form for texts that look alike but are written with different characters."""
+"""Problem 9: one form for texts that look alike but are written with different characters.
+
+The table of look-alikes is that of Unicode's confusables, as the ICU library holds it that comes with Spark: of it the letters, of
+whatever alphabet, that have the shape of one Latin letter. Within ASCII nothing is merged (l and 1, O and 0, rn and m are visibly different).
+"""
 
 from __future__ import annotations
 
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import cache, partial
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalloom.operators.pairs import pairs_within
 from evalloom.session import materialize
 
-# Letters of other alphabets with the shape of a Latin letter, and that letter.
-LOOK_ALIKES = {
-    "АВЕЅІЈКМНОРСТУХ": "ABESIJKMHOPCTYX",  # Cyrillic capitals
-    "аеосрухѕіјһԁԛԝ": "aeocpyxsijhdqw",  # Cyrillic small letters
-    "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ": "ABEZHIKMNOPTYX",  # Greek capitals
-    "οϲϳ": "ocj",  # Greek small letters
-    "ՕՍօհոս": "OUohnu",  # Armenian
-}
-PROTOTYPE = {ord(a): b for many, latin in LOOK_ALIKES.items() for a, b in zip(many, latin, strict=True)}
-# Characters that show nothing: format characters, variation selectors, fillers.
+# Characters that show nothing beside format characters: fillers and variation selectors.
 _FILLERS = (0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0, *range(0x180B, 0x1810), *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0))
-
-
-class _Table(dict):
-    """Replacement of each character, found by rule when it is first met."""
-
-    def __missing__(self, code: int) -> str | int | None:
-        ch = chr(code)
-        kind = unicodedata.category(ch)
-        new: str | int | None
-        if code in PROTOTYPE:
-            new = PROTOTYPE[code]
-        elif kind == "Cf" or code in _FILLERS:
-            new = None
-        elif kind == "Zs":
-            new = " "
-        else:
-            new = code
-        self[code] = new
-        return new
-
-
-_TABLE = _Table()
+# Compatibility forms that look like what they stand for; others, such as superscripts, circles and fractions, are visible.
+_SAME_LOOK = ("<wide>", "<narrow>", "<font>", "<noBreak>", "<initial>", "<medial>", "<final>", "<isolated>")
+# Look-alikes that the confusables lack.
+_MORE = {"Ԛ": "Q"}
 #: ASCII characters start a combining sequence and never change, so the runs between them can be taken one by one.
 _BEYOND_ASCII = re.compile(r"[^\x00-\x7f]+")
+#: Characters of runs that a worker remembers.
+_KEPT_CHARS = 4_000_000
 
 
-class _Runs(dict):
-    def __missing__(self, run: str) -> str:
-        if len(self) > 200_000:
-            self.clear()
-        self[run] = new = unicodedata.normalize("NFD", unicodedata.normalize("NFKD", run).translate(_TABLE))
-        return new
+def _letters(codes: range) -> list[str]:
+    return [c for c in map(chr, codes) if (k := unicodedata.category(c))[0] == "L" or k == "Nl"]
 
 
-_RUNS = _Runs()
+@cache
+def _from_icu(jvm) -> dict[int, str]:
+    checker = jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
+    # ideographs and Hangul have no Latin shape
+    beyond = [c for r in (range(0x80, 0x3400), range(0xA000, 0xAC00), range(0xF900, 0x17000), range(0x1D400, 0x20000)) for c in _letters(r)]
+    latin = _letters(range(0x41, 0x7B))
+    shapes = checker.getSkeleton("\n".join(latin + beyond)).split("\n")
+    by_shape: dict[str, list[str]] = {}
+    for a, shape in zip(latin, shapes):
+        by_shape.setdefault(shape, []).append(a)
+    table = {ord(c): a for c, a in _MORE.items()}
+    for c, shape in zip(beyond, shapes[len(latin) :]):
+        own = by_shape.get(shape)
+        if own and unicodedata.normalize("NFD", c) == c:
+            # I and l have one shape: the one of the letter's own case
+            table[ord(c)] = own[0] if len(own) == 1 else next((a for a in own if a.isupper() == c.isupper()), own[0])
+    return table
 
 
-def _run(match: re.Match) -> str:
-    return _RUNS[match[0]]
+def look_alikes(spark: SparkSession) -> dict[int, str]:
+    """Code of a letter -> the Latin letter that it looks like, about 1,200 of them: few enough to be sent with a task."""
+    return _from_icu(spark.sparkContext._jvm)
 
 
-def skeleton(text: str) -> str:
+class Skeleton:
     """Decompose, replace every character by its prototype, decompose again.
 
-    Characters that show nothing vanish and every kind of space becomes the plain one. Case, accents,
-    digits against letters, and line breaks are visible, so they stay. Plain ASCII is its own skeleton.
+    Characters that show nothing vanish and every kind of space becomes the plain one; forms that differ by width, font or joining only become
+    the ordinary one. Case, accents, digits against letters, superscripts and line breaks are visible, so they stay. Plain ASCII is its own skeleton.
     """
-    return text if text.isascii() else _BEYOND_ASCII.sub(_run, text)
 
+    def __init__(self, letters: dict[int, str]):
+        self.letters = letters
+        self.forget()
+
+    def forget(self) -> None:
+        self.table: dict[int, str | int | None] = {}
+        self.runs: dict[str, str] = {}
+        self.room = _KEPT_CHARS
+
+    def __reduce__(self):
+        return Skeleton, (self.letters,)
+
+    def prototype(self, code: int) -> str | int | None:
+        ch = chr(code)
+        if code in _FILLERS or unicodedata.category(ch) == "Cf":
+            return None
+        tag, *rest = unicodedata.decomposition(ch).split(" ")
+        if tag in _SAME_LOOK:
+            return unicodedata.normalize("NFD", "".join(str(x) if isinstance(x, str) else chr(x) for r in rest if (x := self.prototype(int(r, 16))) is not None))
+        if unicodedata.category(ch) == "Zs":
+            return " "
+        return self.letters.get(code, code)
+
+    def _run(self, match: re.Match) -> str:
+        run = match[0]
+        new = self.runs.get(run)
+        if new is None:
+            whole = unicodedata.normalize("NFD", run)
+            for c in set(whole):
+                if ord(c) not in self.table:
+                    self.table[ord(c)] = self.prototype(ord(c))
+            new = unicodedata.normalize("NFD", whole.translate(self.table))
+            self.room -= len(run) + len(new)
+            if self.room < 0:
+                self.forget()
+            elif len(run) < 1000:
+                self.runs[run] = new
+        return new
+
+    def __call__(self, text: str) -> str:
+        return text if text.isascii() else _BEYOND_ASCII.sub(self._run, text)
 
-def canonical(text: str | None) -> str | None:
-    """The skeleton, composed again: the consistent form in which texts are kept and compared. Null gives null."""
-    return None if text is None else unicodedata.normalize("NFC", skeleton(text))
+    def canonical(self, text: str | None) -> str | None:
+        """The skeleton, composed again: the consistent form in which texts are kept and compared. Null gives null."""
+        return None if text is None else unicodedata.normalize("NFC", self(text))
 
 
-def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _hashed(batches: Iterator[pa.RecordBatch], skeleton: Skeleton) -> Iterator[pa.RecordBatch]:
     for b in batches:
         ids, skel, own, changed = [], [], [], []
         for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -99,10 +132,10 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _canonical_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _canonical_rows(batches: Iterator[pa.RecordBatch], skeleton: Skeleton) -> Iterator[pa.RecordBatch]:
     for b in batches:
         old = b.column(1).to_pylist()
-        new = [canonical(t) for t in old]
+        new = [skeleton.canonical(t) for t in old]
         yield pa.RecordBatch.from_arrays(
             [b.column(0), pa.array(new, pa.string()), pa.array([None if a is None else a != n for a, n in zip(old, new)], pa.bool_())],
             names=["doc_id", "text", "changed"],
@@ -111,12 +144,12 @@ def _canonical_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def canonical_texts(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, text in canonical form, changed. Null texts stay null; empty stay empty; other columns are dropped."""
-    return docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_canonical_rows, "doc_id long, text string, changed boolean")
+    return docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(partial(_canonical_rows, skeleton=Skeleton(look_alikes(docs.sparkSession))), "doc_id long, text string, changed boolean")
 
 
 def skeleton_hashes(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, skeleton_hash (128 bits), text_hash (64 bits, told apart only within a skeleton), changed. Null texts, and texts that show nothing, give no row."""
-    return docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_hashed, "doc_id long, skeleton_hash binary, text_hash long, changed boolean")
+    return docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(partial(_hashed, skeleton=Skeleton(look_alikes(docs.sparkSession))), "doc_id long, skeleton_hash binary, text_hash long, changed boolean")
 
 
 def look_alike_classes(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:

@@ -3,6 +3,9 @@ import random
 import numpy as np
 
 from evalloom.llm import leakage as L
+from evalloom.llm.skeleton import Skeleton, look_alikes
+
+PLAIN = Skeleton({})
 
 ITEMS = "item_id string, prompt string, answer string, doc_id string"
 
@@ -45,7 +48,7 @@ def test_exact_windows_against_brute_force(spark):
             for s in range(len(w) - 9):
                 grams.setdefault(tuple(w[s : s + 10]), set()).add(i)
     for d, t, _ in docs:
-        w = L.seen_words(t)
+        w = L.seen_words(t, Skeleton(look_alikes(spark)))
         for s in range(len(w) - 9):
             want |= {(d, i) for i in grams.get(tuple(w[s : s + 10]), ())}
     di, it = spark.createDataFrame(docs, "doc_id long, text string, item_id string"), spark.createDataFrame(items, ITEMS)
@@ -57,7 +60,7 @@ def test_exact_windows_against_brute_force(spark):
 def test_edits_reach_the_wanted_recall():
     rnd = random.Random(9)
     items = [(f"i{k}", [" ".join(words(rnd, 12))]) for k in range(400)]
-    index = L.PassageIndex(items, 12, 1, 0.95)
+    index = L.PassageIndex(items, 12, 1, 0.95, PLAIN)
     hit = 0
     for k, (_, (t,)) in enumerate(items):
         w = t.split()
@@ -66,15 +69,13 @@ def test_edits_reach_the_wanted_recall():
         w[at : at + 1] = [["zz"], [], [w[at], "zz"]][kind]
         text = " ".join([*words(rnd, 5), *w, *words(rnd, 5)])
         hit += any(o == k for _, o, _, _ in index.search([text]))
-    # a dropped or inserted word costs two edits of an aligned window unless it lies at an end
-    kept = sum(1 for _ in items)
-    assert hit >= 0.3 * kept
+    assert hit >= 0.93 * len(items)
     swaps = sum(any(o == k for _, o, _, _ in index.search([" ".join([*t.split()[:6], "zz", *t.split()[7:]])])) for k, (_, (t,)) in enumerate(items))
     assert swaps >= 0.93 * len(items)
 
 
 def test_nothing_beyond_the_allowed_edits():
-    index = L.PassageIndex([("a", ["one two three four five six seven eight nine ten"])], 10, 1, 0.99)
+    index = L.PassageIndex([("a", ["one two three four five six seven eight nine ten"])], 10, 1, 0.99, PLAIN)
     assert index.search(["one two three four X six seven Y nine ten"]) == []
     assert [x[2:] for x in index.search(["one two three four five six seven eight nine ten"])] == [(1, 0)]
 
@@ -82,7 +83,7 @@ def test_nothing_beyond_the_allowed_edits():
 def test_every_kind_and_place_of_an_edit_reaches_the_wanted_recall():
     rnd = random.Random(10)
     items = [(f"i{k}", [" ".join(words(rnd, 12))]) for k in range(150)]
-    index = L.PassageIndex(items, 12, 1, 0.95)
+    index = L.PassageIndex(items, 12, 1, 0.95, PLAIN)
     for kind in range(3):
         for at in range(12):
             texts = []
@@ -96,7 +97,7 @@ def test_every_kind_and_place_of_an_edit_reaches_the_wanted_recall():
 
 
 def test_a_passage_at_the_end_of_a_document_may_lack_a_word():
-    index = L.PassageIndex([("a", ["one two three four five six seven eight nine ten"])], 10, 1, 0.999)
+    index = L.PassageIndex([("a", ["one two three four five six seven eight nine ten"])], 10, 1, 0.999, PLAIN)
     assert [x[2:] for x in index.search(["one two three four six seven eight nine ten"])] == [(1, 1)]
     assert [x[2:] for x in index.search(["one two three four five X six seven eight nine ten"])] == [(1, 1)]
     assert index.search(["one two three four five six", "seven eight nine ten"]) == []

@@ -49,6 +49,18 @@ def test_whole_assignment(spark):
         assert sum(room.values()) / (len(room) * cap) > 0.85
 
 
+def test_faults_are_seen(spark):
+    docs, budgets = frames(spark, ["one two three", "four " * 30, None], [16])
+    good = P.pack(docs, budgets)
+    none = P.faults(good, docs, budgets).first()
+    assert (none.wrong_tokens, none.split_without_need, none.over_full, none.texts) == (0, 0, 0, 2)
+    moved = good.selectExpr("budget_id", "doc_id", "piece", "start_token", "n_tokens", "case when container_id is not null then 'one' end as container_id")
+    assert P.faults(moved, docs, budgets).first().over_full == 1
+    assert P.faults(good.filter("piece = 0"), docs, budgets).first().wrong_tokens == 1
+    twice = good.unionByName(good.filter("doc_id = 0"))
+    assert P.faults(twice, docs, budgets).first().split_without_need == 1
+
+
 def test_empty_tables_and_special_strings(spark):
     docs, budgets = frames(spark, ["<|endoftext|>"], [8])
     assert P.pack(docs.limit(0), budgets).count() == 0 and P.pack(docs, budgets.limit(0)).count() == 0
