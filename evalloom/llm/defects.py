@@ -1,8 +1,8 @@
 """Problem 4: prompt and response pairs that are useless for training, and why.
 
 Per pair, in this order: empty, refusal, copy, other_language, truncated. A pushdown parser reads fences, brackets,
-quotes, lists and markup for truncation; greedy string tiling finds copies; scripts and function words tell languages;
-a small grammar tells refusals.
+quotes, lists, tables and markup for truncation; greedy string tiling finds copies; scripts and function words tell languages;
+a grammar of subject, refused ability or will, and act tells refusals in seven languages.
 """
 
 from __future__ import annotations
@@ -52,7 +52,19 @@ _DO = (
     r"(?:assist|help|comply|answer|respond|produce|provide|offer|write|solve|do|take|work|continue|fulfil|fulfill|complete|support|give|generate|create|share|discuss|handle|attempt|"
     r"solution|solutions|code|request|one|that|this)"
 )
-# The sentences of the grammar; each alone declines.
+_GAP = r"(?:[^\s.!?;]+ ){0,6}?"
+# Of each language who refuses with what (ability or will, negated), and the act that is refused, which may come first or last.
+_GRAMMAR = {
+    "en": (r"(?:i|we) (?:have|see|know) no (?:way|means|right|ability)|(?:i|we) lack the (?:ability|means|right|permission)|(?:i am|i'm|we are|we're) (?:not in a position|unwilling|forbidden)", r"solve|answer|help|assist|respond|comply|provide|give|produce|write|do|fulfil\w*|offer|complete|share|generate"),
+    "de": (r"(?:kann|können|werde|werden|darf|dürfen|möchte|möchten|will) (?:ich|wir)|(?:ich|wir) (?:kann|können|werde|werden|darf|dürfen|möchte|möchten|will|lehne|lehnen|weigere|bin|sind)", r"(?:nicht|kein\w*|ab|mich|außerstande|unfähig)[^.!?;]{0,60}\b(?:helfen|beantworten|lösen|antworten|unterstützen|geben|anbieten|liefern|erfüllen|nachkommen|schreiben|bearbeiten|übernehmen)"),
+    "es": (r"no (?:puedo|podemos|podré|voy a|vamos a|debo|quiero|deseo|tengo permitido)|me niego a|no me es posible|no (?:soy|estoy) (?:capaz|autorizado|en condiciones)", r"ayudar\w*|responder\w*|resolver\w*|dar\w*|ofrecer\w*|proporcionar\w*|contestar\w*|cumplir|escribir\w*|hacerlo|hacer eso|atender"),
+    "fr": (r"(?:je|nous) (?:ne )?(?:peux|pouvons|vais|allons|dois|veux|souhaite) (?:malheureusement )?pas|(?:je|nous) (?:me |nous )?(?:refuse|refusons) de|(?:je ne suis|nous ne sommes) pas (?:en mesure|capables?|autorisée?s?)|il m'est impossible", r"(?:vous )?(?:y )?(?:aider|répondre|résoudre|fournir|donner|proposer|écrire|traiter|accéder|le faire|faire cela)"),
+    "it": (r"non (?:posso|possiamo|intendo|voglio|devo|sono in grado|mi è possibile)|mi rifiuto", r"aiutar\w*|risponder\w*|risolver\w*|fornir\w*|dar\w*|scriver\w*|farlo|offrir\w*"),
+    "pt": (r"não (?:posso|podemos|poderei|vou|vamos|consigo|devo|quero)|recuso-me a|não (?:me é possível|sou capaz|estou autorizado)", r"ajudar|ajudá-\w+|responder|resolver|resolvê-\w+|fornecer|dar|oferecer|escrever|fazer isso|fazê-lo|atender|cumprir"),
+    "ru": (r"(?:я )?не (?:могу|можем|смогу|буду|стану|вправе|имею права|готов\w*|в состоянии)|(?:я )?отказываюсь", r"помочь|помогать|ответить|отвечать|решить|решать|дать|давать|предоставить|выполнить|написать|сделать это"),
+}
+_DECLINES = re.compile("|".join(rf"(?<!\w)(?:{who}) {_GAP}(?:{act})(?!\w)" for who, act in _GRAMMAR.values()))
+# Further sentences, each of which alone declines.
 _REFUSE = re.compile(
     "|".join(
         (
@@ -83,8 +95,8 @@ def is_refusal(text: str | None) -> bool:
     t = visible(text)
     if _CODE.search(t) or "```" in t or _ANSWERED.search(t):
         return False
-    plain = re.sub(r"[*_#>`]+", "", t).lower().replace("’", "'")
-    return _REFUSE.search(re.sub(r"\s+", " ", plain)) is not None
+    plain = re.sub(r"\s+", " ", re.sub(r"[*_#>`]+", "", t).lower().replace("’", "'"))
+    return _REFUSE.search(plain) is not None or _DECLINES.search(plain) is not None
 
 
 # -- copies -----------------------------------------------------------------------------------------------------
@@ -101,29 +113,50 @@ def _places(pattern: list[str], least: int) -> dict[tuple[str, ...], list[int]]:
     return places
 
 
-def tiled(pattern: list[str], text: list[str], least: int = LEAST, places: dict[tuple[str, ...], list[int]] | None = None) -> list[bool]:
-    """Which words of ``text`` greedy string tiling covers with runs of ``pattern``, the longest first, none shorter than ``least``.
+def tiles(pattern: list[str], text: list[str], least: int = LEAST, places: dict[tuple[str, ...], list[int]] | None = None, used: bytearray | None = None, again: bool = False) -> list[tuple[int, int, int]]:
+    """Greedy string tiling: (place in pattern, place in text, length) of runs that both have, none shorter than ``least``.
 
-    A run of the pattern may be used again once all of its copies are spent, so a repeated copy is covered whole.
+    In each round the longest runs of words that no tile has yet, on either side, become tiles; so each word lies in one tile at most.
+    ``used`` marks words of the text that are taken already, and is added to. With ``again`` words of the pattern are never used up.
     """
-    covered = [False] * len(text)
     places = _places(pattern, least) if places is None else places
-    matches = []
-    j = 0
-    while j <= len(text) - least:
-        best = 0
-        for i in places.get(tuple(text[j : j + least]), ()):
-            n = least
-            while i + n < len(pattern) and j + n < len(text) and pattern[i + n] == text[j + n]:
-                n += 1
-            best = max(best, n)
-        if best:
-            matches.append((best, j))
-        j += best if best > least else 1
-    for n, j in sorted(matches, reverse=True):
-        for x in range(j, j + n):
-            covered[x] = True
-    return covered
+    used_p, used_t = bytearray(len(pattern)), bytearray(len(text)) if used is None else used
+    starts = [(j, at) for j in range(len(text) - least + 1) if (at := places.get(tuple(text[j : j + least])))]
+    out: list[tuple[int, int, int]] = []
+    while True:
+        longest, found = least, []
+        seen: dict[int, int] = {}  # of each alignment the end of its last run: what starts before is part of that run
+        for j, at in starts:
+            if used_t[j]:
+                continue
+            for i in at:
+                if used_p[i] or seen.get(i - j, -1) > j:
+                    continue
+                n = 0
+                while i + n < len(pattern) and j + n < len(text) and pattern[i + n] == text[j + n] and not used_p[i + n] and not used_t[j + n]:
+                    n += 1
+                seen[i - j] = j + n
+                if n > longest:
+                    longest, found = n, [(i, j)]
+                elif n == longest:
+                    found.append((i, j))
+        if not found:
+            return out
+        for i, j in found:
+            if not any(used_p[i : i + longest]) and not any(used_t[j : j + longest]):
+                used_t[j : j + longest] = b"\1" * longest
+                if not again:
+                    used_p[i : i + longest] = b"\1" * longest
+                out.append((i, j, longest))
+
+
+def covered(pattern: list[str], text: list[str], places: dict[tuple[str, ...], list[int]] | None = None) -> tuple[bytearray, int]:
+    """Which words of ``text`` lie in tiles, and how many of the pattern do. What the tiling leaves is tiled with the whole pattern again, so that a repeated copy is covered."""
+    marks = bytearray(len(text))
+    of_pattern = sum(n for _, _, n in tiles(pattern, text, LEAST, places, marks))
+    if of_pattern:
+        tiles(pattern, text, LEAST, places, marks, True)
+    return marks, of_pattern
 
 
 def is_copy(prompt: str, response: str | None) -> bool:
@@ -131,17 +164,26 @@ def is_copy(prompt: str, response: str | None) -> bool:
     t = visible(response)
     text = words(t)
     pattern, places = _pattern(prompt)
-    if len(text) < 5 or len(pattern) < 5:
+    if text == pattern or len(text) < LEAST or len(pattern) < LEAST:
         return bool(text) and text == pattern
-    covered = tiled(pattern, text, LEAST, places)
-    if sum(covered) < 0.7 * len(text) or sum(tiled(text, pattern)) < 0.65 * len(pattern):
+    # no tiling covers more than all runs of the pattern do
+    runs = 0
+    end = 0
+    for j in range(len(text) - LEAST + 1):
+        if tuple(text[j : j + LEAST]) in places:
+            runs += j + LEAST - max(end, j)
+            end = j + LEAST
+    if runs < 0.7 * len(text):
+        return False
+    marks, of_pattern = covered(pattern, text, places)
+    if sum(marks) < 0.7 * len(text) or of_pattern < 0.65 * len(pattern):
         return False
     # an answer after the copy: the last paragraph, or line, has words of its own for the most part
     at = 0
     parts = [p for p in re.split(r"\n+", t) if words(p)]
     for n, part in enumerate(parts):
         size = len(words(part))
-        own = size - sum(covered[at : at + size])
+        own = size - sum(marks[at : at + size])
         at += size
         if n and own > 0.6 * size and not re.fullmatch(r"[\W_]*(?:problem|problem statement|question|task|prompt|you asked)[\W_]*", part, re.I):
             return False
@@ -156,6 +198,8 @@ FUNCTION_WORDS = {
     "de": "der die das und ist nicht mit den dem des ein eine einen auf für von wird im in zu sich weil bei nach vor wie oben werden man jede alle bis zur zum durch dann danach zuerst auch während solange außerdem trotzdem innerhalb".split(),
     "es": "el la los las de que y a en un una por con se para del al es como cada hasta según sin más todos todas si pero entre antes después desde mientras también donde".split(),
     "fr": "le la les des de du et est un une a que en dans pour par avec on sur au aux se ne pas plus chaque selon sans jusqu tant toutes tous après même si car comme avant entre ce cette qui".split(),
+    "it": "il lo la i gli le di che e è un uno una per con del della dei delle nel nella al alla come ogni fino secondo senza più tutti tutte se ma tra prima dopo mentre anche dove non sono da".split(),
+    "nl": "de het een en van is niet met voor op te dat in aan bij naar over elke alle tot als maar dan eerst daarna ook tijdens zonder volgens worden wordt zijn heeft uit om we er".split(),
     "pt": "o a os as de que e em um uma do da dos das no na por com para se não como cada até sem mais todos todas enquanto antes depois após além disso isso é à ao pelo pela são".split(),
 }
 _LANGUAGES = {w: tuple(k for k, v in FUNCTION_WORDS.items() if w in v) for v in FUNCTION_WORDS.values() for w in v}
@@ -207,7 +251,7 @@ def _scores(text: str) -> dict[str, int]:
 
 
 def language(text: str) -> str | None:
-    """en, de, es, fr, pt, ru, or the name of another script; null where the prose is too short to tell."""
+    """en, de, es, fr, it, nl, pt, ru, or the name of another script; null where the prose is too short to tell."""
     script = _script(text)
     if script:
         return "ru" if script == "CYRILLIC" else script.lower()
@@ -363,8 +407,15 @@ def is_truncated(text: str | None) -> bool:
 
 def _prose_cut(t: str) -> bool:
     """Prose that ends inside a construct, a list item, or a sentence."""
-    last = t.split("\n")[-1].strip()
+    lines = [x.strip() for x in t.split("\n")]
+    last = lines[-1]
     whole = len(t.split()) <= 3
+    if (m := re.fullmatch(r"(\d+)[.)]", last)) and any(re.match(rf"{int(m[1]) - 1}[.)]\s", x) for x in lines):
+        return True  # the next item of a list, without its text
+    if last.startswith("|") and len(lines) > 1 and lines[-2].startswith("|"):
+        return not last.endswith("|") or last.count("|") < lines[-2].count("|")  # a row of a table
+    if re.search(r"(?:https?://|www\.)\S+\w/?$", last):
+        return False  # a source at the end
     if re.fullmatch(r"[*_#>\s]*[-+]?[\d.,/%$\\{}\w^]+[*_]*" if whole else r"[-+]?\d[\d.,/%]*", last):
         return False  # a bare value, alone or in a line of its own
     if [x for x in parse_open(t, False) if x != "<p>"]:

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from evalloom.llm import defects as D
@@ -38,10 +40,46 @@ def test_other_prompts():
     assert D.defect("", "fine.") is None
 
 
-def test_tiling_prefers_long_runs_and_covers_repeats():
+def test_tiles_do_not_overlap_and_the_longest_come_first():
     a, b = "a b c d e f g".split(), "x a b c d e y a b c d e f g".split()
-    assert D.tiled(a, b) == [False, True, True, True, True, True, False, *[True] * 7]
-    assert D.tiled([], b) == [False] * 14 and D.tiled(a, []) == []
+    assert D.tiles(a, b) == [(0, 7, 7)]  # the pattern's words are used up by the longer run
+    marks, of_pattern = D.covered(a, b)
+    assert list(marks) == [0, 1, 1, 1, 1, 1, 0, *[1] * 7] and of_pattern == 7
+    assert D.tiles([], b) == [] and D.tiles(a, []) == []
+    c = [f"w{i}" for i in range(40)]
+    moved = c[20:] + ["new"] + c[:20]
+    assert sorted(D.tiles(c, moved)) == [(0, 21, 20), (20, 0, 20)]
+    rnd = random.Random(3)
+    for _ in range(60):
+        p, t = ([rnd.choice("abc") for _ in range(rnd.randrange(40))] for _ in range(2))
+        found = D.tiles(p, t, 3)
+        assert all(p[i : i + n] == t[j : j + n] and n >= 3 for i, j, n in found)
+        at_p, at_t = [x for i, _, n in found for x in range(i, i + n)], [x for _, j, n in found for x in range(j, j + n)]
+        assert len(at_p) == len(set(at_p)) and len(at_t) == len(set(at_t)) and [n for *_, n in found] == sorted((n for *_, n in found), reverse=True)
+        free_p, free_t = (["-" if x in set(at) else w for x, w in enumerate(words)] for words, at in ((p, at_p), (t, at_t)))
+        left = {tuple(free_p[i : i + 3]) for i in range(len(free_p) - 2)} & {tuple(free_t[j : j + 3]) for j in range(len(free_t) - 2)}
+        assert all("-" in x for x in left)
+
+
+@pytest.mark.parametrize(
+    "response, kind",
+    [
+        ("As a language model, I have no way to solve this.", "refusal"), ("We lack the means to answer a question about lists.", "refusal"), ("I'm not in a position to help here.", "refusal"),
+        ("Es tut mir leid, aber ich kann Ihnen bei dieser Aufgabe nicht helfen.", "refusal"), ("Leider darf ich diese Frage nicht beantworten.", "refusal"), ("Ich lehne es ab, diese Liste zu bearbeiten.", "refusal"),
+        ("Lo siento, pero no puedo ayudarte con esa petición.", "refusal"), ("Me niego a responder a esta pregunta.", "refusal"), ("No me es posible resolver este problema.", "refusal"),
+        ("Désolé, je ne peux pas répondre à cette question.", "refusal"), ("Je refuse de traiter cette demande.", "refusal"), ("Il m'est impossible de vous aider.", "refusal"),
+        ("Desculpe, mas não posso ajudar com isso.", "refusal"), ("Recuso-me a resolver esta lista.", "refusal"), ("Mi dispiace, non posso aiutarti con questa lista.", "refusal"),
+        ("Извините, я не могу помочь с этой задачей.", "refusal"), ("Я отказываюсь отвечать на этот вопрос.", "refusal"),
+        ("Eerst deelt het proces de lengte van de reeks en dan worden alle waarden met elkaar vergeleken, zonder dat een stap wordt herhaald.", "other_language"),
+        ("Prima la ricerca scarta uno stato precedente come indicato sopra, dopo il ciclo conta tutte le chiavi entro il limite della lista.", "other_language"),
+        ("These are the steps:\n1. Sort the list.\n2. Take both ends.\n3.", "truncated"), ("These are the steps:\n1. Sort the list.\n2. Take both ends.", None),
+        ("| a | b |\n|---|---|\n| 1 | 2 |", None), ("| a | b |\n|---|---|\n| 1 |", "truncated"), ("| a | b |\n|---|---|\n| 1 | 2", "truncated"),
+        ("The rule is explained in full at https://example.org/rules/two-sum", None), ("It follows from the rule that (as was shown", "truncated"),
+        ("Some cases cannot be solved in one pass. Two passes are enough, as the list is sorted.", None), ("No list is sorted twice, and no number can give two pairs.", None),
+    ],
+)
+def test_cases_beyond_english_sentences(response, kind):
+    assert D.defect(PROMPT, response) == kind
 
 
 def test_pushdown_parser():
