@@ -1,7 +1,8 @@
 """Problem 5: files of one kind whose fields come, go, are renamed and change type.
 
-Every line is flattened once, in parallel, into leaves. A file's header is the set of its leaves with their types, folded
-through the lattice below; headers of successive files are compared, and the union schema is the fold over all files.
+Files are read in parallel for their headers: the leaves of all lines with their types, folded where they are read. Headers of
+successive files are compared, and the union schema is the fold over all files through the lattice below. Only fields that left or came
+are read again, with their values, to tell which were renamed.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from evalloom.session import materialize
 #: Bits of the types; a set of types is their sum, and more than one type promotes to string in the union schema.
 STRING, NUMBER, BOOLEAN, ARRAY = 1, 2, 4, 8
 NAMES = {STRING: "string", NUMBER: "number", BOOLEAN: "boolean", ARRAY: "array"}
+HEADERS = "file_id long, path string, kind int, cycle double"
 LEAVES = "file_id long, cycle double, path string, kind int, value long"
 
 
@@ -51,21 +53,49 @@ def leaves(record: dict, left_out: frozenset[str], prefix: str = "") -> Iterator
             yield path, v
 
 
-def _flatten(batches: Iterator[pa.RecordBatch], snapshots: tuple[str, ...], left_out: frozenset[str]) -> Iterator[pa.RecordBatch]:
+def _cycle(record: dict) -> float | None:
+    cycle = record.get("cycle")
+    return float(cycle) if isinstance(cycle, (int, float)) and not isinstance(cycle, bool) else None
+
+
+def _header_rows(batches: Iterator[pa.RecordBatch], snapshots: tuple[str, ...], left_out: frozenset[str]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        files, cycles, paths, kinds, values = [], [], [], [], []
+        kinds: dict[tuple[int, str], int] = {}
+        cycles: set[tuple[int, float]] = set()
         for file, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             record = parsed(body, snapshots)
             if record is None:
                 continue
-            cycle = record.get("cycle")
-            cycle = float(cycle) if isinstance(cycle, (int, float)) and not isinstance(cycle, bool) else None
+            if (cycle := _cycle(record)) is not None:
+                cycles.add((file, cycle))
+            for path, v in leaves(record, left_out):
+                kinds[file, path] = kinds.get((file, path), 0) | _type(v)
+        n, m = len(kinds), len(cycles)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([f for f, _ in kinds] + [f for f, _ in cycles], pa.int64()), pa.array([p for _, p in kinds] + [None] * m, pa.string()),
+                pa.array([*kinds.values(), *[None] * m], pa.int32()), pa.array([None] * n + [c for _, c in cycles], pa.float64()),
+            ],
+            names=["file_id", "path", "kind", "cycle"],
+        )
+
+
+def _leaf_rows(batches: Iterator[pa.RecordBatch], snapshots: tuple[str, ...], left_out: frozenset[str]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        files, cycles, paths, kinds, values = [], [], [], [], []
+        for file, body, wanted in zip(*(b.column(i).to_pylist() for i in range(3))):
+            record = parsed(body, snapshots)
+            cycle = None if record is None else _cycle(record)
+            if cycle is None:
+                continue
+            wanted = frozenset(wanted)
             for path, v in leaves(record, left_out):
-                files.append(file)
-                cycles.append(cycle)
-                paths.append(path)
-                kinds.append(_type(v))
-                values.append(xxhash.xxh3_64_intdigest(_canonical(v)) - (1 << 63))
+                if path in wanted:
+                    files.append(file)
+                    cycles.append(cycle)
+                    paths.append(path)
+                    kinds.append(_type(v))
+                    values.append(xxhash.xxh3_64_intdigest(_canonical(v)) - (1 << 63))
         yield pa.RecordBatch.from_arrays(
             [pa.array(files, pa.int64()), pa.array(cycles, pa.float64()), pa.array(paths, pa.string()), pa.array(kinds, pa.int32()), pa.array(values, pa.int64())],
             names=["file_id", "cycle", "path", "kind", "value"],
@@ -76,10 +106,11 @@ def file_id() -> F.Column:
     return F.xxhash64("table_name", "run_id", "file_name")
 
 
-def flattened(rows: DataFrame, snapshots: tuple[str, ...] = (), left_out: tuple[str, ...] = ()) -> DataFrame:
-    """Distinct leaves of all lines: file_id, cycle, path, kind, value (a 64-bit hash of the canonical value)."""
+def headers(rows: DataFrame, snapshots: tuple[str, ...] = (), left_out: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(file_id, path, kinds) of the leaves of each file, and (file_id, cycle) of the cycles that it reports. Folded within each batch before anything is shuffled."""
     r = rows.select(file_id().alias("f"), F.col("body").alias("b")).filter("b is not null")
-    return r.mapInArrow(partial(_flatten, snapshots=snapshots, left_out=frozenset(left_out)), LEAVES).distinct()
+    h = materialize(r.mapInArrow(partial(_header_rows, snapshots=snapshots, left_out=frozenset(left_out)), HEADERS), "headers")
+    return h.filter("path is not null").groupBy("file_id", "path").agg(F.bit_or("kind").alias("kinds")), h.filter("cycle is not null").select("file_id", "cycle").distinct()
 
 
 def changes(rows: DataFrame, snapshots: tuple[str, ...] = (), left_out: tuple[str, ...] = ()) -> DataFrame:
@@ -88,35 +119,35 @@ def changes(rows: DataFrame, snapshots: tuple[str, ...] = (), left_out: tuple[st
     rows: table_name, run_id, file_name, written_at, body. Files follow each other by written_at, then name; when they
     arrive plays no part, and repeated lines change nothing. Lines that are no JSON objects hold nothing. A leaf of several types in a
     file has the type "mixed" of just these. A rename is found without comparing every pair of fields: over the cycles that both files
-    report, each field that left or came is reduced to one fingerprint of its cycles and values, and equal ones are joined.
-    A run of one file has no changes; an empty table gives no rows.
+    report, each field that left or came is reduced to one fingerprint of its cycles and values, and equal ones are joined; of files in which
+    nothing left or nothing came, no value is read. A run of one file has no changes; an empty table gives no rows.
     """
-    leaf = materialize(flattened(rows, snapshots, left_out), "leaves")
+    header, said = headers(rows, snapshots, left_out)
     files = rows.groupBy("table_name", "run_id", "file_name").agg(F.min("written_at").alias("written_at")).withColumn("file_id", file_id())
     w = Window.partitionBy("table_name", "run_id").orderBy("written_at", "file_name")
     steps = files.withColumn("before", F.lag("file_id").over(w)).filter("before is not null")
     steps = materialize(steps.select("table_name", "run_id", "file_name", "file_id", "before"), "steps")
 
-    header = leaf.groupBy("file_id", "path").agg(F.bit_or("kind").alias("kinds"))
     step = steps.select("file_id", "before")
     later = header.join(step.select("file_id"), "file_id").select("file_id", "path", F.col("kinds").alias("new"))
     earlier = header.withColumnRenamed("file_id", "before").join(step, "before").select("file_id", "path", F.col("kinds").alias("old"))
-    both = materialize(earlier.join(later, ["file_id", "path"], "full_outer").filter("old is null or new is null or old <> new"), "headers")
-
-    said = leaf.filter("path = 'cycle' and cycle is not null").select("file_id", "cycle").distinct()
-    shared = said.join(step.join(said.select(F.col("file_id").alias("before"), "cycle"), "before"), ["file_id", "cycle"], "left_semi")
-    shared = step.join(shared, "file_id").join(said.select(F.col("file_id").alias("before"), "cycle"), ["before", "cycle"], "left_semi").select("file_id", "before", "cycle")
-
-    def prints(side: DataFrame, own: str) -> DataFrame:
-        """file_id, path, print of the fields in ``side`` (file_id, path), whose values are those of the file in column ``own``."""
-        at = shared.join(side, "file_id").select("file_id", F.col(own).alias("holder"), "cycle", "path")
-        v = at.join(leaf.select(F.col("file_id").alias("holder"), "cycle", "path", "kind", "value"), ["holder", "cycle", "path"])
-        fp = F.struct(F.bit_xor(F.xxhash64("cycle", "kind", "value")).alias("x"), F.bit_xor(F.xxhash64("value", "cycle", "kind", F.lit(1))).alias("y"), F.count("*").alias("n"))
-        return v.groupBy("file_id", "path").agg(fp.alias("print"))
-
-    gone = prints(both.filter("new is null").select("file_id", "path"), "before")
-    came = prints(both.filter("old is null").select("file_id", "path"), "file_id")
-    renamed = materialize(gone.join(came.withColumnRenamed("path", "new_path"), ["file_id", "print"]).select("file_id", "path", "new_path"), "renamed")
+    both = materialize(earlier.join(later, ["file_id", "path"], "full_outer").filter("old is null or new is null or old <> new"), "differ")
+
+    # per step with fields that left and fields that came: the file that holds each of them
+    moved = both.groupBy("file_id").agg(F.collect_list(F.when(F.col("new").isNull(), F.col("path"))).alias("gone"), F.collect_list(F.when(F.col("old").isNull(), F.col("path"))).alias("came"))
+    moved = materialize(moved.filter("size(gone) > 0 and size(came) > 0").join(step, "file_id").select("file_id", "before", F.inline(F.array(F.struct(F.col("before").alias("holder"), F.col("gone").alias("paths")), F.struct(F.col("file_id").alias("holder"), F.col("came").alias("paths"))))), "moved")
+    wanted = moved.groupBy("holder").agg(F.array_distinct(F.flatten(F.collect_list("paths"))).alias("wanted"))
+    bodies = rows.filter("body is not null").select(file_id().alias("holder"), "body").join(wanted, "holder")
+    leaf = bodies.select("holder", "body", "wanted").mapInArrow(partial(_leaf_rows, snapshots=snapshots, left_out=frozenset(left_out)), LEAVES).distinct()
+
+    pairs = moved.select("file_id", "before").distinct()
+    shared = pairs.join(said, "file_id").join(said.select(F.col("file_id").alias("before"), "cycle"), ["before", "cycle"], "left_semi")
+    own = moved.select("file_id", "holder", (F.col("holder") == F.col("before")).alias("left"), F.explode("paths").alias("path"))
+    v = own.join(leaf.withColumnRenamed("file_id", "holder"), ["holder", "path"]).join(shared.select("file_id", "cycle"), ["file_id", "cycle"], "left_semi")
+    fp = F.struct(F.bit_xor(F.xxhash64("cycle", "kind", "value")).alias("x"), F.bit_xor(F.xxhash64("value", "cycle", "kind", F.lit(1))).alias("y"), F.count("*").alias("n"))
+    prints = materialize(v.groupBy("file_id", "left", "path").agg(fp.alias("print")), "prints")
+    came = prints.filter(~F.col("left")).select("file_id", F.col("path").alias("new_path"), "print")
+    renamed = materialize(prints.filter("left").join(came, ["file_id", "print"]).select("file_id", "path", "new_path"), "renamed")
     rest = both.join(renamed.select("file_id", "path"), ["file_id", "path"], "left_anti").join(renamed.select("file_id", F.col("new_path").alias("path")), ["file_id", "path"], "left_anti")
     kind = F.when(F.col("new").isNull(), "removed").when(F.col("old").isNull(), "added").otherwise("retyped")
     out = rest.select("file_id", kind.alias("change_kind"), F.col("path").alias("field_path"), F.lit("").alias("new_path"))
@@ -124,39 +155,45 @@ def changes(rows: DataFrame, snapshots: tuple[str, ...] = (), left_out: tuple[st
     return out.join(steps, "file_id").select("table_name", "run_id", "file_name", "change_kind", "field_path", "new_path")
 
 
-def union_schema(rows: DataFrame, snapshots: tuple[str, ...] = (), left_out: tuple[str, ...] = ()) -> DataFrame:
-    """table_name, field_path, field_type, n_files: the fold of all headers; several types promote to string."""
-    leaf = flattened(rows, snapshots, left_out)
-    files = rows.select("table_name", file_id().alias("file_id")).distinct()
-    header = leaf.groupBy("file_id", "path").agg(F.bit_or("kind").alias("kinds"))
-    f = header.join(files, "file_id").groupBy("table_name", F.col("path").alias("field_path")).agg(F.bit_or("kinds").alias("kinds"), F.count("*").alias("n_files"))
+def promoted(kinds: F.Column) -> F.Column:
+    """The lattice: one type stays itself, several promote to string, which holds all."""
     name = F.lit("string")
     for code, label in NAMES.items():
-        name = F.when(F.col("kinds") == code, label).otherwise(name)
-    return f.select("table_name", "field_path", name.alias("field_type"), "n_files")
+        name = F.when(kinds == code, label).otherwise(name)
+    return name
 
 
-def _fields(batches: Iterator[pa.RecordBatch], snapshots: tuple[str, ...], left_out: frozenset[str]) -> Iterator[pa.RecordBatch]:
-    kind = pa.map_(pa.string(), pa.string())
-    for b in batches:
-        out = []
-        for body in b.column(b.num_columns - 1).to_pylist():
-            record = parsed(body, snapshots)
-            out.append(None if record is None else [(p, v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)) for p, v in leaves(record, left_out)])
-        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, kind)], names=[*b.schema.names[:-1], "fields"])
+def union_schema(rows: DataFrame, snapshots: tuple[str, ...] = (), left_out: tuple[str, ...] = ()) -> DataFrame:
+    """table_name, field_path, field_type, n_files: the fold of all headers; several types promote to string."""
+    header, _ = headers(rows, snapshots, left_out)
+    files = rows.select("table_name", file_id().alias("file_id")).distinct()
+    f = header.join(files, "file_id").groupBy("table_name", F.col("path").alias("field_path")).agg(F.bit_or("kinds").alias("kinds"), F.count("*").alias("n_files"))
+    return f.select("table_name", "field_path", promoted(F.col("kinds")).alias("field_type"), "n_files")
 
 
-def unified(rows: DataFrame, schema: list[tuple[str, str]], snapshots: tuple[str, ...] = (), left_out: tuple[str, ...] = ()) -> DataFrame:
-    """seq, table_name, run_id, file_name, line_no and one column per (field_path, field_type): every valid line cast to one schema.
+def consistent_schema(rows: DataFrame, snapshots: tuple[str, ...] = (), left_out: tuple[str, ...] = ()) -> dict[str, tuple[str, str]]:
+    """field path -> (name in the table, type): the union schema with renamed fields under one name, that of the most files, then the least.
 
-    A value that cannot be read as its column's type is null there; fields outside the schema stay in the map ``fields``.
+    Names are only joined where no file has both. The driver holds field names and renames, of which there are few whatever the rows.
     """
-    keep = ["seq", "table_name", "run_id", "file_name", "line_no"]
-    r = rows.select(*keep, "body").mapInArrow(partial(_fields, snapshots=snapshots, left_out=frozenset(left_out)), "seq long, table_name string, run_id string, file_name string, line_no int, fields map<string,string>").filter("fields is not null")
-    cast = {"number": "double", "boolean": "boolean"}
-    cols = [F.col("fields")[path].try_cast(cast.get(kind, "string")).alias(path.replace(".", "__")) for path, kind in schema]
-    known = F.array(*[F.lit(p) for p, _ in schema]) if schema else F.expr("cast(array() as array<string>)")
-    return r.select(*keep, *cols, F.map_filter("fields", lambda k, v: ~F.array_contains(known, k)).alias("fields"))
+    header, _ = headers(rows, snapshots, left_out)
+    fields = {r["path"]: (r["kinds"], r["n"]) for r in header.groupBy("path").agg(F.bit_or("kinds").alias("kinds"), F.count("*").alias("n")).collect()}
+    edges = changes(rows, snapshots, left_out).filter("change_kind = 'renamed'").groupBy("field_path", "new_path").agg(F.count("*").alias("n")).collect()
+    name = {p: p for p in fields}
+    for _, a, b in sorted((-r["n"], r["field_path"], r["new_path"]) for r in edges):
+        if a in name and b in name and name[a] != name[b]:
+            new = min((name[a], name[b]), key=lambda x: (-fields[x][1], x))
+            old = {name[a], name[b]}
+            name = {p: new if x in old else x for p, x in name.items()}
+    moved = {p: x for p, x in name.items() if p != x}
+    if moved:
+        pairs = rows.sparkSession.createDataFrame(sorted(moved.items()) + sorted((x, x) for x in set(moved.values())), "path string, own string")
+        clash = {r["own"] for r in header.join(F.broadcast(pairs), "path").groupBy("file_id", "own").agg(F.count("*").alias("n")).filter("n > 1").select("own").distinct().collect()}
+        name = {p: p if x in clash else x for p, x in name.items()}
+    kinds: dict[str, int] = {}
+    for p, x in name.items():
+        kinds[x] = kinds.get(x, 0) | fields[p][0]
+    return {p: (x, NAMES.get(kinds[x], "string")) for p, x in name.items()}
 
 
 TYPED = "seq long, table_name string, run_id string, file_name string, line_no int, numbers map<string,double>, booleans map<string,boolean>, strings map<string,string>, arrays map<string,array<string>>"
@@ -182,7 +219,7 @@ CASTS = {
 }
 
 
-def _typed(batches: Iterator[pa.RecordBatch], schema: dict[str, str], snapshots: tuple[str, ...], left_out: frozenset[str]) -> Iterator[pa.RecordBatch]:
+def _typed(batches: Iterator[pa.RecordBatch], schema: dict[str, tuple[str, str]], snapshots: tuple[str, ...], left_out: frozenset[str]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         at, maps = [], {kind: [] for kind in CASTS}
         for n, body in enumerate(b.column(b.num_columns - 1).to_pylist()):
@@ -192,18 +229,18 @@ def _typed(batches: Iterator[pa.RecordBatch], schema: dict[str, str], snapshots:
             at.append(n)
             own: dict[str, dict] = {kind: {} for kind in CASTS}
             for path, v in leaves(record, left_out):
-                kind = schema[path]
-                own[kind].setdefault(path, CASTS[kind][1](v))
+                name, kind = schema[path]
+                own[kind].setdefault(name, CASTS[kind][1](v))
             for kind, m in own.items():
                 maps[kind].append(list(m.items()))
         kept = [c.take(pa.array(at, pa.int64())) for c in b.columns[:-1]]
         yield pa.RecordBatch.from_arrays([*kept, *[pa.array(m, pa.map_(pa.string(), CASTS[kind][0])) for kind, m in maps.items()]], names=[*b.schema.names[:-1], *(f"{kind}s" for kind in maps)])
 
 
-def typed(rows: DataFrame, schema: dict[str, str], snapshots: tuple[str, ...] = (), left_out: tuple[str, ...] = ()) -> DataFrame:
+def typed(rows: DataFrame, schema: dict[str, tuple[str, str]], snapshots: tuple[str, ...] = (), left_out: tuple[str, ...] = ()) -> DataFrame:
     """seq, table_name, run_id, file_name, line_no, numbers, booleans, strings, arrays: every valid line, each field cast to its promoted type.
 
-    schema: the type of every field that some line has. A field is in the map of its type, whatever share of the files has it, so the
+    schema: of every field that some line has its name in the table and its type, see ``consistent_schema``. A field is in the map of its type, whatever share of the files has it, so the
     table's columns never change as files are added; names that differ only in case stay apart. Elements of arrays are texts, those that are no strings as JSON.
     """
     keep = ["seq", "table_name", "run_id", "file_name", "line_no"]

@@ -7,6 +7,7 @@ its own place and its flat fields. The stream of all tags is written once, parti
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from functools import partial
 
@@ -119,10 +120,10 @@ def shred_json(rows: DataFrame, key: str, body: str, arrays: dict[str, str], sna
     return r.mapInArrow(partial(_shred, arrays=arrays, snapshots=snapshots, root=root), EMITTED)
 
 
-def shred_column(rows: DataFrame, key: str, column: str, tag: str) -> DataFrame:
-    """Tagged rows of a typed array of structs, natively. Null arrays and null elements give nothing; positions count all elements."""
-    e = rows.select(F.col(key).cast("long").alias("parent_seq"), F.posexplode(column).alias("_p", "_e")).filter("_e is not null")
-    return e.select(F.lit(tag).alias("tag"), "parent_seq", F.lit("").alias("parent_pos"), F.col("_p").cast("string").alias("pos"), F.to_json("_e").alias("payload"))
+def exploded(rows: DataFrame, key: str, column: str) -> DataFrame:
+    """parent_seq, pos, e: the elements of a typed array of structs, whose fields need no parsing. Null arrays and null elements give nothing; positions count all elements."""
+    e = rows.select(F.col(key).cast("long").alias("parent_seq"), F.posexplode(column).alias("_p", "e")).filter("e is not null")
+    return e.select("parent_seq", F.col("_p").cast("string").alias("pos"), "e")
 
 
 def write_tagged(tagged: DataFrame, path: str) -> None:
@@ -130,11 +131,17 @@ def write_tagged(tagged: DataFrame, path: str) -> None:
     tagged.write.mode("overwrite").partitionBy("tag").parquet(path)
 
 
-def read_tagged(spark: SparkSession, path: str, tag: str, schema: str | T.StructType) -> DataFrame:
-    """The table of one tag with its schema applied; only that partition is read. Fields of another type come out null."""
-    t = spark.read.parquet(path).filter(F.col("tag") == tag)
-    return apply_schema(t, schema).drop("tag")
+def read_tagged(spark: SparkSession, path: str, tag: str, schema: str | T.StructType, strict: tuple[str, ...] = ()) -> DataFrame:
+    """The table of one tag with its schema applied; only that partition is read. A tag that no record has gives an empty table."""
+    t = spark.read.schema(EMITTED).parquet(path).filter(F.col("tag") == tag)
+    return apply_schema(t, schema, strict).drop("tag")
 
 
-def apply_schema(tagged: DataFrame, schema: str | T.StructType) -> DataFrame:
-    return tagged.withColumn("_r", F.from_json("payload", schema)).select("tag", "parent_seq", "parent_pos", "pos", "_r.*")
+def apply_schema(tagged: DataFrame, schema: str | T.StructType, strict: tuple[str, ...] = ()) -> DataFrame:
+    """The fields of the payload by ``schema``; values that cannot be read as their type come out null, a number or boolean read as string as its text.
+    Fields in ``strict`` are strings only: values of another type come out null."""
+    s = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    r = tagged.withColumn("_r", F.from_json("payload", s))
+    # quotes inside values are escaped, so the pattern can only meet the field itself
+    own = lambda n: F.when(F.col("payload").rlike(re.escape(f'"{n}": "')), F.col(f"_r.`{n}`")) if n in strict else F.col(f"_r.`{n}`")
+    return r.select("tag", "parent_seq", "parent_pos", "pos", *[own(f.name).alias(f.name) for f in s.fields])

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Parents in one sorted array, and references probed against it at once, about.
-PARENTS, PROBES = 100_000, 100_000
+from evalloom.operators.totals import with_totals
+from evalloom.session import parallelism
+
+#: References probed against one range's sorted array at once, about.
+PROBES = 100_000
 
 
 def seconds(col: str, df: DataFrame) -> F.Column:
@@ -62,7 +63,7 @@ def _probe(refs: pa.Table, parents: pa.Table) -> pa.Table:
     )
 
 
-def orphans(refs: DataFrame, parents: DataFrame, n_parents: int | None = None) -> DataFrame:
+def orphans(refs: DataFrame, parents: DataFrame, ranges: int | None = None) -> DataFrame:
     """src_table, ref_field, src_seq, orphan_kind, t: one row per reference that misses its target.
 
     refs: src_table, ref_field, src_seq, target, key, t (unix seconds). parents: target, key, first (seconds when it came),
@@ -70,19 +71,20 @@ def orphans(refs: DataFrame, parents: DataFrame, n_parents: int | None = None) -
     (first is after t). Null keys refer to nothing; with a null t a target that exists is no miss. Repeated references
     are reported once each.
 
-    Keys are cut into even ranges of their 64-bit hash; a range's parents are one sorted array, against which batches of
-    references are probed. A range with many references, such as that of a hot key, is spread over as many tasks as it
-    needs, each with the range's parents.
+    Keys are cut into ``ranges`` even ranges of their 64-bit hash, by default as many as the session has shuffle partitions; a range's parents
+    are one sorted array, against which batches of references are probed. A range with many references, such as that of a hot key, is spread
+    over as many tasks as it needs, each with the range's parents. Beside the rows only one number per range is sent to the executors.
     """
-    p = parents.filter("key is not null").select("key", "first", "gone", F.xxhash64("target", "key").alias("h"))
-    r = refs.filter("key is not null").select("src_table", "ref_field", "src_seq", "key", "t", F.xxhash64("target", "key").alias("h"))
-    n = p.count() if n_parents is None else n_parents
-    bits = max(0, math.ceil(math.log2(max(1, n) / PARENTS)))
-    part = F.pmod(F.shiftrightunsigned("h", 64 - bits), F.lit(1 << bits)).cast("int") if bits else F.lit(0)
-    p, r = p.withColumn("part", part), r.withColumn("part", part)
-    spread = r.groupBy("part").agg(F.ceil(F.count("*") / F.lit(PROBES)).cast("int").alias("spread"))
-    r = r.join(spread, "part").withColumn("salt", F.pmod(F.xxhash64("src_seq", "ref_field"), F.col("spread")).cast("int"))
-    p = p.join(spread, "part").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("spread") - 1)))
+    n = ranges or parallelism(refs.sparkSession)
+    own = F.xxhash64("target", "key")
+    part = F.shiftright(F.shiftrightunsigned("h", 33) * F.lit(n), 31).cast("int")
+    p = parents.filter("key is not null").select("key", "first", "gone", own.alias("h")).withColumn("part", part)
+    r = refs.filter("key is not null").select("src_table", "ref_field", "src_seq", "key", "t", own.alias("h")).withColumn("part", part)
+    each = r.select("part", F.lit(1).alias("n")).unionByName(refs.sparkSession.range(n).select(F.col("id").cast("int").alias("part"), F.lit(0).alias("n")))
+    sizes = each.groupBy("part").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / F.lit(PROBES))).cast("int").alias("spread"))
+    spread = sizes.agg(F.array_sort(F.collect_list(F.struct("part", "spread"))).alias("s")).select(F.col("s.spread").alias("s"))
+    r = with_totals(r, spread).withColumn("salt", F.pmod(F.xxhash64("src_seq", "ref_field"), F.element_at("s", F.col("part") + 1)).cast("int"))
+    p = with_totals(p, spread).withColumn("salt", F.explode(F.sequence(F.lit(0), F.element_at("s", F.col("part") + 1) - 1)))
     r = r.select("part", "salt", "h", "key", "src_table", "ref_field", "src_seq", "t")
     p = p.select("part", "salt", "h", "key", "first", "gone")
     both = r.groupBy("part", "salt").cogroup(p.groupBy("part", "salt"))

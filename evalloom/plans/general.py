@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalloom.functions.text import key
 from evalloom.operators import drift, nested, orphans
-from evalloom.session import table
+from evalloom.session import run_dir, table
 
 ARRAYS = {
     "config_snapshot.model.adapters": "adapters",
@@ -19,34 +21,32 @@ SNAPSHOTS = ("config_snapshot",)
 LEFT_OUT = ("config_snapshot.model.adapters", "config_snapshot.verifier.backends")
 
 
-def p2_tagged(spark: SparkSession, d: str) -> DataFrame:
-    """All child rows of both sources in one tagged stream."""
-    typed = nested.shred_column(table(spark, d, "verify_decisions"), "seq", "per_backend", "per_backend")
-    return typed.unionByName(nested.shred_json(table(spark, d, "decision_records"), "seq", "body", ARRAYS, SNAPSHOTS, root="model"))
+#: Schemas of the tables that one record falls into.
+SCHEMAS = {
+    "model": "`config_snapshot.model.model_path` string",
+    "adapters": "adapter_id string",
+    "merges": "merge_id string",
+    "backends": "backend string",
+    "checks": "`check` string, verdict string",
+}
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    t = p2_tagged(spark, d)
-    field = lambda name: F.get_json_object("payload", f"$.{name}")
-    # of the record's own fields only a string counts as the model's path
-    # (quotes inside values are escaped, so the pattern can only meet the field itself)
-    path = F.get_json_object("payload", "$['config_snapshot.model.model_path']")
-    quoted = F.col("payload").rlike(r'"config_snapshot\.model\.model_path": "')
-    label = (
-        F.when(F.col("tag") == "per_backend", F.concat(field("backend"), F.lit("/"), field("verdict")))
-        .when(F.col("tag") == "model", F.when(quoted, path))
-        .when(F.col("tag") == "adapters", field("adapter_id"))
-        .when(F.col("tag") == "merges", field("merge_id"))
-        .when(F.col("tag") == "backends", field("backend"))
-        .when(F.col("tag") == "checks", F.concat(F.coalesce(field("check"), F.lit("")), F.lit("/"), F.coalesce(field("verdict"), F.lit(""))))
-    )
-    return t.select(F.col("tag").alias("child_table"), "parent_seq", "pos", label.alias("label")).filter("label is not null")
+    """Records are shredded in one pass into one written stream of tags, which is read by tag; the typed array needs no parsing."""
+    path = f"{run_dir(spark)}/tagged-{uuid.uuid4().hex}"
+    nested.write_tagged(nested.shred_json(table(spark, d, "decision_records"), "seq", "body", ARRAYS, SNAPSHOTS, root="model"), path)
+    text = lambda name: F.coalesce(F.col(name), F.lit(""))
+    labels = {"model": F.col("`config_snapshot.model.model_path`"), "adapters": F.col("adapter_id"), "merges": F.col("merge_id"), "backends": F.col("backend"), "checks": F.concat(text("check"), F.lit("/"), text("verdict"))}
+    out = nested.exploded(table(spark, d, "verify_decisions"), "seq", "per_backend").select(F.lit("per_backend").alias("child_table"), "parent_seq", "pos", F.concat("e.backend", F.lit("/"), "e.verdict").alias("label"))
+    for tag, label in labels.items():
+        t = nested.read_tagged(spark, path, tag, SCHEMAS[tag], strict=("config_snapshot.model.model_path",) if tag == "model" else ())
+        out = out.unionByName(t.select(F.lit(tag).alias("child_table"), "parent_seq", "pos", label.alias("label")))
+    return out.filter("label is not null")
 
 
 def p2_backends(spark: SparkSession, d: str) -> DataFrame:
-    t = nested.shred_column(table(spark, d, "verify_decisions"), "seq", "per_backend", "per_backend")
-    r = nested.apply_schema(t, "backend string, verdict string, time_ms long, property_id string")
-    return r.select("parent_seq", F.col("pos").cast("int").alias("place"), "backend", "verdict", "time_ms", "property_id")
+    e = nested.exploded(table(spark, d, "verify_decisions"), "seq", "per_backend")
+    return e.select("parent_seq", F.col("pos").cast("int").alias("place"), "e.backend", "e.verdict", "e.time_ms", "e.property_id")
 
 
 P2_BACKENDS = """
@@ -67,16 +67,13 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_schema(spark: SparkSession, d: str) -> DataFrame:
-    return drift.union_schema(_logs(spark, d), SNAPSHOTS, LEFT_OUT)
+    return drift.union_schema(_logs(spark, d), SNAPSHOTS)
 
 
 def p5_table(spark: SparkSession, d: str) -> DataFrame:
-    """One table of all lines: every field of the union schema, cast to its promoted type, in the map of that type."""
+    """One table of all lines: every field of the union schema, under one name for all of its names, cast to its promoted type, in the map of that type."""
     logs = _logs(spark, d)
-    f = drift.union_schema(logs, SNAPSHOTS, LEFT_OUT).groupBy("field_path").agg(F.min("field_type").alias("lo"), F.max("field_type").alias("hi"))
-    # field names, not rows
-    schema = {r["field_path"]: r["lo"] if r["lo"] == r["hi"] else "string" for r in f.collect()}
-    return drift.typed(logs, schema, SNAPSHOTS, LEFT_OUT)
+    return drift.typed(logs, drift.consistent_schema(logs, SNAPSHOTS), SNAPSHOTS)
 
 
 def _references(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -154,5 +151,41 @@ r AS (
 SELECT child_table, parent_seq, pos, label FROM r WHERE label IS NOT NULL
 """
 
+
+def _leaves_sql(left_out: tuple[str, ...] = ()) -> str:
+    """l: table_name, run_id, file_name, written_at, cycle, path, kind, value of all leaves of valid lines."""
+    out = " AND ".join(f"path <> '{p}' AND NOT starts_with(path, '{p}.')" for p in left_out) or "true"
+    return f"""
+WITH s AS (SELECT 'progress' AS table_name, seq, run_id, file_name, written_at, body FROM progress UNION ALL SELECT 'decision_records', seq, run_id, file_name, written_at, body FROM decision_records),
+v AS (SELECT table_name, run_id, file_name, written_at, CASE WHEN json_type(body, '$.config_snapshot') = 'VARCHAR' AND json_valid(json_extract_string(body, '$.config_snapshot'))
+  THEN json_merge_patch(body, json_object('config_snapshot', CAST(json_extract_string(body, '$.config_snapshot') AS JSON))) ELSE CAST(body AS JSON) END AS body FROM s WHERE json_valid(body)),
+t AS (SELECT table_name, run_id, file_name, written_at, TRY_CAST(CASE WHEN json_type(v.body, '$.cycle') NOT IN ('VARCHAR', 'BOOLEAN') THEN json_extract_string(v.body, '$.cycle') END AS DOUBLE) AS cycle,
+  replace(substr(j.fullkey, 3), '"', '') AS path, j.type AS type, j.value AS value FROM v, json_tree(v.body) j WHERE j.type NOT IN ('OBJECT', 'NULL') AND NOT contains(j.fullkey, '[')),
+l AS (SELECT table_name, run_id, file_name, written_at, cycle, path, CASE type WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' ELSE 'number' END AS kind,
+  CASE WHEN type IN ('VARCHAR', 'BOOLEAN', 'ARRAY') THEN CAST(value AS VARCHAR) ELSE CAST(CAST(value AS DOUBLE) AS VARCHAR) END AS value FROM t WHERE {out})"""
+
+
+P5_SCHEMA = _leaves_sql() + """
+SELECT table_name, path AS field_path, CASE WHEN count(DISTINCT kind) = 1 THEN min(kind) ELSE 'string' END AS field_type, count(DISTINCT run_id || '/' || file_name) AS n_files FROM l GROUP BY 1, 2
+"""
+P5_FOUND = _leaves_sql(LEFT_OUT) + """,
+f AS (SELECT table_name, run_id, file_name, lag(file_name) OVER (PARTITION BY table_name, run_id ORDER BY written_at, file_name) AS prev FROM (SELECT table_name, run_id, file_name, min(written_at) AS written_at FROM s GROUP BY ALL)),
+h AS (SELECT table_name, run_id, file_name, path, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds FROM l GROUP BY ALL),
+n AS (SELECT f.*, h.path AS path, h.kinds AS kinds FROM f JOIN h USING (table_name, run_id, file_name) WHERE prev IS NOT NULL),
+o AS (SELECT f.*, h.path AS path, h.kinds AS kinds FROM f JOIN h ON h.table_name = f.table_name AND h.run_id = f.run_id AND h.file_name = f.prev),
+d AS (SELECT coalesce(n.table_name, o.table_name) AS table_name, coalesce(n.run_id, o.run_id) AS run_id, coalesce(n.file_name, o.file_name) AS file_name, coalesce(n.prev, o.prev) AS prev, coalesce(n.path, o.path) AS path,
+  CASE WHEN n.path IS NULL THEN 'removed' WHEN o.path IS NULL THEN 'added' ELSE 'retyped' END AS kind
+  FROM n FULL JOIN o ON n.table_name = o.table_name AND n.run_id = o.run_id AND n.file_name = o.file_name AND n.path = o.path WHERE n.kinds IS DISTINCT FROM o.kinds),
+c AS (SELECT DISTINCT table_name, run_id, file_name, cycle FROM l WHERE cycle IS NOT NULL),
+k AS (SELECT f.table_name AS table_name, f.run_id AS run_id, f.file_name AS file_name, a.cycle AS cycle FROM f JOIN c a ON a.table_name = f.table_name AND a.run_id = f.run_id AND a.file_name = f.file_name
+  JOIN c b ON b.table_name = f.table_name AND b.run_id = f.run_id AND b.file_name = f.prev AND b.cycle = a.cycle),
+p AS (SELECT d.table_name, d.run_id, d.file_name, d.kind, d.path, list_sort(list_distinct(list(printf('%.6f', l.cycle) || l.kind || l.value))) AS said FROM d
+  JOIN l ON l.table_name = d.table_name AND l.run_id = d.run_id AND l.file_name = CASE d.kind WHEN 'removed' THEN d.prev ELSE d.file_name END AND l.path = d.path
+  JOIN k ON k.table_name = d.table_name AND k.run_id = d.run_id AND k.file_name = d.file_name AND k.cycle = l.cycle WHERE d.kind <> 'retyped' GROUP BY ALL),
+r AS (SELECT a.table_name, a.run_id, a.file_name, a.path AS path, b.path AS new_path FROM p a JOIN p b ON a.table_name = b.table_name AND a.run_id = b.run_id AND a.file_name = b.file_name AND a.kind = 'removed' AND b.kind = 'added' AND a.said = b.said)
+SELECT file_name, 'renamed' AS change_kind, path AS field_path, new_path FROM r
+UNION ALL SELECT file_name, kind, path, '' FROM d WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.table_name = d.table_name AND r.run_id = d.run_id AND r.file_name = d.file_name AND (r.path = d.path AND d.kind = 'removed' OR r.new_path = d.path AND d.kind = 'added'))
+"""
+
 QUERIES = {f.__name__: f for f in (p2_found, p2_backends, p5_found, p5_schema, p5_table, p6_found, p6_report)}
-SQL = {"p2_found": P2_FOUND, "p2_backends": P2_BACKENDS, "p6_found": P6_FOUND, "p6_report": P6_REPORT}
+SQL = {"p2_found": P2_FOUND, "p2_backends": P2_BACKENDS, "p5_found": P5_FOUND, "p5_schema": P5_SCHEMA, "p6_found": P6_FOUND, "p6_report": P6_REPORT}

@@ -47,8 +47,6 @@ def test_empty_and_union_schema(spark):
     assert changes(spark) == set()
     t = logs(spark, ("r", "f", [{"a": 1, "b": True}]), ("r", "g", [{"a": "x", "b": False}]))
     assert {(r.field_path, r.field_type, r.n_files) for r in D.union_schema(t).collect()} == {("a", "string", 2), ("b", "boolean", 2)}
-    u = D.unified(t, [("a", "number"), ("b", "boolean")])
-    assert sorted((r.seq, r.a, r.b) for r in u.collect()) == [(0, 1.0, True), (1, None, False)]
 
 
 def test_every_field_is_typed_however_few_files_have_it(spark, monkeypatch):
@@ -64,3 +62,14 @@ def test_every_field_is_typed_however_few_files_have_it(spark, monkeypatch):
     assert (r.numbers, r.booleans, r.strings) == ({"cycle": 9.0, "renamed.x": 0.5}, {"Ok": False}, {"a": "9"})
     assert r.arrays == {"l": ["1", "b", None, '{"c": 1}']}
     assert (rows["f3", 0].numbers, rows["f3", 0].booleans, rows["f3", 0].strings) == ({"cycle": 3.0}, {"ok": True}, {"a": "3"})
+
+
+def test_renamed_fields_share_one_name_unless_a_file_has_both(spark):
+    a = [{"cycle": 1, "old": 1, "x": 5}, {"cycle": 2, "old": 2, "x": 6}]
+    b = [{"cycle": 2, "new": 2, "y": 6}, {"cycle": 3, "new": "3", "y": 7}]
+    c = [{"cycle": 4, "x": 1, "y": 2}]
+    t = logs(spark, ("r", "f", a), ("r", "g", b), ("s", "h", c))
+    schema = D.consistent_schema(t)
+    assert schema["old"] == schema["new"] == ("new", "string") and schema["x"] == ("x", "number") and schema["y"] == ("y", "number")
+    rows = sorted((r.file_name, r.line_no, r.strings.get("new")) for r in D.typed(t, schema).collect())
+    assert rows == [("f", 0, "1"), ("f", 1, "2"), ("g", 0, "2"), ("g", 1, "3"), ("h", 0, None)]

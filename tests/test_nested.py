@@ -34,8 +34,8 @@ def test_invalid_null_and_empty_lines_give_nothing(spark):
 
 def test_typed_column(spark):
     df = spark.createDataFrame([(1, [None, ("b", "v")]), (2, None), (3, [])], "seq long, e array<struct<backend:string,verdict:string>>")
-    t = N.apply_schema(N.shred_column(df, "seq", "e", "child"), "backend string, verdict string")
-    assert [(r.tag, r.parent_seq, r.pos, r.backend, r.verdict) for r in t.collect()] == [("child", 1, "1", "b", "v")]
+    t = N.exploded(df, "seq", "e").select("parent_seq", "pos", "e.*")
+    assert [tuple(r) for r in t.collect()] == [(1, "1", "b", "v")]
 
 
 def test_write_and_read_by_tag(spark, tmp_path):
@@ -43,3 +43,10 @@ def test_write_and_read_by_tag(spark, tmp_path):
     N.write_tagged(N.shred_json(rows(spark, body), "seq", "body", ARRAYS, ("c",), root="r"), str(tmp_path / "t"))
     assert [(r.pos, r.w) for r in N.read_tagged(spark, str(tmp_path / "t"), "g", "w double").collect()] == [("0.0", 2.5)]
     assert [(r.parent_seq, r.id) for r in N.read_tagged(spark, str(tmp_path / "t"), "a", "id long").collect()] == [(0, 1)]
+    assert N.read_tagged(spark, str(tmp_path / "t"), "none", "id long").count() == 0
+
+
+def test_strict_fields_are_strings_only(spark):
+    bodies = [json.dumps({"p.q": v, "o": 'say "p.q": "x"'}) for v in ("m", 5, True, None, ["m"])]
+    t = N.apply_schema(N.shred_json(rows(spark, *bodies), "seq", "body", {}, (), root="r"), "`p.q` string", strict=("p.q",))
+    assert sorted((r.parent_seq, r["p.q"]) for r in t.collect()) == [(0, "m"), (1, None), (2, None), (3, None), (4, None)]

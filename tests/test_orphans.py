@@ -20,7 +20,6 @@ def brute(refs, parents):
 
 
 def test_against_brute_force_with_hot_key_nulls_ties_and_clashing_columns(spark, monkeypatch):
-    monkeypatch.setattr(O, "PARENTS", 20)
     monkeypatch.setattr(O, "PROBES", 50)
     rnd = random.Random(1)
     parents = [("p", f"k{i}", rnd.choice([1.0, 5.0, 9.0, None]), rnd.choice([None, 4.0, 5.0]), 0) for i in range(150)]
