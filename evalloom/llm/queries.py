@@ -100,7 +100,10 @@ def _q(text: str) -> str:
 
 # The SQL's own list of look-alikes, written without the engine: Cyrillic, Greek, Armenian.
 _ALIKE = ("АВЕЅІЈКМНОРСТУХаеосрухѕіјһԁԛԝгԜΑΒΕΖΗΙΚΜΝΟΡΤΥΧοϳνριαγՕՍօհոս", "ABESIJKMHOPCTYXaeocpyxsijhdqwrWABEZHIKMNOPTYXojvpiayOUohnu")
-_ACCENTED = (("ё", "ë"), ("Ё", "Ë"), ("ѐ", "è"), ("Ѐ", "È"), ("ї", "ï"), ("Ї", "Ï"), ("ў", "y̆"), ("Ў", "Y̆"), ("ѓ", "ŕ"), ("Ѓ", "Ѓ"), ("ќ", "ќ"), ("Ќ", "Ḱ"))
+_ACCENTED = (
+    ("ё", "ë"), ("Ё", "Ë"), ("ѐ", "è"), ("Ѐ", "È"), ("ї", "ï"), ("Ї", "Ï"), ("ў", "y̆"), ("Ў", "Y̆"), ("ѓ", "ŕ"), ("Ќ", "Ḱ"), ("ӑ", "ă"), ("Ӑ", "Ă"), ("ӓ", "ä"), ("Ӓ", "Ä"), ("ӧ", "ö"), ("Ӧ", "Ö"), ("ӱ", "ÿ"), ("Ӱ", "Ÿ"),
+    ("ά", "á"), ("ί", "í"), ("ϊ", "ï"), ("ό", "ó"), ("Ά", "Á"), ("Έ", "É"), ("Ή", "H́"), ("Ί", "Í"), ("Ϊ", "Ï"), ("Ό", "Ó"), ("Ύ", "Ý"), ("Ϋ", "Ÿ"),
+)
 _WIDE = "".join(map(chr, range(0xFF01, 0xFF5F))), "".join(map(chr, range(0x21, 0x7F)))
 _SPACES = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 _HIDDEN = "\u00ad\u034f\u061c\u200b\u200c\u200d\u200e\u200f\u2060\u2061\u2062\u2063\ufe0e\ufe0f\ufeff"
@@ -108,7 +111,6 @@ _HIDDEN = "\u00ad\u034f\u061c\u200b\u200c\u200d\u200e\u200f\u2060\u2061\u2062\u2
 
 def _look_sql(text: str) -> str:
     """The canonical form in SQL, for the look-alikes listed above."""
-    text = f"nfc_normalize({text})"
     for a, b in _ACCENTED:
         text = f"replace({text}, {_q(a)}, {_q(b)})"
     old, new = _ALIKE[0] + _WIDE[0] + _SPACES, _ALIKE[1] + _WIDE[1] + " " * len(_SPACES)
