@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalloom.functions import text as T
+from evalloom.functions.parsing import ORDINALS
 
 
 def numeric_exact(response: Column, want: Column, tol: float = 1e-4) -> Column:
@@ -58,6 +59,24 @@ def numeric_set_match(response: Column, want: Column, tol: float = 1e-3) -> Colu
     return (F.size(wanted) > 0) & F.forall(wanted, lambda w: F.exists(seen, lambda s: F.abs(s - w) / F.greatest(F.abs(w), F.lit(1.0)) <= tol))
 
 
+def canonical_grade(domain: Column, response: Column, canonical: Column) -> Column:
+    """The final answer of a sample against the canonical one, by the rule of its domain; null where there is no answer to compare, and for code, which is not run.
+
+    math: equal without wrappers, or as numbers, of two sides "name = value" the values. Others: equal up to case and blanks, or one holds the other.
+    """
+    bare = lambda x: T.latex_answer(x)
+    value = lambda x: T.strip(F.regexp_replace(x, r"^\s*[A-Za-z_][A-Za-z_0-9]*\s*=(?!=)\s*", ""))
+    name = lambda x: F.regexp_extract(x, r"^\s*([A-Za-z_][A-Za-z_0-9]*)\s*=(?!=)", 1)
+    g, c = bare(response), bare(canonical)
+    same_name = name(g) == name(c)
+    a, b = F.when(same_name, value(g)).otherwise(g), F.when(same_name, value(c)).otherwise(c)
+    x, y = T.parse_number(a), T.parse_number(b)
+    math = F.coalesce(F.abs(x - y) <= 1e-9 * F.greatest(F.lit(1.0), F.abs(y)), F.lower(a) == F.lower(b))
+    r, w = _flat(response), _flat(canonical)
+    other = (r == w) | F.contains(r, w) | F.contains(w, r)
+    return F.when((r != "") & (w != ""), F.when(domain == "math", math).when(domain != "code", other))
+
+
 def any_of(text: Column, phrases: tuple[str, ...]) -> Column:
     low = F.lower(text)
     return F.exists(F.array(*[F.lit(p) for p in phrases]), lambda p: F.contains(low, p))
@@ -110,10 +129,7 @@ OPPOSITES = (
 )
 
 
-STOPWORDS = frozenset(
-    """the a an and or but is are was were be been being to of in on at by for with from as that this these those it its we our you your they their i he she him her step steps
-    then so if thus hence therefore because since given have has had will can could should would may might must do does did done also only just more less than some any all no not yes""".split()
-)
+STOPWORDS = frozenset(T.STOPWORDS)
 _SENTENCE_END = re.compile(r"[!?;\n]+|\.(?!\d)|(?<!\d)\.")
 _WORD = re.compile(r"[a-z_][a-z0-9_]*")
 _NUMBER = re.compile(r"-?\d+(?:\.\d+)?(?:/\d+)?")
@@ -121,7 +137,7 @@ _FOR_ALL = re.compile(r"\b(?:for\s+all|every|each|any)\b")
 _SOME_NOT = re.compile(r"\b(?:there\s+exists?|some)\b.*?\bnot\b")
 _REFERS = re.compile(r"\bstep\s*\d+\b|\b(?:above|previous|earlier|prior)\b")
 _ASSIGNED = re.compile(r"(?<![\w.])([a-z_]\w*)\s*=(?!=)\s*([-+(]*\.?\d[-+*/^().\d ]*)(?!\w)")
-_MAY_BEGIN = re.compile(r"^[^\w\n]*(?:step\s*\d|\d{1,3}|justification|because|reason|rationale|the\s+reason)", re.I | re.M)
+_MAY_BEGIN = re.compile(rf"^[^\w\n]*(?:step\s*\d|\d{{1,3}}|{'|'.join(ORDINALS)}|justification|because|reason|rationale|this\s|the\s+reason)", re.I | re.M)
 _SIDES = [(frozenset(a.split()), frozenset(b.split())) for a, b in OPPOSITES]
 
 

@@ -11,11 +11,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words that carry no meaning of their own.
-STOPWORDS = (
-    "the a an and or but is are was were be been being to of in on at by for with from as that this these those it its we our you your they their i he she him her "
-    "step steps then so if thus hence therefore because since given have has had will can could should would may might must do does did done also only just more less than "
-    "some any all no not yes"
-).split()
+STOPWORDS = [
+    "the", "a", "an", "and", "or", "but", "is", "are", "was", "were", "be", "been", "being", "to", "of", "in", "on", "at", "by", "for", "with", "from", "as", "that", "this", "these", "those", "it", "its",
+    "we", "our", "you", "your", "they", "their", "i", "he", "she", "him", "her", "step", "steps", "then", "so", "if", "thus", "hence", "therefore", "because", "since", "given", "have", "has", "had", "will",
+    "can", "could", "should", "would", "may", "might", "must", "do", "does", "did", "done", "also", "only", "just", "more", "less", "than", "some", "any", "all", "no", "not", "yes",
+]
 
 # Words that hedge, and words that assert.
 HEDGES = ("maybe", "perhaps", "possibly", "might", "could be", "i think", "i believe", "not sure", "unsure", "guess", "probably", "seems", "appears to", "i'm not certain", "approximately", "roughly", "it depends")
@@ -325,7 +325,7 @@ def occurrences(x: Column, phrase: str) -> Column:
 def hedge_confidence(x: Column) -> Column:
     """0.5, raised by assertions and lowered by hedges per hundred words, within 0 and 1; 0 for an empty text."""
     def score(r: Column) -> Column:
-        total = lambda phrases: reduce(lambda a, b: a + b, [occurrences(r, p) for p in phrases])
+        total = lambda phrases: reduce(lambda a, b: a + b, [F.when(F.contains(r, F.lit(p)), occurrences(r, p)).otherwise(0) for p in phrases])
         words = F.greatest(F.size(F.filter(F.split(r, r"\s+"), lambda w: w != "")), F.lit(1))
         return 0.5 + 0.1 * (total(ASSERTIONS) / words * 100) - 0.15 * (total(HEDGES) / words * 100)
 
@@ -338,20 +338,25 @@ def confidence_mark(x: Column) -> Column:
     return F.when(v.between(0, 1), v)
 
 
+# Categories of parse issues, each with the phrases of which all are asked for; the first that holds counts.
+ISSUES = (
+    ("empty_response", ("empty response",)),
+    ("missing_block", ("missing problem",)),
+    ("missing_block", ("missing properties",)),
+    ("no_properties", ("no properties parsed",)),
+    ("bad_difficulty", ("difficulty", "< 0.3")),
+    ("bad_difficulty", ("difficulty", "not a float")),
+    ("bad_axis", ("axis", "not in")),
+    ("class_coverage_short", ("independence_classes",)),
+    ("no_reachable_class", ("reachability",)),
+    ("too_few_properties", ("only", "properties")),
+)
+
+
 def issue_category(x: Column) -> Column:
-    s = F.lower(x)
-    has = lambda p: F.contains(s, F.lit(p))
-    return (
-        F.when(has("empty response"), "empty_response")
-        .when(has("missing problem") | has("missing properties"), "missing_block")
-        .when(has("no properties parsed"), "no_properties")
-        .when(has("difficulty") & (has("< 0.3") | has("not a float")), "bad_difficulty")
-        .when(has("axis") & has("not in"), "bad_axis")
-        .when(has("independence_classes"), "class_coverage_short")
-        .when(has("reachability"), "no_reachable_class")
-        .when(has("only") & has("properties"), "too_few_properties")
-        .otherwise("other")
-    )
+    rules = F.array(*[F.struct(F.lit(name).alias("name"), F.array(*map(F.lit, phrases)).alias("phrases")) for name, phrases in ISSUES])
+    held = F.filter(rules, lambda r: F.forall(r["phrases"], lambda p: F.contains(F.lower(x), p)))
+    return F.coalesce(F.try_element_at(held, F.lit(1))["name"], F.lit("other"))
 
 
 def equations(x: Column) -> Column:

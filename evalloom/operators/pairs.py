@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evalloom.session import materialize
+
 
 def pairs_within(members: DataFrame, key: str, ident: str, carry: tuple[str, ...] = (), cell: int = 512) -> DataFrame:
     """All pairs of different ``ident`` that share ``key``: columns a, b (a < b), key, and X_a, X_b for carried columns.
@@ -31,3 +33,19 @@ def pairs_within(members: DataFrame, key: str, ident: str, carry: tuple[str, ...
     for c in carry:
         out += [F.when(flip, F.col(f"_l_{c}")).otherwise(F.col(f"_r_{c}")).alias(f"{c}_a"), F.when(flip, F.col(f"_r_{c}")).otherwise(F.col(f"_l_{c}")).alias(f"{c}_b")]
     return p.select(*out)
+
+
+def settled(links: DataFrame) -> DataFrame:
+    """id, accepted of every id that has an older neighbour, when each is taken in order and kept unless one kept before is its neighbour.
+
+    links: old, new, kept (the old one is kept whatever its own neighbours). An id is barred by a kept older neighbour, and kept once all of them are
+    barred; ids without older neighbours are kept. A round decides all whose neighbours are decided, so there are as many rounds as the longest chain.
+    """
+    status = links.select(F.col("new").alias("id"), F.lit(None).cast("boolean").alias("accepted")).distinct()
+    while True:
+        older = status.select(F.col("id").alias("old"), F.col("accepted").alias("is"), F.lit(True).alias("known"))
+        j = links.join(older, "old", "left").select("new", F.when(F.col("kept") | F.col("known").isNull(), True).otherwise(F.col("is")).alias("is"))
+        g = j.groupBy(F.col("new").alias("id")).agg(F.bool_or(F.coalesce("is", F.lit(False))).alias("bars"), F.bool_and(F.coalesce(~F.col("is"), F.lit(False))).alias("free"))
+        status = materialize(g.select("id", F.when(F.col("bars"), False).when(F.col("free"), True).alias("accepted")), "status")
+        if not status.filter("accepted is null").head(1):
+            return status

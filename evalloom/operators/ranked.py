@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalloom.operators.pairs import pairs_within
 from evalloom.operators.totals import with_totals
+from evalloom.session import materialize
 
 
 def jaccard(a: Column, b: Column, both_empty: float = 0.0) -> Column:
@@ -59,6 +64,33 @@ def rebalanced(df: DataFrame, domain: str, sub: str, severity: str, seq: str, do
     return capped(capped(df, domain, domain_share), sub, sub_share)
 
 
+def frontier(stats: DataFrame, key: str, accuracy: str, wrong: str) -> DataFrame:
+    """The one row to work on next: of the keys that were wrong last time the most accurate, else the least accurate one below 1; ties go to the least key."""
+    w = F.col(wrong)
+    order = [w.desc(), F.when(w, -F.col(accuracy)).otherwise(F.col(accuracy)), F.col(key)]
+    return stats.filter(w | (F.col(accuracy) < 1)).orderBy(*order).limit(1)
+
+
+def stratified_targets(rows: DataFrame, domain: str, n: int, retention: float = 0.37) -> DataFrame:
+    """domain, post, pre: how many questions of each domain to ask so that about ``n`` are asked, and before losses of ``retention``; halves are rounded to even."""
+    d = rows.filter(F.col(domain).isNotNull()).select(domain).distinct()
+    t = with_totals(d, d.agg(F.count("*").alias("n_domains")))
+    post = F.greatest(F.lit(1), F.bround(F.lit(float(n)) / F.col("n_domains")).cast("int"))
+    return t.select(domain, post.alias("post"), F.bround(post / retention).cast("int").alias("pre"))
+
+
+# Shares of difficulties at the start and at the end of a curriculum, and the cycles of its ramp.
+EARLY = {"easy": 0.45, "medium": 0.35, "hard": 0.15, "expert": 0.05}
+LATE = {"easy": 0.10, "medium": 0.25, "hard": 0.40, "expert": 0.25}
+RAMP = 20.0
+
+
+def difficulty_mix(cycle: Column, score: Column) -> dict[str, Column]:
+    """The share of each difficulty: from early to late by 0.4 of the ramp and 0.6 of the score; they sum to 1."""
+    t = F.least(F.lit(1.0), 0.4 * F.least(F.lit(1.0), cycle / RAMP) + 0.6 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))
+    return {k: EARLY[k] * (1 - t) + LATE[k] * t for k in EARLY}
+
+
 def prefix_pairs(sets: DataFrame, ident: str, tokens: str, threshold: float, old: str | None = None) -> DataFrame:
     """a < b: ids whose sets may have the Jaccard similarity ``threshold``; every pair that has it is among them.
 
@@ -92,14 +124,94 @@ def near_pairs(sets: DataFrame, ident: str, tokens: str, threshold: float) -> Da
     return across.unionByName(same)
 
 
-def nearest(queries: DataFrame, bank: DataFrame, ident: str, tokens: str) -> DataFrame:
-    """ident, best: the largest similarity of each query's token set to any of the bank's; 0 where they share nothing.
+def _classes(sets: DataFrame, ident: str, tokens: str, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(ids with their class, the first id of each class, links of classes at or above the threshold); ids with empty or null sets are in none."""
+    s = sets.filter(F.size(tokens) > 0).select(F.col(ident).alias("id"), F.array_sort(F.array_distinct(tokens)).alias("t")).withColumn("cls", F.xxhash64("t"))
+    one = materialize(s.groupBy("cls").agg(F.first("t").alias("t"), F.min("id").alias("first")), "classes")
+    side = lambda c: one.select(F.col("cls").alias(c), F.col("t").alias(f"t_{c}"), F.col("first").alias(f"first_{c}"))
+    cand = prefix_pairs(one, "cls", "t", threshold)
+    links = cand.join(side("a"), "a").join(side("b"), "b").filter(jaccard(F.col("t_a"), F.col("t_b")) >= threshold)
+    return s.select("id", "cls"), one.select("cls", "first"), links.select("a", "b", "first_a", "first_b")
+
+
+def without_earlier_like(sets: DataFrame, ident: str, tokens: str, threshold: float) -> DataFrame:
+    """ident of rows without any earlier row (by ident) of the similarity; each set once, so copies are never paired. Empty and null sets stay."""
+    members, first, links = _classes(sets, ident, tokens, threshold)
+    late = links.select(F.when(F.col("first_a") > F.col("first_b"), F.col("a")).otherwise(F.col("b")).alias("cls")).distinct()
+    kept = first.join(late, "cls", "left_anti").select(F.col("first").alias(ident))
+    return kept.unionByName(sets.filter(F.coalesce(F.size(tokens), F.lit(0)) <= 0).select(ident))
+
 
-    An inverted index of the bank's tokens is joined; equal sets count once on each side.
+def greedily_distinct(sets: DataFrame, ident: str, tokens: str, threshold: float) -> DataFrame:
+    """ident of the rows that stay when each, in the order of ident, is dropped if one kept before has the similarity. Empty and null sets stay.
+
+    Of equal sets only the first can stay, so sets are decided, not rows, in rounds over the links between sets.
+    """
+    from evalloom.operators.pairs import settled
+
+    members, first, links = _classes(sets, ident, tokens, threshold)
+    a_first = F.col("first_a") < F.col("first_b")
+    order = links.select(F.when(a_first, F.col("a")).otherwise(F.col("b")).alias("old"), F.when(a_first, F.col("b")).otherwise(F.col("a")).alias("new"), F.lit(False).alias("kept"))
+    barred = settled(materialize(order, "links")).filter("not accepted").select(F.col("id").alias("cls"))
+    kept = first.join(barred, "cls", "left_anti").select(F.col("first").alias(ident))
+    return kept.unionByName(sets.filter(F.coalesce(F.size(tokens), F.lit(0)) <= 0).select(ident))
+
+
+#: Queries that are sent to the executors at once.
+QUERY_BLOCK = 2000
+
+
+def _best_of_block(batches, queries: tuple):
+    """The best similarity of each query of the block to the rows of a partition; one row per query that met any."""
+    n, sizes, orders, words, starts, holders = queries
+    best = np.zeros(n)
+    for b in batches:
+        orders_b, lists = b.column(0), b.column(1)
+        flat = lists.flatten().to_numpy(zero_copy_only=False)
+        lengths = np.diff(lists.offsets.to_numpy()) if isinstance(lists, pa.ListArray) else np.array([len(x) for x in lists.to_pylist()])
+        when = orders_b.to_numpy(zero_copy_only=False)
+        at = np.searchsorted(words, flat)
+        at[at == len(words)] = 0
+        hit = words[at] == flat if len(words) else np.zeros(len(flat), bool)
+        ends = np.cumsum(lengths)
+        for row, (lo, hi) in enumerate(zip((ends - lengths).tolist(), ends.tolist())):
+            keys = at[lo:hi][hit[lo:hi]]
+            if not len(keys):
+                continue
+            met = np.bincount(np.concatenate([holders[starts[k] : starts[k + 1]] for k in keys.tolist()]), minlength=n)
+            if when[row] is not None and not np.isnan(when[row]):
+                met = np.where(orders > when[row], met, 0)
+            np.maximum(best, met / (sizes + (hi - lo) - met), out=best)
+    found = np.flatnonzero(best > 0)
+    if len(found):
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(best[found])], names=["q", "best"])
+
+
+def nearest(queries: DataFrame, bank: DataFrame, ident: str, tokens: str, before: str | None = None) -> DataFrame:
+    """ident, best: the largest similarity of each query's token set to any of the bank's; 0 where they share nothing, or the query has no tokens.
+
+    With ``before`` (a numeric column of both) a bank row counts only if its value is less than the query's; a null in the bank counts always.
+    The queries are a stated set, taken in blocks of QUERY_BLOCK that are sent to the executors with an index of their tokens; the bank is read where it
+    lies, whole, once a block, and gives one number per query and partition. Repeated bank rows change nothing.
     """
-    q = queries.select(ident, F.array_distinct(tokens).alias("t")).withColumn("c", F.xxhash64(F.array_sort("t")))
-    b = bank.select(F.array_distinct(tokens).alias("t")).filter("size(t) > 0").withColumn("bc", F.xxhash64(F.array_sort("t"))).dropDuplicates(["bc"])
-    qs = q.filter("size(t) > 0").dropDuplicates(["c"])
-    hits = qs.select("c", F.size("t").alias("nq"), F.explode("t").alias("w")).join(b.select("bc", F.size("t").alias("nb"), F.explode("t").alias("w")), "w")
-    best = hits.groupBy("c", "bc", "nq", "nb").agg(F.count("*").alias("n")).groupBy("c").agg(F.max(F.col("n") / (F.col("nq") + F.col("nb") - F.col("n"))).alias("best"))
-    return q.join(best, "c", "left").select(ident, F.coalesce("best", F.lit(0.0)).alias("best"))
+    spark = queries.sparkSession
+    q = materialize(queries.select(F.col(ident), F.array_distinct(F.transform(tokens, lambda t: F.xxhash64(t))).alias("t"), (F.col(before).cast("double") if before else F.lit(float("inf"))).alias("o")), "queries")
+    b = bank.filter(F.size(tokens) > 0).select((F.col(before).cast("double") if before else F.lit(None).cast("double")).alias("o"), F.array_distinct(F.transform(tokens, lambda t: F.xxhash64(t))).alias("t"))
+    full = q.filter("size(t) > 0")
+    blocks = max(1, -(-full.count() // QUERY_BLOCK))
+    out = q.filter("coalesce(size(t), 0) <= 0").select(ident, F.lit(0.0).alias("best"))
+    for block in range(blocks):
+        rows = full.filter(F.pmod(F.xxhash64(ident), F.lit(blocks)) == block).orderBy(ident).collect()
+        if not rows:
+            continue
+        sizes = np.array([len(r["t"]) for r in rows])
+        flat = np.array([w for r in rows for w in r["t"]], np.int64)
+        who = np.repeat(np.arange(len(rows)), sizes)
+        order = np.argsort(flat, kind="stable")
+        words, first = np.unique(flat[order], return_index=True)
+        orders = np.array([float("-inf") if r["o"] is None else r["o"] for r in rows])
+        index = (len(rows), sizes, orders, words, np.append(first, len(flat)), who[order])
+        best = b.select("o", "t").mapInArrow(partial(_best_of_block, queries=index), "q long, best double").groupBy("q").agg(F.max("best").alias("best"))
+        ids = spark.createDataFrame([(i, r[ident]) for i, r in enumerate(rows)], f"q long, {ident} {dict(queries.dtypes)[ident]}")
+        out = out.unionByName(ids.join(best, "q", "left").select(ident, F.coalesce("best", F.lit(0.0)).alias("best")))
+    return out

@@ -1,4 +1,4 @@
-"""Resampling tests. Small samples per group: histories of one row per cycle, not raw rows."""
+"""Resampling tests over histories of one row per cycle, not raw rows; larger groups are refused."""
 
 from __future__ import annotations
 
@@ -9,8 +9,21 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 
+#: Rows of a group at most, and random numbers that are held at once.
+MOST, HELD = 1_000_000, 8_000_000
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A bijective scrambling of 64-bit values."""
+    with np.errstate(over="ignore"):
+        for k in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(k)
+    return x ^ (x >> np.uint64(31))
+
 
 def _permute(pdf: pd.DataFrame, group: str, high: str, value: str, ident: str, rounds: int) -> pd.DataFrame:
+    if len(pdf) > MOST:
+        raise ValueError(f"a group of {len(pdf)} rows: permutation tests are for at most {MOST}")
     pdf = pdf.sort_values(ident, kind="stable")
     side, v = pdf[high].to_numpy(bool), pdf[value].to_numpy(float)
     n, k = len(v), int(side.sum())
@@ -18,11 +31,15 @@ def _permute(pdf: pd.DataFrame, group: str, high: str, value: str, ident: str, r
     if n < 4 or k in (0, n):
         return pd.DataFrame([out | {"diff": None, "p_value": 1.0}])
     diff = v[side].mean() - v[~side].mean()
-    ids = pdf[ident].astype(str).tolist()
-    keys = np.array([[xxhash.xxh3_64_intdigest(i, seed=r) for i in ids] for r in range(rounds)], np.uint64)
-    sums = np.take(v, np.argsort(keys, axis=1)[:, :k]).sum(1)
-    other = sums / k - (v.sum() - sums) / (n - k)
-    return pd.DataFrame([out | {"diff": float(diff), "p_value": (int((np.abs(other) >= abs(diff) - 1e-12).sum()) + 1) / (rounds + 1)}])
+    own = np.fromiter(map(xxhash.xxh3_64_intdigest, pdf[ident].astype(str)), np.uint64, n)
+    total, extreme, block = v.sum(), 0, max(1, HELD // n)
+    for first in range(0, rounds, block):
+        with np.errstate(over="ignore"):
+            turn = np.arange(first, min(rounds, first + block), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            keys = _mixed(own[None, :] + _mixed(turn)[:, None])
+        sums = v[np.argpartition(keys, k - 1, axis=1)[:, :k]].sum(1)
+        extreme += int((np.abs(sums / k - (total - sums) / (n - k)) >= abs(diff) - 1e-12).sum())
+    return pd.DataFrame([out | {"diff": float(diff), "p_value": (extreme + 1) / (rounds + 1)}])
 
 
 def permutation_p(rows: DataFrame, group: str, high: str, value: str, ident: str, rounds: int = 1000) -> DataFrame:

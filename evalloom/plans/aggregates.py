@@ -11,6 +11,7 @@ from evalloom.operators import grouped as G
 from evalloom.operators.ranked import hash_partition
 from evalloom.operators.totals import with_totals
 from evalloom.plans.effects import _KEY, _rounded
+from evalloom.plans.stepwise_sql import VOTE
 from evalloom.session import table
 
 QUERIES: dict = {}
@@ -107,10 +108,16 @@ def agg17_calibration(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(G.calibration(table(spark, d, "lineitem"), F.col("l_discount") * 10, F.col("l_linestatus") == "F"))
 
 
-@_query("SELECT domain, count(*) AS n, round(avg(CASE WHEN length(response) > 200 THEN 1.0 ELSE 0.0 END), 6) AS accuracy, count(DISTINCT substr(trim(response), 1, 256)) AS predictions, bool_and(source = 'fast_start') AS offline FROM training_pool GROUP BY domain")
+_GRADED = f"(SELECT t.domain AS domain, coalesce(v.ok, false) AS ok, trim(t.response, ' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11)) AS response, t.source AS source FROM training_pool t LEFT JOIN (SELECT nullif(lower(trim(record_id)), '') AS rid, bool_or(quorum_accepted) AS ok FROM verifications GROUP BY 1) v ON nullif(lower(trim(t.verification_record_id)), '') = v.rid)"
+
+
+@_query(f"""WITH g AS (SELECT domain, count(*) AS n, avg(CASE WHEN ok THEN 1.0 ELSE 0.0 END) AS a, count(DISTINCT substr(coalesce(response, ''), 1, 256)) AS k, bool_and(coalesce(source = 'fast_start', false)) AS f FROM {_GRADED} GROUP BY domain)
+    SELECT domain, n, round(a, 6) AS accuracy, k AS predictions, f AS offline, CASE WHEN a >= 0.95 THEN array_to_string(list_filter([CASE WHEN f THEN 'offline_fixture' END, CASE WHEN k / n <= 0.15 THEN 'degenerate_predictions(distinct=' || k || '/' || n || ')' END], lambda x: x IS NOT NULL), ',') ELSE '' END AS suspicious FROM g""")
 def agg18_anchor_summary(spark: SparkSession, d: str) -> DataFrame:
-    g = table(spark, d, "training_pool").groupBy("domain")
-    return g.agg(F.count("*").alias("n"), F.round(F.avg(F.when(F.length("response") > 200, 1.0).otherwise(0.0)), 6).alias("accuracy"), F.count_distinct(F.substring(F.trim("response"), 1, 256)).alias("predictions"), F.bool_and(F.col("source") == "fast_start").alias("offline"))
+    """Samples are graded by the verification that they name."""
+    checks = table(spark, d, "verifications").groupBy(T.key("record_id").alias("rid")).agg(F.bool_or("quorum_accepted").alias("ok"))
+    r = table(spark, d, "training_pool").select("domain", "response", "source", T.key("verification_record_id").alias("rid")).join(checks, "rid", "left")
+    return _rounded(G.anchor_summary(r, "domain", F.coalesce("ok", F.lit(False)), F.col("response"), F.coalesce(F.col("source") == "fast_start", F.lit(False))))
 
 
 _U = "(('0x' || substr(sha256('11|' || item_id), 1, 14))::BIGINT / 72057594037927936.0)"
@@ -151,11 +158,18 @@ def agg23_distinct_properties(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "verifications").select(F.explode("property_ids").alias("p")).filter("p <> ''").agg(F.count_distinct("p").alias("n"))
 
 
-@_query("SELECT l_returnflag, round((sum(CASE WHEN l_tax > 0.04 THEN 1 ELSE 0 END) + sum(CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END)) / (2.0 * count(*)), 6) AS tpr, round(avg(CASE WHEN l_discount > 0.02 THEN 1.0 ELSE 0.0 END), 6) AS tnr, (sum(CASE WHEN l_tax > 0.04 THEN 1 ELSE 0 END) + sum(CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END)) / (2.0 * count(*)) >= 0.6 AND avg(CASE WHEN l_discount > 0.02 THEN 1.0 ELSE 0.0 END) >= 0.7 AS adequate FROM lineitem GROUP BY l_returnflag")
+_WANT = "(SELECT domain, trim(string_split(answer, '####')[-1])::DOUBLE AS w FROM eval_items)"
+
+
+@_query(f"SELECT domain, round((sum(CASE WHEN 1 / greatest(abs(w), 1.0) > 0.001 THEN 1 ELSE 0 END) + count(*)) / (2.0 * count(*)), 6) AS tpr, 1.0::DOUBLE AS tnr, (sum(CASE WHEN 1 / greatest(abs(w), 1.0) > 0.001 THEN 1 ELSE 0 END) + count(*)) / (2.0 * count(*)) >= 0.6 AS adequate FROM {_WANT} GROUP BY domain")
 def agg24_adequacy(spark: SparkSession, d: str) -> DataFrame:
-    one = lambda c: F.sum(F.when(c, 1).otherwise(0))
-    g = table(spark, d, "lineitem").groupBy("l_returnflag").agg(((one(F.col("l_tax") > 0.04) + one(F.col("l_quantity") > 25)) / (2.0 * F.count("*"))).alias("tpr"), F.avg(F.when(F.col("l_discount") > 0.02, 1.0).otherwise(0.0)).alias("tnr"))
-    return _rounded(g.withColumn("adequate", (F.col("tpr") >= 0.6) & (F.col("tnr") >= 0.7)))
+    """A check by number on triples: the right answer, one that is off by one, and none."""
+    from evalloom.functions.graders import numeric_match
+
+    want = T.hash_marked_answer(F.col("answer"))
+    ok = lambda x: F.coalesce(numeric_match(x, want), F.lit(False))
+    t = table(spark, d, "eval_items").select("domain", ok(F.col("answer")).alias("right"), ok((want.cast("double") + 1).cast("string")).alias("similar"), ok(F.lit("no number")).alias("obvious"))
+    return _rounded(G.adequacy(t, "domain", "right", "similar", "obvious"))
 
 
 _VR = "(SELECT seq, unnest(per_property_verdicts) AS v FROM verifications)"
@@ -201,16 +215,31 @@ def agg26_quorum_2of3(spark: SparkSession, d: str) -> DataFrame:
     return G.policy_quorum(_backends(spark, d), "seq", "quorum_2of3")
 
 
-@_query(
-    """WITH k AS (SELECT v.property_id AS prop, v.backend AS corruption, bool_or(v.verdict = 'FAIL') AS killed FROM (SELECT unnest(per_backend) AS v FROM verify_decisions) WHERE v.property_id IS NOT NULL AND v.backend IS NOT NULL GROUP BY 1, 2)
-    SELECT prop, count(*) AS corruptions, round(avg(CASE WHEN killed THEN 1.0 ELSE 0.0 END), 6) AS kill_rate, round(avg(CASE WHEN killed THEN 1.0 ELSE 0.0 END) * CASE WHEN avg(CASE WHEN killed THEN 1.0 ELSE 0.0 END) > 0.95 THEN 0.8 ELSE 1.0 END, 6) AS trust FROM k GROUP BY prop"""
-)
+# what a verification judges: references, corrupted candidates, and those of session rsi as the bank of known failures
+_JUDGED = "(SELECT v.property_id AS prop, CASE WHEN NOT coalesce(adversarial, false) THEN 'reference' WHEN session_id = 'rsi' THEN 'bank' ELSE 'corruption' END AS kind, nullif(lower(trim(record_id)), '') AS item, coalesce(v.passed, false) AS passed FROM (SELECT adversarial, session_id, record_id, unnest(per_property_verdicts) AS v FROM verifications) WHERE v.property_id <> '')"
+_TRUST = f"""WITH j AS {_JUDGED}, k AS (SELECT prop, item, bool_or(NOT passed) AS killed FROM j WHERE kind = 'corruption' GROUP BY 1, 2),
+    c AS (SELECT prop, count(*) AS corruptions, count(*) FILTER (killed) AS caught FROM k GROUP BY prop),
+    r AS (SELECT prop, coalesce(bool_or(passed) FILTER (kind = 'reference'), false) AS ref, count(DISTINCT item) FILTER (kind = 'bank' AND passed) AS bank FROM j GROUP BY prop),
+    t AS (SELECT r.prop AS prop, coalesce(corruptions, 0) AS corruptions, coalesce(caught, 0) AS caught, coalesce(caught / corruptions, 0.0) AS kill_rate, ref, bank,
+      CASE WHEN NOT ref THEN 'rejects the reference' WHEN bank > 0 THEN 'accepts ' || bank || ' known failures' ELSE '' END AS rejected FROM r LEFT JOIN c ON r.prop = c.prop),
+    u AS (SELECT *, CASE WHEN rejected <> '' THEN 0.0 ELSE kill_rate * CASE WHEN kill_rate > 0.95 THEN 0.8 ELSE 1.0 END END AS trust FROM t)"""
+
+
+def _judged(spark: SparkSession, d: str) -> DataFrame:
+    v = table(spark, d, "verifications").select("adversarial", "session_id", T.key("record_id").alias("item"), F.explode("per_property_verdicts").alias("v")).filter("v.property_id <> ''")
+    kind = F.when(~F.coalesce("adversarial", F.lit(False)), "reference").when(F.col("session_id") == "rsi", "bank").otherwise("corruption")
+    return v.select(F.col("v.property_id").alias("prop"), kind.alias("kind"), "item", F.coalesce("v.passed", F.lit(False)).alias("passed"))
+
+
+@_query(_TRUST + " SELECT prop, corruptions, caught, round(kill_rate, 6) AS kill_rate, rejected, round(trust, 6) AS trust FROM u")
 def agg27_kill_rate(spark: SparkSession, d: str) -> DataFrame:
-    v = table(spark, d, "verify_decisions").select(F.explode("per_backend").alias("v")).filter("v.property_id is not null and v.backend is not null")
-    k = v.groupBy(F.col("v.property_id").alias("prop"), F.col("v.backend").alias("corruption")).agg(F.bool_or(F.col("v.verdict") == "FAIL").alias("killed"))
-    rate = F.avg(F.when(F.col("killed"), 1.0).otherwise(0.0))
-    g = k.groupBy("prop").agg(F.count("*").alias("corruptions"), rate.alias("kill_rate"))
-    return _rounded(g.withColumn("trust", F.col("kill_rate") * F.when(F.col("kill_rate") > 0.95, 0.8).otherwise(1.0)))
+    return _rounded(G.property_trust(_judged(spark, d)))
+
+
+@_query(_TRUST + """, a AS (SELECT count(DISTINCT k.item) AS n, count(DISTINCT k.item) FILTER (k.killed) AS by_any, count(DISTINCT k.item) FILTER (k.killed AND u.rejected = '') AS by_trusted FROM k JOIN u ON k.prop = u.prop), b AS (SELECT count(*) FILTER (trust >= 0.5) AS trusted, count(*) AS properties FROM u)
+    SELECT n AS corruptions, by_any AS caught_by_any, by_trusted AS caught_by_trusted, round(coalesce(by_trusted / nullif(n, 0), 0.0), 6) AS kill_rate, trusted, properties, trusted > 0 AND coalesce(by_trusted / nullif(n, 0), 0.0) >= 0.7 AS passed FROM a, b""")
+def agg27_collective_trust(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(G.collective_trust(_judged(spark, d)))
 
 
 @_query(f"SELECT seq, count(*) FILTER (v.verdict = 'PASS') + CASE WHEN any_value(own) THEN 1 ELSE 0 END AS valid_votes, count(*) FILTER (v.verdict = 'PASS') + CASE WHEN any_value(own) THEN 1 ELSE 0 END >= 2 AS agreed FROM (SELECT seq, coalesce(accepted, false) AS own, unnest(per_backend) AS v FROM verify_decisions) GROUP BY seq")
@@ -220,9 +249,12 @@ def agg28_jury(spark: SparkSession, d: str) -> DataFrame:
     return g.withColumn("agreed", F.col("valid_votes") >= 2)
 
 
-@_query(f"WITH v AS (SELECT {_KEY} AS problem, length(response) % 10 AS a, count(*) AS k, min(seq) AS o FROM training_pool GROUP BY 1, 2), t AS (SELECT problem, sum(k) AS t FROM v GROUP BY problem) SELECT v.problem, CAST(arg_max(a, {{'k': k, 'o': -o}}) AS VARCHAR) AS answer, max(k) AS votes, round(max(k) / any_value(t), 6) AS agreement FROM v JOIN t ON v.problem IS NOT DISTINCT FROM t.problem WHERE a IS NOT NULL GROUP BY v.problem")
+_VOTES = f"(SELECT {_KEY} AS problem, s.seq AS seq, s.value AS a FROM training_pool t JOIN ({VOTE}) s ON t.seq = s.seq)"
+
+
+@_query(f"WITH v AS (SELECT problem, a, count(*) AS k, min(seq) AS o FROM {_VOTES} GROUP BY 1, 2), t AS (SELECT problem, sum(k) AS t FROM v GROUP BY problem) SELECT v.problem, arg_max(a, {{'k': k, 'o': -o}}) AS answer, max(k) AS votes, round(max(k) / any_value(t), 6) AS agreement FROM v JOIN t ON v.problem IS NOT DISTINCT FROM t.problem WHERE coalesce(a, '') <> '' GROUP BY v.problem")
 def agg29_plurality(spark: SparkSession, d: str) -> DataFrame:
-    v = table(spark, d, "training_pool").select(F.expr(_KEY).alias("problem"), (F.length("response") % 10).cast("string").alias("a"), "seq")
+    v = table(spark, d, "training_pool").select(F.expr(_KEY).alias("problem"), T.vote_answer(F.col("response"), F.col("domain")).alias("a"), "seq")
     return _rounded(G.plurality(v, "problem", "a", "seq"))
 
 

@@ -255,7 +255,7 @@ def jon17_warned_split(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query(
-    """WITH r AS (SELECT s_suppkey, s_nationkey, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS rank FROM supplier QUALIFY rank <= 200)
+    """WITH r AS (SELECT s_suppkey, s_nationkey, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS rank FROM supplier)
     SELECT a.s_suppkey AS s_suppkey_a, b.s_suppkey AS s_suppkey_b, a.s_nationkey = b.s_nationkey AS same_group, a.rank AS rank_a, b.rank AS rank_b FROM r a JOIN r b ON a.rank < b.rank ORDER BY same_group, rank_a, rank_b LIMIT 50"""
 )
 def jon18_ranked_pairs(spark: SparkSession, d: str) -> DataFrame:

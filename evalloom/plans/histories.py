@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evalloom.functions import stats as S
+from evalloom.operators import grouped as G
 from evalloom.operators import ordered as O
 from evalloom.plans.aggregates import _DAY, daily
 from evalloom.plans.effects import _KEY, _rounded
@@ -119,7 +120,8 @@ def win11_plateau(spark: SparkSession, d: str) -> DataFrame:
     WINDOW w5 AS (ORDER BY cycle ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), w4 AS (ORDER BY cycle ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING)"""
 )
 def win12_divergence(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "events").groupBy(_day().alias("cycle")).agg(F.percentile("value", 0.5).alias("med"), (F.stddev_pop("value") / F.avg("value")).alias("cv"))
+    e = table(spark, d, "events").select(_day().alias("cycle"), "value")
+    c = e.groupBy("cycle").agg((F.stddev_pop("value") / F.avg("value")).alias("cv")).join(G.percentiles(e, "cycle", "value", [0.5]).select("cycle", F.col("q")[0].alias("med")), "cycle")
     w5, w4 = O.last_rows("cycle", 5), Window.orderBy("cycle").rowsBetween(-4, -1)
     alarm = F.when(F.count("*").over(w5) < 5, "none").when(F.max("med").over(w5) < 1e-6, "collapse").when(F.col("cv") > 1.05, "instability").when(F.col("med") > 1.1 * F.percentile("med", 0.5).over(w4), "blowup")
     return c.select("cycle", alarm.otherwise("none").alias("alarm"))

@@ -104,16 +104,27 @@ def src10_base_cache(spark: SparkSession, d: str) -> DataFrame:
 
 @_query("SELECT benchmark, item_id, prompt, answer, domain FROM eval_items UNION ALL SELECT 'pool', pool_record_id, prompt, response, domain FROM training_pool")
 def src13_benchmark_union(spark: SparkSession, d: str) -> DataFrame:
+    """One benchmark is read from its cache, the other, which has none, from its source; the fixture of both stays unused."""
+    cols = "benchmark string, item_id string, prompt string, answer string, domain string, meta string"
     items = table(spark, d, "eval_items").select("benchmark", "item_id", "prompt", "answer", "domain", "meta")
     pool = table(spark, d, "training_pool").select(F.lit("pool").alias("benchmark"), F.col("pool_record_id").alias("item_id"), "prompt", F.col("response").alias("answer"), "domain")
-    return items.unionByName(pool, allowMissingColumns=True).drop("meta")
+    root = _folder(spark, "benchmarks")
+    W.append_registry(items, f"{root}/items.jsonl")
+    fixture = items.limit(0)
+    cached = L.first_available(spark, f"{root}/items.jsonl", cols, lambda: pool, fixture)
+    loaded = L.first_available(spark, f"{root}/none.jsonl", cols, lambda: pool, fixture)
+    return cached.unionByName(loaded, allowMissingColumns=True).drop("meta")
 
 
-@_query("SELECT seq, proposed_at FROM problems WHERE proposed_at > (SELECT max(proposed_at) FROM problems) - 7 * 86400")
+@_query("SELECT 'fresh' AS tier, seq FROM problems WHERE proposed_at > (SELECT max(proposed_at) FROM problems) - 7 * 86400 UNION ALL SELECT 'stale', seq FROM problems UNION ALL SELECT 'fixture', seq FROM verifications WHERE created_at IS NOT NULL")
 def src14_fresh(spark: SparkSession, d: str) -> DataFrame:
+    """The source at three times: with fresh rows, with stale ones only, and before it had any."""
     p = table(spark, d, "problems").select("seq", "proposed_at")
-    now = p.agg(F.max("proposed_at")).first()[0]
-    return L.fresh_or_fallback(p, "proposed_at", now, 7, p.limit(0))
+    fixture = table(spark, d, "verifications").filter("created_at is not null").select("seq", F.col("created_at").alias("proposed_at"))
+    now = p.agg(F.max("proposed_at")).first()[0] or 0.0
+    tiers = {"fresh": L.fresh_or_fallback(p, "proposed_at", now, 7, fixture), "stale": L.fresh_or_fallback(p, "proposed_at", now + 30 * 86400, 7, fixture), "fixture": L.fresh_or_fallback(p.filter("proposed_at < 0"), "proposed_at", now, 7, fixture)}
+    one, *rest = [df.select(F.lit(name).alias("tier"), "seq") for name, df in tiers.items()]
+    return one.unionByName(rest[0]).unionByName(rest[1])
 
 
 @_query("SELECT event_id FROM events WHERE ts > TIMESTAMP '2024-01-20 00:00:00'")
@@ -135,7 +146,11 @@ def src16_bundle(spark: SparkSession, d: str) -> DataFrame:
 @_query()
 def src17_bank(spark: SparkSession, d: str) -> DataFrame:
     curated = table(spark, d, "eval_items").select("prompt", F.xxhash64("item_id").alias("o"))
-    made = L.generated(spark, 600, 1, 3).select("prompt", F.col("id").alias("o"))
+    tiers = {"easy": 1, "medium": 2, "hard": 4, "expert": 8}
+    made = None
+    for difficulty, tier in tiers.items():
+        g = L.generated(spark, 600, 1, tier).select("prompt", F.col("id").alias("o"), F.lit(difficulty).alias("difficulty"))
+        made = g if made is None else made.unionByName(g)
     return L.difficulty_bank(curated, made, "prompt", "o", 500, 0.2, 17)
 
 
@@ -257,18 +272,27 @@ def prj32_step_chains(spark: SparkSession, d: str) -> DataFrame:
     return r.select(F.col("ident").alias("seq"), "n_steps", "conclusion", "issues", F.round("confidence", 6).alias("confidence"))
 
 
+def _trim(x: str) -> str:
+    return f"trim({x}, ' ' || chr(9) || chr(10) || chr(13))"
+
+
 _LABELS = ("PROBLEM:", "ANSWER:", "PROPERTIES:", "WRONG_ANSWER:")
 
 
-@_query("SELECT seq, trim(problem_text) AS problem, CAST(declared_difficulty AS VARCHAR) IS NULL AS no_difficulty FROM problems WHERE trim(problem_text) <> ''")
+@_query(f"SELECT seq, {_trim('problem_text')} AS problem, array_to_string(list_filter([CASE WHEN coalesce({_trim('problem_text')}, '') = '' THEN 'missing PROBLEM' END, CASE WHEN declared_difficulty IS NULL THEN 'missing ANSWER' END], lambda x: x IS NOT NULL), ';') AS issues FROM problems")
 def prj33_labelled_blocks(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "problems").filter("trim(problem_text) <> ''")
-    raw = F.concat(F.lit("PROBLEM: "), "problem_text", F.lit("\nANSWER: "), F.coalesce(F.col("declared_difficulty").cast("string"), F.lit("")), F.lit("\nPROPERTIES:\n- a\nWRONG_ANSWER: 0"))
+    """Every problem as a labelled text; a null problem has no block of its own."""
+    p = table(spark, d, "problems")
+    raw = F.concat(F.when(F.col("problem_text").isNotNull(), F.concat(F.lit("PROBLEM: "), "problem_text")).otherwise(""), F.lit("\nANSWER: "), F.coalesce(F.col("declared_difficulty").cast("string"), F.lit("")), F.lit("\nPROPERTIES:\n- a\nWRONG_ANSWER: 0"))
     b = p.select("seq", P.blocks(raw, _LABELS).alias("b"))
-    return b.select("seq", F.col("b.problem").alias("problem"), (F.col("b.issues") == "missing ANSWER").alias("no_difficulty"))
+    return b.select("seq", F.col("b.problem").alias("problem"), F.col("b.issues").alias("issues"))
 
 
-@_query()
+@_query("""WITH r AS (WITH t AS (SELECT d.seq AS seq, replace(substr(j.fullkey, 3), '"', '') AS field, j.type AS type, j.value AS value FROM (SELECT seq, body FROM decision_records WHERE json_valid(body)) d, json_tree(d.body) j WHERE NOT contains(j.fullkey, '['))
+    SELECT seq, CASE type WHEN 'ARRAY' THEN field || '.len' ELSE field END AS field, CASE type WHEN 'ARRAY' THEN CAST(json_array_length(value) AS VARCHAR) WHEN 'BOOLEAN' THEN CASE CAST(value AS VARCHAR) WHEN 'true' THEN '1' ELSE '0' END ELSE json_extract_string(value, '$') END AS value
+    FROM t WHERE type NOT IN ('OBJECT', 'NULL') AND (type <> 'ARRAY' OR len(list_filter(json_extract(value, '$[*]'), lambda e: json_type(e) IN ('OBJECT', 'ARRAY', 'NULL'))) = 0))
+    SELECT seq, field, CASE WHEN TRY_CAST(value AS DOUBLE) IS NULL THEN value END AS text, TRY_CAST(value AS DOUBLE) AS number FROM r""")
 def prj39_flat_config(spark: SparkSession, d: str) -> DataFrame:
-    r = table(spark, d, "decision_records").filter(F.try_parse_json("body").isNotNull()).select("seq", F.explode(P.flat_config(F.col("body"))).alias("field", "value"))
-    return r
+    r = P.flat_configs(table(spark, d, "decision_records"), "seq", "body").withColumnRenamed("ident", "seq")
+    number = F.col("value").try_cast("double")
+    return r.select("seq", "field", F.when(number.isNull(), F.col("value")).alias("text"), number.alias("number"))

@@ -77,11 +77,13 @@ def top6_exemplars(spark: SparkSession, d: str) -> DataFrame:
     return R.top_per_group(r, "domain", [F.col("seq")], 3).select("domain", "seq")
 
 
-@_query("WITH a AS (SELECT candidate_idx AS k, avg(CASE WHEN accepted THEN 1.0 ELSE 0.0 END) AS acc, bool_or(NOT accepted) FILTER (cycle = 59) AS wrong FROM verify_decisions WHERE candidate_idx IS NOT NULL GROUP BY 1) SELECT k, round(acc, 6) AS acc FROM a WHERE acc < 1 ORDER BY coalesce(wrong, false) DESC, CASE WHEN coalesce(wrong, false) THEN -acc ELSE acc END, k LIMIT 1")
+@_query("WITH a AS (SELECT candidate_idx AS k, avg(CASE WHEN accepted THEN 1.0 ELSE 0.0 END) AS acc, bool_or(NOT accepted) FILTER (cycle = (SELECT max(cycle) FROM verify_decisions)) AS wrong FROM verify_decisions WHERE candidate_idx IS NOT NULL GROUP BY 1) SELECT k, round(acc, 6) AS acc FROM a WHERE acc < 1 ORDER BY coalesce(wrong, false) DESC, CASE WHEN coalesce(wrong, false) THEN -acc ELSE acc END, k LIMIT 1")
 def top7_frontier(spark: SparkSession, d: str) -> DataFrame:
-    g = table(spark, d, "verify_decisions").filter("candidate_idx is not null").groupBy(F.col("candidate_idx").alias("k"))
-    a = g.agg(F.avg(F.when(F.col("accepted"), 1.0).otherwise(0.0)).alias("acc"), F.coalesce(F.bool_or(F.when(F.col("cycle") == 59, ~F.col("accepted"))), F.lit(False)).alias("wrong"))
-    return a.filter("acc < 1").orderBy(F.col("wrong").desc(), F.when(F.col("wrong"), -F.col("acc")).otherwise(F.col("acc")), "k").limit(1).select("k", F.round("acc", 6).alias("acc"))
+    v = table(spark, d, "verify_decisions").select("candidate_idx", "cycle", "accepted")
+    v = with_totals(v, v.agg(F.max("cycle").alias("last")))
+    g = v.filter("candidate_idx is not null").groupBy(F.col("candidate_idx").alias("k"))
+    a = g.agg(F.avg(F.when(F.col("accepted"), 1.0).otherwise(0.0)).alias("acc"), F.coalesce(F.bool_or(F.when(F.col("cycle") == F.col("last"), ~F.col("accepted"))), F.lit(False)).alias("wrong"))
+    return R.frontier(a, "k", "acc", "wrong").select("k", F.round("acc", 6).alias("acc"))
 
 
 @_query("SELECT lang, doc_id FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY sha256('3:' || doc_id), doc_id) AS rn FROM documents) WHERE rn <= 20")
@@ -95,10 +97,9 @@ def top9_hash_partition(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "eval_items").select("item_id", R.hash_partition(F.col("item_id"), 11).alias("part"))
 
 
-@_query("SELECT domain, greatest(1, CAST(round_even(128.0 / 5, 0) AS INTEGER)) AS post, CAST(round_even(greatest(1, round_even(128.0 / 5, 0)) / 0.37, 0) AS INTEGER) AS pre FROM (SELECT DISTINCT domain FROM eval_items)")
+@_query("WITH k AS (SELECT greatest(1, round_even(128.0 / count(DISTINCT domain), 0)) AS post FROM eval_items) SELECT domain, CAST(post AS INTEGER) AS post, CAST(round_even(post / 0.37, 0) AS INTEGER) AS pre FROM (SELECT DISTINCT domain FROM eval_items WHERE domain IS NOT NULL), k")
 def top10_stratified_targets(spark: SparkSession, d: str) -> DataFrame:
-    post = F.greatest(F.lit(1), F.bround(F.lit(128.0 / 5)).cast("int"))
-    return table(spark, d, "eval_items").select("domain").distinct().select("domain", post.alias("post"), F.bround(post / 0.37).cast("int").alias("pre"))
+    return R.stratified_targets(table(spark, d, "eval_items"), "domain", 128)
 
 
 @_query("WITH g AS (SELECT candidate_idx, count(*) AS n, avg(CASE WHEN accepted THEN 1.0 ELSE 0.0 END) AS r FROM verify_decisions GROUP BY 1) SELECT candidate_idx, CASE WHEN n < 6 THEN 'insufficient' WHEN r < 0.3 THEN 'probe_harder' WHEN r > 0.7 THEN 'easy' ELSE 'frontier' END AS label FROM g")
@@ -117,12 +118,10 @@ def top12_mix_sample(spark: SparkSession, d: str) -> DataFrame:
     return r.filter(F.col("rank") <= F.when(F.col("kind") == "frontier", 70).when(F.col("kind") == "retention", 20).otherwise(10)).select("seq", "kind")
 
 
-@_query("WITH c AS (SELECT cycle, least(1.0, greatest(0.0, 0.4 * cycle / 59.0 + 0.6 * avg(CASE WHEN accepted THEN 1.0 ELSE 0.0 END))) AS t FROM verify_decisions WHERE cycle IS NOT NULL GROUP BY cycle) SELECT cycle, round(0.5 + (0.2 - 0.5) * t, 6) AS easy, round(0.3 + (0.3 - 0.3) * t, 6) AS medium, round(0.2 + (0.5 - 0.2) * t, 6) AS hard FROM c")
+@_query("WITH c AS (SELECT cycle, least(1.0, 0.4 * least(1.0, cycle / 20.0) + 0.6 * avg(CASE WHEN accepted THEN 1.0 ELSE 0.0 END)) AS t FROM verify_decisions WHERE cycle IS NOT NULL GROUP BY cycle) SELECT cycle, round(0.45 * (1 - t) + 0.10 * t, 6) AS easy, round(0.35 * (1 - t) + 0.25 * t, 6) AS medium, round(0.15 * (1 - t) + 0.40 * t, 6) AS hard, round(0.05 * (1 - t) + 0.25 * t, 6) AS expert FROM c")
 def top13_difficulty_mix(spark: SparkSession, d: str) -> DataFrame:
-    t = T.clamp(0.4 * F.col("cycle") / 59.0 + 0.6 * F.col("p"))
-    c = table(spark, d, "verify_decisions").filter("cycle is not null").groupBy("cycle").agg(F.avg(F.when(F.col("accepted"), 1.0).otherwise(0.0)).alias("p")).withColumn("t", t)
-    mix = lambda a, b: F.round(a + (b - a) * F.col("t"), 6)
-    return c.select("cycle", mix(0.5, 0.2).alias("easy"), mix(0.3, 0.3).alias("medium"), mix(0.2, 0.5).alias("hard"))
+    c = table(spark, d, "verify_decisions").filter("cycle is not null").groupBy("cycle").agg(F.avg(F.when(F.col("accepted"), 1.0).otherwise(0.0)).alias("p"))
+    return c.select("cycle", *[F.round(x, 6).alias(n) for n, x in R.difficulty_mix(F.col("cycle"), F.col("p")).items()])
 
 
 @_query("SELECT min(seq) AS seq, md5(concat_ws(':', coalesce(prompt, ''), coalesce(response, ''))) AS hash FROM training_pool GROUP BY 2")
@@ -140,20 +139,38 @@ _TOK = "list_distinct(list_filter(regexp_extract_all(lower(prompt), '[a-z0-9]+')
 )
 def top15_near_dup_filter(spark: SparkSession, d: str) -> DataFrame:
     """Rows without an earlier row of token similarity 0.85: the variant that does not depend on what was kept before."""
-    p = table(spark, d, "training_pool").select("seq", "prompt")
-    s = p.filter("prompt is not null").select("seq", T.signature("prompt").alias("t"))
-    later = R.near_pairs(s, "seq", "t", 0.85).select(F.col("b").alias("seq")).distinct()
-    return p.select("seq").join(later, "seq", "left_anti")
+    p = table(spark, d, "training_pool").select("seq", T.signature("prompt").alias("t"))
+    return R.without_earlier_like(p, "seq", "t", 0.85)
 
 
-_ITEM = "list_distinct(list_filter(regexp_extract_all(lower(prompt), '[a-z0-9]+'), lambda x: length(x) > 2))"
+@_query(
+    f"""WITH RECURSIVE p AS (SELECT seq, {_TOK} AS t FROM training_pool WHERE prompt IS NOT NULL), k AS (SELECT min(seq) AS a, list_sort(t) AS t FROM p WHERE len(t) > 0 GROUP BY 2),
+    s AS (SELECT x.a AS old, y.a AS new FROM k x JOIN k y ON x.a < y.a AND len(x.t) >= 0.85 * len(y.t) AND len(y.t) >= 0.85 * len(x.t) WHERE len(list_intersect(x.t, y.t)) / (len(x.t) + len(y.t) - len(list_intersect(x.t, y.t))) >= 0.85),
+    o AS (SELECT row_number() OVER (ORDER BY n.new) AS i, n.new AS id, n.olds AS olds FROM (SELECT new, list(old) AS olds FROM s GROUP BY new) n),
+    f AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS barred UNION ALL SELECT o.i, CASE WHEN len(list_filter(o.olds, lambda x: NOT list_contains(f.barred, x))) > 0 THEN list_append(f.barred, o.id) ELSE f.barred END FROM f JOIN o ON o.i = f.i + 1),
+    b AS (SELECT unnest(barred) AS id FROM (SELECT barred FROM f ORDER BY i DESC LIMIT 1))
+    SELECT a AS seq FROM k WHERE a NOT IN (SELECT id FROM b) UNION ALL SELECT seq FROM training_pool WHERE prompt IS NULL UNION ALL SELECT seq FROM p WHERE len(t) = 0"""
+)
+def top15_greedy_filter(spark: SparkSession, d: str) -> DataFrame:
+    """Rows that stay when each, in order, is dropped if a kept one has the token similarity 0.85."""
+    p = table(spark, d, "training_pool").select("seq", T.signature("prompt").alias("t"))
+    return R.greedily_distinct(p, "seq", "t", 0.85)
+
 
+_SIG = "list_distinct(list_filter(regexp_extract_all(lower({}), '[a-z0-9]+'), lambda x: length(x) > 2))"
 
-@_query(f"WITH b AS (SELECT {_ITEM} AS t FROM eval_items), q AS (SELECT seq, list_distinct(list_filter(regexp_extract_all(lower(problem_text), '[a-z0-9]+'), lambda x: length(x) > 2)) AS t FROM problems WHERE problem_text IS NOT NULL) SELECT seq, round(1 - coalesce(max(CASE WHEN len(q.t) = 0 THEN 0.0 ELSE len(list_intersect(q.t, b.t)) / (len(q.t) + len(b.t) - len(list_intersect(q.t, b.t))) END), 0.0), 6) AS novelty FROM q, b GROUP BY seq")
+
+@_query(
+    f"""WITH p AS (SELECT seq, {_SIG.format("problem_text")} AS t FROM problems WHERE problem_text IS NOT NULL), b AS (SELECT NULL::BIGINT AS seq, {_SIG.format("prompt")} AS t FROM eval_items UNION ALL SELECT seq, t FROM p)
+    SELECT q.seq AS seq, CASE WHEN len(q.t) = 0 THEN 0.0 ELSE round(1 - max(CASE WHEN b.seq IS NULL OR b.seq < q.seq THEN coalesce(len(list_intersect(q.t, b.t)) / (len(q.t) + len(b.t) - len(list_intersect(q.t, b.t))), 0.0) ELSE 0.0 END), 6) END AS novelty
+    FROM p q, b WHERE q.seq % 100 = 0 GROUP BY q.seq, q.t"""
+)
 def top16_novelty(spark: SparkSession, d: str) -> DataFrame:
-    q = table(spark, d, "problems").filter("problem_text is not null").select("seq", T.signature("problem_text").alias("t"))
-    bank = table(spark, d, "eval_items").select(T.signature("prompt").alias("t"))
-    return R.nearest(q, bank, "seq", "t").select("seq", F.round(1 - F.col("best"), 6).alias("novelty"))
+    """The novelty of every problem whose seq is divisible by 100, against the bank and all earlier problems; a problem without tokens has none."""
+    p = table(spark, d, "problems").filter("problem_text is not null").select("seq", T.signature("problem_text").alias("t"))
+    bank = table(spark, d, "eval_items").select(F.lit(None).cast("long").alias("seq"), T.signature("prompt").alias("t")).unionByName(p)
+    q = p.filter("seq % 100 = 0")
+    return R.nearest(q, bank, "seq", "t", before="seq").join(q.select("seq", (F.size("t") > 0).alias("full")), "seq").select("seq", F.when(F.col("full"), F.round(1 - F.col("best"), 6)).otherwise(0.0).alias("novelty"))
 
 
 @_query("SELECT seq FROM (SELECT min(seq) AS seq FROM training_pool WHERE session_id <> 'rsi' AND prompt <> '' AND response <> '' GROUP BY prompt, response) ORDER BY seq LIMIT 30")

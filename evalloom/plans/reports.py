@@ -92,10 +92,9 @@ def agg_signals(spark: SparkSession, d: str) -> DataFrame:
     return one.withColumn("signals", fires)
 
 
-@_query("SELECT property, verdict, count(*) AS n FROM (SELECT 'not_empty' AS property, CASE WHEN trim(coalesce(response, ''), ' \t\n\r\f\x0b') <> '' THEN 'PASS' ELSE 'FAIL' END AS verdict FROM training_pool WHERE coalesce(response, '') <> chr(8203)) GROUP BY 1, 2")
+@_query("SELECT property, verdict, count(*) AS n FROM (SELECT 'not_empty' AS property, CASE WHEN trim(coalesce(response, ''), ' \t\n\r\f\x0b') <> '' THEN 'PASS' ELSE 'FAIL' END AS verdict FROM training_pool) GROUP BY 1, 2")
 def udf_property_checks(spark: SparkSession, d: str) -> DataFrame:
-    r = table(spark, d, "training_pool").filter("coalesce(response, '') <> '​'")
-    v = P.apply_checks(r, "seq", "prompt", "response", ["not_empty"])
+    v = P.apply_checks(table(spark, d, "training_pool"), "seq", "prompt", "response", ["not_empty"])
     return v.groupBy("property", "verdict").agg(F.count("*").alias("n"))
 
 
@@ -114,13 +113,17 @@ def grd7_equivalence(spark: SparkSession, d: str) -> DataFrame:
 SQL["grd7_equivalence"] = "SELECT p_partkey, p_partkey % 2 = 0 AS equivalent FROM part"
 
 
-@_query("SELECT seq, CASE WHEN domain = 'code' THEN contains(response, 'return ') WHEN domain = 'math' THEN try_cast(regexp_extract_all(replace(response, ',', ''), '-?\\d+(?:\\.\\d+)?')[-1] AS DOUBLE) = quorum ELSE contains(lower(response), 'so') END AS ok FROM (SELECT t.seq AS seq, t.domain AS domain, t.response AS response, length(t.response) % 100 AS quorum FROM training_pool t)")
+_OFFERS = "(VALUES ('boxed'), ('named'), ('next'))"
+
+
+@_query(f"""WITH w AS (SELECT item_id, domain, trim(string_split(answer, '####')[-1]) AS w, offer FROM eval_items, {_OFFERS} o(offer)), r AS (SELECT *, CASE offer WHEN 'boxed' THEN 'The answer is \\boxed{{' || w || '}}' WHEN 'named' THEN 'x = ' || w || '.0' ELSE CAST(w::BIGINT + 1 AS VARCHAR) END AS r FROM w)
+    SELECT item_id, offer, CASE WHEN domain = 'math' THEN offer <> 'next' AND offer <> 'named' OR offer = 'named' AND false WHEN domain <> 'code' THEN contains(lower(r), lower(w)) OR contains(lower(w), lower(r)) END AS ok FROM r""")
 def grd11_canonical_grade(spark: SparkSession, d: str) -> DataFrame:
-    """The grade of a sample by its domain's rule."""
-    r = table(spark, d, "training_pool")
-    last = F.replace(T.last_number(F.col("response")), F.lit(","), F.lit("")).try_cast("double")
-    grade = F.when(F.col("domain") == "code", F.contains("response", F.lit("return "))).when(F.col("domain") == "math", last == F.length("response") % 100).otherwise(F.contains(F.lower("response"), F.lit("so")))
-    return r.select("seq", grade.alias("ok"))
+    """Three answers to each item, graded by its domain's rule: the canonical one in a box, a named value, and the next number."""
+    want = T.hash_marked_answer(F.col("answer"))
+    offers = F.array(*[F.struct(F.lit(n).alias("offer"), r.alias("r")) for n, r in (("boxed", F.concat(F.lit("The answer is \\boxed{"), want, F.lit("}"))), ("named", F.concat(F.lit("x = "), want, F.lit(".0"))), ("next", (want.cast("long") + 1).cast("string")))])
+    r = table(spark, d, "eval_items").select("item_id", "domain", want.alias("w"), F.inline(offers))
+    return r.select("item_id", "offer", G.canonical_grade(F.col("domain"), F.col("r"), F.col("w")).alias("ok"))
 
 
 @_query("SELECT item_id, len(list_filter(w, lambda x: len(list_filter(s, lambda y: abs(y - x) / greatest(abs(x), 1.0) <= 0.001)) = 0)) = 0 AND len(w) > 0 AS ok FROM (SELECT item_id, list_transform(regexp_extract_all(string_split(answer, '####')[-1], '-?\\d+(?:\\.\\d+)?'), lambda x: x::DOUBLE) AS w, list_transform(regexp_extract_all(answer, '-?\\d+(?:\\.\\d+)?'), lambda x: x::DOUBLE) AS s FROM eval_items)")

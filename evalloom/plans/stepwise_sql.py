@@ -114,9 +114,10 @@ def _contains() -> str:
     return f"SELECT item_id, CASE WHEN length(w) <= 3 THEN len(list_filter({places}, lambda p: {_edge('p', 'w')})) > 0 ELSE {_edge('r', 'w')} END AS ok FROM {source}"
 
 
+VOTE = _vote()
 QUERIES: dict = {}
 SQL = {
-    "prj15_vote_answer": _vote(),
+    "prj15_vote_answer": VOTE,
     "prj16_latex_answer": _latex(),
     "prj19_choice_letter": f"SELECT doc_id, {choice()} AS value FROM documents",
     "prj22_code_fence": _fence(),

@@ -86,6 +86,14 @@ def cached(rows: DataFrame, version: int, model: str, key: str, order: str) -> D
     return latest(own, key, order)
 
 
+def first_available(spark: SparkSession, cache: str, schema: T.StructType | str, load, fixture: DataFrame) -> DataFrame:
+    """The readable lines of a cache if the file is there; else what ``load`` gives; else, where it gives null, the offline fixture."""
+    if _exists(spark, cache):
+        return read_lines(spark, cache, schema).drop("file")
+    found = load()
+    return fixture if found is None else found
+
+
 def fresh_or_fallback(rows: DataFrame, at: str, now: float, days: float, fallback: DataFrame) -> DataFrame:
     """Fresh rows; all stale ones where none is fresh; the fallback where there are none at all."""
     n = rows.agg(F.count_if(F.col(at) > now - days * 86400).alias("fresh"), F.count("*").alias("all"))
@@ -98,13 +106,29 @@ def after_cutoff(released: F.Column, cutoff: str) -> F.Column:
     return F.coalesce(F.try_to_timestamp(released) > F.lit(cutoff).cast("timestamp"), F.lit(False))
 
 
-def difficulty_bank(curated: DataFrame, generated: DataFrame, prompt: str, order: str, n: int, holdout: float, seed: int) -> DataFrame:
-    """Curated rows first, topped up by generated ones, each prompt once, n in all; a hash-chosen share is held out."""
-    both = curated.withColumn("_tier", F.lit(0)).unionByName(generated.withColumn("_tier", F.lit(1)))
-    one = both.groupBy(prompt).agg(F.min(F.struct("_tier", F.col(order).alias("o"))).alias("_k"))
-    best = one.select(prompt, F.col("_k._tier").alias("tier"), F.col("_k.o").alias(order)).orderBy("tier", order).limit(n)
+# The shares of difficulties among generated questions.
+DIFFICULTY_MIX = {"easy": 0.25, "medium": 0.40, "hard": 0.25, "expert": 0.10}
+
+
+def difficulty_bank(curated: DataFrame, generated: DataFrame, prompt: str, order: str, n: int, holdout: float, seed: int, mix: dict[str, float] | None = None) -> DataFrame:
+    """prompt, tier, order, difficulty, heldout: curated rows first, topped up to ``n`` by generated ones, each prompt once.
+
+    A hash-chosen share of the curated rows is held out and does not count. What is missing is filled by ``mix``: of each
+    difficulty its share of the gap, rounded up, in the given order, as far as rows and the gap reach. generated has a column difficulty.
+    """
+    mix = mix or DIFFICULTY_MIX
     share = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), prompt), 256), 1, 14), 16, 10).cast("double") / float(1 << 56)
-    return best.withColumn("heldout", share < holdout)
+    c = curated.groupBy(prompt).agg(F.min(order).alias(order)).withColumn("heldout", share < holdout).withColumn("tier", F.lit(0)).withColumn("difficulty", F.lit(None).cast("string"))
+    probes = c.filter("not heldout").orderBy(order, prompt).limit(n)
+    fresh = generated.join(curated.select(prompt), prompt, "left_anti").groupBy(prompt).agg(F.min(F.struct(F.col(order).alias("o"), F.col("difficulty").alias("d"))).alias("k")).select(prompt, F.col("k.o").alias(order), F.col("k.d").alias("difficulty"))
+    ranked = fresh.withColumn("rn", F.row_number().over(Window.partitionBy("difficulty").orderBy(order, prompt))).filter(F.col("rn") <= n)
+    gap = with_totals(ranked, probes.agg((F.lit(n) - F.count("*")).alias("gap")))
+    quota = F.ceil(F.create_map(*[F.lit(x) for kv in mix.items() for x in kv])[F.col("difficulty")] * F.col("gap"))
+    # most due first: a row's place within its share of the gap
+    due = gap.filter(F.col("rn") <= quota).withColumn("all", F.row_number().over(Window.orderBy(F.col("rn") / quota, "difficulty"))).filter(F.col("all") <= F.col("gap"))
+    made = due.select(prompt, F.lit(1).alias("tier"), order, "difficulty", F.lit(False).alias("heldout"))
+    cols = [prompt, "tier", order, "difficulty", "heldout"]
+    return probes.select(cols).unionByName(c.filter("heldout").select(cols)).unionByName(made.select(cols))
 
 
 def generated(spark: SparkSession, n: int, seed: int, tier: int) -> DataFrame:

@@ -73,13 +73,20 @@ def sequential_looks(stream: DataFrame, run: str, diff: str, chunk: int, looks:
 
 
 def run_to_end(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Run a stream over what is there now into a Parquet folder (or a memory table for update and complete modes), and read the result."""
+    """Run a stream over what is there now into Parquet files in the checkpoint's folder, and read the result. Modes: append, and complete, of which each batch replaces the one before."""
     spark = stream.sparkSession
+    path = f"{checkpoint}/{name}-out"
+    w = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{checkpoint}/{name}").trigger(availableNow=True)
     if mode == "append":
-        path = f"{checkpoint}/{name}-out"
-        q = stream.writeStream.outputMode("append").option("checkpointLocation", f"{checkpoint}/{name}").trigger(availableNow=True).format("parquet").start(path)
-        q.awaitTermination()
+        w.format("parquet").start(path).awaitTermination()
         return spark.read.schema(stream.schema).parquet(path)
-    q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{checkpoint}/{name}").trigger(availableNow=True).format("memory").queryName(name).start()
-    q.awaitTermination()
-    return spark.table(name)
+    if mode != "complete":
+        raise ValueError("mode is append or complete")
+    last: list[str] = []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        last[:] = [f"{path}/{number}"]
+        batch.write.mode("overwrite").parquet(last[0])
+
+    w.foreachBatch(keep).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(last[0]) if last else spark.createDataFrame([], stream.schema)

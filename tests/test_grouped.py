@@ -74,3 +74,44 @@ def test_calibration_of_a_perfect_and_a_useless_forecast(spark):
     df = spark.createDataFrame([(1.0, True), (0.0, False), (None, True), (1.5, True)], "c double, y boolean")
     r = G.calibration(df, F.col("c"), F.col("y")).first()
     assert (r.n, r.ece, r.brier) == (2, 0.0, 0.0)
+
+
+def test_percentiles_of_large_groups_are_exact(spark, monkeypatch):
+    import random
+
+    import numpy as np
+
+    rnd = random.Random(6)
+    groups = {"flat": [rnd.random() for _ in range(3000)], "hot": [7.0] * 2000 + [rnd.random() * 20 for _ in range(1500)], "few": [3.0, 1.0, None, 2.0], None: [5.0, 6.0]}
+    df = spark.createDataFrame([(g, x) for g, v in groups.items() for x in v], "g string, x double")
+    shares = [0.0, 0.1, 0.5, 0.9, 1.0]
+    for small, accuracy in ((100_000, 10_000), (1000, 100)):
+        monkeypatch.setattr(G, "SMALL", small)
+        monkeypatch.setattr(G, "ACCURACY", accuracy)
+        got = {r.g: r.q for r in G.percentiles(df, "g", "x", shares).collect()}
+        for g, v in groups.items():
+            assert np.allclose(got[g], np.quantile([x for x in v if x is not None], shares), atol=1e-12), (g, small)
+    assert G.percentiles(df.limit(0), "g", "x", shares).count() == 0
+
+
+def test_max_cosine_in_blocks(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(120, 5))
+    df = spark.createDataFrame([("a" if i < 100 else "b", i, x.tolist()) for i, x in enumerate(v)] + [("c", 500, [1.0] * 5), (None, 501, [1.0] * 5), ("a", 502, None)], "label string, id long, v array<double>")
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    c = unit @ unit.T - 2 * np.eye(120)
+    for block in (2048, 16):
+        monkeypatch.setattr(G, "BLOCK", block)
+        got = {r.label: r.max_cosine for r in G.max_cosine(df, "label", "id", "v").collect()}
+        assert set(got) == {"a", "b"} and np.isclose(got["a"], c[:100, :100].max()) and np.isclose(got["b"], c[100:, 100:].max())
+
+
+def test_trust_by_kills_references_and_bank(spark):
+    rows = [("p", "reference", "r", True), ("p", "corruption", "c1", False), ("p", "corruption", "c2", True), ("q", "reference", "r", False), ("q", "corruption", "c2", False), ("s", "reference", "r", True), ("s", "bank", "b", True), ("s", "corruption", "c2", False), ("t", "reference", "r", True), ("t", "corruption", "c1", False), ("t", "bank", "b", False)]
+    df = spark.createDataFrame(rows, "prop string, kind string, item string, passed boolean")
+    got = {r.prop: (r.kill_rate, r.rejected != "", r.trust) for r in G.property_trust(df).collect()}
+    assert got == {"p": (0.5, False, 0.5), "q": (1.0, True, 0.0), "s": (1.0, True, 0.0), "t": (1.0, False, 0.8)}
+    r = G.collective_trust(df).first()
+    assert (r.corruptions, r.caught_by_any, r.caught_by_trusted, r.kill_rate, r.trusted, r.passed) == (2, 2, 1, 0.5, 2, False)

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from evalloom.operators import keyed as K
 from evalloom.operators.ordered import fold_column
-from evalloom.operators.ranked import near_pairs
+from evalloom.operators.ranked import greedily_distinct, near_pairs, nearest, without_earlier_like
 
 
 def test_latest_loses_and_fold_keeps_fields(spark):
@@ -68,3 +68,33 @@ def test_ranked_pairs_against_all_pairs_whatever_the_groups(spark):
         for most in (1, 6, 50):
             want = sorted(pairs, key=lambda p: p[2:])[:most]
             assert [tuple(r) for r in K.ranked_pairs(df, "k", "g", "s", most).collect()] == want, (len(rows), most)
+
+
+def test_greedy_and_order_free_filters_against_brute_force(spark):
+    rnd = random.Random(5)
+    sets = {i: sorted({rnd.randrange(8) for _ in range(rnd.randrange(0, 9))}) for i in range(90)}
+    df = spark.createDataFrame([(i, [str(x) for x in s]) for i, s in sets.items()] + [(90, None)], "i long, t array<string>")
+    like = lambda a, b: bool(a) and bool(b) and len(set(a) & set(b)) >= 0.6 * len(set(a) | set(b)) - 1e-12
+    kept = []
+    for i in sets:
+        if not any(like(sets[i], sets[j]) for j in kept):
+            kept.append(i)
+    assert sorted(r.i for r in greedily_distinct(df, "i", "t", 0.6).collect()) == [*kept, 90]
+    free = [i for i in sets if not any(like(sets[i], sets[j]) for j in range(i))]
+    assert sorted(r.i for r in without_earlier_like(df, "i", "t", 0.6).collect()) == [*free, 90] and len(free) < len(kept)
+
+
+def test_nearest_in_blocks_and_before(spark, monkeypatch):
+    from evalloom.operators import ranked
+
+    rnd = random.Random(7)
+    sets = {i: sorted({rnd.randrange(30) for _ in range(rnd.randrange(0, 12))}) for i in range(100)}
+    df = spark.createDataFrame([(i, [str(x) for x in s]) for i, s in sets.items()], "i long, t array<string>")
+    bank = df.filter("i % 3 = 0").selectExpr("i", "t").unionByName(spark.createDataFrame([(None, ["1", "2"]), (None, None)], "i long, t array<string>"))
+    sim = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b)) if a and b else 0.0
+    for size in (2000, 7):
+        monkeypatch.setattr(ranked, "QUERY_BLOCK", size)
+        got = {r.i: r.best for r in nearest(df.filter("i % 2 = 0"), bank, "i", "t", before="i").collect()}
+        want = {i: max([sim(sets[i], [1, 2]), *[sim(sets[i], sets[j]) for j in range(0, i, 3)]]) for i in range(0, 100, 2)}
+        assert set(got) == set(want) and all(abs(got[i] - want[i]) < 1e-12 for i in want)
+    assert nearest(df.limit(0), bank, "i", "t").count() == 0 and {r.best for r in nearest(df.limit(3), bank.limit(0), "i", "t").collect()} == {0.0}

@@ -37,10 +37,15 @@ def test_contradictions_of_any_two_sentences_names_and_steps(spark):
 
 def test_bank_prefers_curated_and_holds_out_by_hash(spark):
     cur = spark.createDataFrame([("a", 2), ("b", 1), ("a", 3)], "prompt string, o long")
-    gen = spark.createDataFrame([("b", 0), ("c", 0), ("d", 1)], "prompt string, o long")
-    rows = L.difficulty_bank(cur, gen, "prompt", "o", 3, 0.5, 1).collect()
-    assert [(r.prompt, r.tier) for r in rows] == [("b", 0), ("a", 0), ("c", 1)]
-    assert {r.prompt: r.heldout for r in rows} == {r.prompt: r.heldout for r in L.difficulty_bank(cur.repartition(3), gen, "prompt", "o", 3, 0.5, 1).collect()}
+    gen = spark.createDataFrame([("b", 0, "easy")] + [(f"{d}{i}", i, d) for d in ("easy", "medium", "hard", "expert") for i in range(30)], "prompt string, o long, difficulty string")
+    rows = L.difficulty_bank(cur, gen, "prompt", "o", 22, 0.0, 1).collect()
+    assert {(r.prompt, r.tier) for r in rows if r.tier == 0} == {("a", 0), ("b", 0)} and len(rows) == 22
+    made = [r.difficulty for r in rows if r.tier == 1]
+    assert {d: made.count(d) for d in set(made)} == {"easy": 5, "medium": 8, "hard": 5, "expert": 2}
+    held = L.difficulty_bank(cur, gen, "prompt", "o", 22, 0.6, 1).collect()
+    assert {r.prompt: r.heldout for r in held} == {r.prompt: r.heldout for r in L.difficulty_bank(cur.repartition(3), gen, "prompt", "o", 22, 0.6, 1).collect()}
+    assert sum(not r.heldout for r in held) == 22 and all(r.tier == 0 for r in held if r.heldout)
+    assert len(L.difficulty_bank(cur, gen.limit(0), "prompt", "o", 22, 0.0, 1).collect()) == 2 and len(L.difficulty_bank(cur, gen, "prompt", "o", 1, 0.0, 1).collect()) == 1
 
 
 def test_totals_beside_rows(spark):
@@ -61,3 +66,25 @@ def test_sessions_of_a_stream(spark, tmp_path):
     spark.sql("select timestamp'2024-01-01 00:00:00' as ts, 1L as u union all select timestamp'2024-01-01 00:10:00', 1 union all select timestamp'2024-01-01 02:00:00', 1").write.parquet(str(tmp_path / "in"))
     s = live.sessions(live.follow(spark, str(tmp_path / "in"), "ts timestamp, u long"), "ts", "u")
     assert sorted(r.n for r in live.run_to_end(s, "sessions_of_test", "complete", str(tmp_path)).collect()) == [1, 2]
+
+
+def test_benchmarks_come_from_the_cache_then_the_source_then_the_fixture(spark, tmp_path):
+    fixture = spark.createDataFrame([("f",)], "item string")
+    source = spark.createDataFrame([("s",)], "item string")
+    path = str(tmp_path / "c.jsonl")
+    got = lambda load: [r.item for r in L.first_available(spark, path, "item string", load, fixture).collect()]
+    assert got(lambda: source) == ["s"] and got(lambda: None) == ["f"]
+    (tmp_path / "c.jsonl").write_text('{"item": "c"}\n{bad\n')
+    assert got(lambda: source) == ["c"]
+
+
+def test_intermediates_are_removed_on_release(spark):
+    from pathlib import Path
+
+    from evalloom import session
+
+    t = session.materialize(spark.range(3).toDF("x"), "some")
+    folder = Path(session.run_dir(spark).removeprefix("file://"))
+    assert t.count() == 3 and any(folder.glob("some-*"))
+    session.release(spark)
+    assert not folder.exists()
