@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ast
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -109,6 +111,77 @@ def text_corruptions(x: Column, ident: Column) -> Column:
     return F.filter(every, lambda s: (s["kind"] != "shuffled") | (F.size(w) > 3))
 
 
+class _Edit(ast.NodeTransformer):
+    """One kind of edit at one place: the ``at``-th node that it fits."""
+
+    # Comparisons and operators that are swapped for each other.
+    SWAPS = {ast.Lt: ast.LtE, ast.LtE: ast.Lt, ast.Gt: ast.GtE, ast.GtE: ast.Gt, ast.Eq: ast.NotEq, ast.NotEq: ast.Eq, ast.Add: ast.Sub, ast.Sub: ast.Add, ast.Mult: ast.Add, ast.And: ast.Or, ast.Or: ast.And}
+
+    def __init__(self, kind: str, at: int):
+        self.kind, self.left = kind, at
+
+    def _due(self) -> bool:
+        self.left -= 1
+        return self.left == -1
+
+    def visit_Compare(self, node: ast.Compare):
+        self.generic_visit(node)
+        if self.kind == "comparison" and type(node.ops[0]) in self.SWAPS and self._due():
+            node.ops[0] = self.SWAPS[type(node.ops[0])]()
+        return node
+
+    def _operator(self, node):
+        self.generic_visit(node)
+        if self.kind == "operator" and type(node.op) in self.SWAPS and self._due():
+            node.op = self.SWAPS[type(node.op)]()
+        return node
+
+    visit_BinOp = visit_BoolOp = visit_AugAssign = _operator
+
+    def visit_Constant(self, node: ast.Constant):
+        if self.kind == "constant" and type(node.value) is int and self._due():
+            return ast.Constant(node.value + 1)
+        return node
+
+    def visit_Return(self, node: ast.Return):
+        self.generic_visit(node)
+        if self.kind == "return" and node.value is not None and self._due():
+            return ast.Return(ast.Constant(None))
+        return node
+
+
+EDITS = ("comparison", "operator", "constant", "return")
+
+
+def edited_programs(source: str | None, seed: int) -> list[tuple[str, str]]:
+    """(kind, program) with one edit of each kind that fits, at a place that depends only on the seed; none for text that is no program. Nothing is run."""
+    out = []
+    try:
+        plain = ast.unparse(ast.parse(source or ""))
+        for kind in EDITS:
+            fits = 1
+            while ast.unparse(_Edit(kind, fits).visit(ast.parse(plain))) != plain:
+                fits += 1
+            new = ast.unparse(ast.fix_missing_locations(_Edit(kind, (seed + len(out)) % fits).visit(ast.parse(plain))))
+            if new != plain:
+                out.append((kind, new))
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return []
+    return out
+
+
+def _edited(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = [(i, *e) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for e in edited_programs(t, seed)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())], names=["ident", "kind", "mutated"])
+
+
+def program_corruptions(rows: DataFrame, ident: str, code: Column, seed: int = 0) -> DataFrame:
+    """ident, kind, mutated: programs with one changed comparison, operator, whole number or return."""
+    r = rows.select(F.col(ident).cast("long").alias("ident"), code.alias("c")).filter(F.coalesce(F.col("c"), F.lit("")) != "")
+    return r.mapInArrow(partial(_edited, seed=seed), "ident long, kind string, mutated string").withColumnRenamed("ident", ident)
+
+
 def hash_embeddings(rows: DataFrame, ident: str, text: str, dim_bits: int = 6) -> DataFrame:
     """ident, embedding: counts of tokens by the low bits of their SHA-1, as a unit vector of doubles.
 

@@ -62,6 +62,13 @@ def trailing_streak(df: DataFrame, key: str | None, order: str, good: str) -> Da
     return j.groupBy(*k).agg(F.count_if(F.col("last_good").isNull() | (F.col(order) > F.col("last_good"))).alias("streak"))
 
 
+def streaks(df: DataFrame, order: str, good: str, enough: int) -> DataFrame:
+    """df with streak, how many good rows in a row end here, and confirmed, whether they are ``enough``; a row that is not good sets the streak to 0."""
+    part = df.withColumn("_part", F.count_if(~F.coalesce(F.col(good), F.lit(False))).over(Window.orderBy(order)))
+    n = F.count_if(F.coalesce(F.col(good), F.lit(False))).over(Window.partitionBy("_part").orderBy(order))
+    return part.withColumn("streak", n).withColumn("confirmed", F.col("streak") >= enough).drop("_part")
+
+
 def recent_all(df: DataFrame, key: str, order: str, passed: str, k: int) -> DataFrame:
     """Keys whose latest k rows all passed; keys with fewer rows are not among them."""
     r = df.withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy(F.col(order).desc()))).filter(F.col("_rn") <= k)

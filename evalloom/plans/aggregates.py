@@ -217,7 +217,7 @@ def agg26_quorum_2of3(spark: SparkSession, d: str) -> DataFrame:
 
 # what a verification judges: references, corrupted candidates, and those of session rsi as the bank of known failures
 _JUDGED = "(SELECT v.property_id AS prop, CASE WHEN NOT coalesce(adversarial, false) THEN 'reference' WHEN session_id = 'rsi' THEN 'bank' ELSE 'corruption' END AS kind, nullif(lower(trim(record_id)), '') AS item, coalesce(v.passed, false) AS passed FROM (SELECT adversarial, session_id, record_id, unnest(per_property_verdicts) AS v FROM verifications) WHERE v.property_id <> '')"
-_TRUST = f"""WITH j AS {_JUDGED}, k AS (SELECT prop, item, bool_or(NOT passed) AS killed FROM j WHERE kind = 'corruption' GROUP BY 1, 2),
+TRUST = f"""WITH j AS {_JUDGED}, k AS (SELECT prop, item, bool_or(NOT passed) AS killed FROM j WHERE kind = 'corruption' GROUP BY 1, 2),
     c AS (SELECT prop, count(*) AS corruptions, count(*) FILTER (killed) AS caught FROM k GROUP BY prop),
     r AS (SELECT prop, coalesce(bool_or(passed) FILTER (kind = 'reference'), false) AS ref, count(DISTINCT item) FILTER (kind = 'bank' AND passed) AS bank FROM j GROUP BY prop),
     t AS (SELECT r.prop AS prop, coalesce(corruptions, 0) AS corruptions, coalesce(caught, 0) AS caught, coalesce(caught / corruptions, 0.0) AS kill_rate, ref, bank,
@@ -225,21 +225,21 @@ _TRUST = f"""WITH j AS {_JUDGED}, k AS (SELECT prop, item, bool_or(NOT passed) A
     u AS (SELECT *, CASE WHEN rejected <> '' THEN 0.0 ELSE kill_rate * CASE WHEN kill_rate > 0.95 THEN 0.8 ELSE 1.0 END END AS trust FROM t)"""
 
 
-def _judged(spark: SparkSession, d: str) -> DataFrame:
+def judged(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "verifications").select("adversarial", "session_id", T.key("record_id").alias("item"), F.explode("per_property_verdicts").alias("v")).filter("v.property_id <> ''")
     kind = F.when(~F.coalesce("adversarial", F.lit(False)), "reference").when(F.col("session_id") == "rsi", "bank").otherwise("corruption")
     return v.select(F.col("v.property_id").alias("prop"), kind.alias("kind"), "item", F.coalesce("v.passed", F.lit(False)).alias("passed"))
 
 
-@_query(_TRUST + " SELECT prop, corruptions, caught, round(kill_rate, 6) AS kill_rate, rejected, round(trust, 6) AS trust FROM u")
+@_query(TRUST + " SELECT prop, corruptions, caught, round(kill_rate, 6) AS kill_rate, rejected, round(trust, 6) AS trust FROM u")
 def agg27_kill_rate(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(G.property_trust(_judged(spark, d)))
+    return _rounded(G.property_trust(judged(spark, d)))
 
 
-@_query(_TRUST + """, a AS (SELECT count(DISTINCT k.item) AS n, count(DISTINCT k.item) FILTER (k.killed) AS by_any, count(DISTINCT k.item) FILTER (k.killed AND u.rejected = '') AS by_trusted FROM k JOIN u ON k.prop = u.prop), b AS (SELECT count(*) FILTER (trust >= 0.5) AS trusted, count(*) AS properties FROM u)
+@_query(TRUST + """, a AS (SELECT count(DISTINCT k.item) AS n, count(DISTINCT k.item) FILTER (k.killed) AS by_any, count(DISTINCT k.item) FILTER (k.killed AND u.rejected = '') AS by_trusted FROM k JOIN u ON k.prop = u.prop), b AS (SELECT count(*) FILTER (trust >= 0.5) AS trusted, count(*) AS properties FROM u)
     SELECT n AS corruptions, by_any AS caught_by_any, by_trusted AS caught_by_trusted, round(coalesce(by_trusted / nullif(n, 0), 0.0), 6) AS kill_rate, trusted, properties, trusted > 0 AND coalesce(by_trusted / nullif(n, 0), 0.0) >= 0.7 AS passed FROM a, b""")
 def agg27_collective_trust(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(G.collective_trust(_judged(spark, d)))
+    return _rounded(G.collective_trust(judged(spark, d)))
 
 
 @_query(f"SELECT seq, count(*) FILTER (v.verdict = 'PASS') + CASE WHEN any_value(own) THEN 1 ELSE 0 END AS valid_votes, count(*) FILTER (v.verdict = 'PASS') + CASE WHEN any_value(own) THEN 1 ELSE 0 END >= 2 AS agreed FROM (SELECT seq, coalesce(accepted, false) AS own, unnest(per_backend) AS v FROM verify_decisions) GROUP BY seq")

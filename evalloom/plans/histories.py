@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evalloom.functions import stats as S
+from evalloom.functions import text as T
 from evalloom.operators import grouped as G
 from evalloom.operators import ordered as O
-from evalloom.plans.aggregates import _DAY, daily
+from evalloom.plans.aggregates import _DAY, TRUST, daily, judged
 from evalloom.plans.effects import _KEY, _rounded
 from evalloom.session import table
 
@@ -133,6 +134,15 @@ def win13_high_water(spark: SparkSession, d: str) -> DataFrame:
     return daily(spark, d).select("cycle", F.coalesce(F.col("v") > before, F.lit(True)).alias("new_best"))
 
 
+@_query(f"""WITH h AS (SELECT cycle, v, n, v > coalesce(max(v) OVER (ORDER BY cycle ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1e300) - 2.0 AND n >= 0.9 * coalesce(avg(n) OVER (ORDER BY cycle ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ok FROM ({_DAY})),
+    g AS (SELECT *, count(*) FILTER (NOT ok) OVER (ORDER BY cycle) AS part FROM h) SELECT cycle, ok, CAST(count(*) FILTER (ok) OVER (PARTITION BY part ORDER BY cycle) AS BIGINT) AS streak, count(*) FILTER (ok) OVER (PARTITION BY part ORDER BY cycle) >= 3 AS confirmed FROM g""")
+def win13_streak(spark: SparkSession, d: str) -> DataFrame:
+    """Cycles near the best score so far that keep up the usual number of questions, how many in a row, and whether these are enough."""
+    before = Window.orderBy("cycle").rowsBetween(Window.unboundedPreceding, -1)
+    ok = (F.col("v") > F.coalesce(F.max("v").over(before), F.lit(-1e300)) - 2.0) & (F.col("n") >= 0.9 * F.coalesce(F.avg("n").over(before), F.lit(0.0)))
+    return O.streaks(daily(spark, d).withColumn("ok", ok), "cycle", "ok", 3).select("cycle", "ok", "streak", "confirmed")
+
+
 _FOLD = """WITH RECURSIVE s AS (SELECT row_number() OVER (ORDER BY cycle) AS i, cycle, v, v - lag(v, 1, v) OVER (ORDER BY cycle) AS x FROM ({day})), f AS (SELECT 0::BIGINT AS i, {start}::DOUBLE AS c, NULL::BIGINT AS cycle UNION ALL SELECT s.i, {step}, s.cycle FROM f JOIN s ON s.i = f.i + 1) SELECT cycle, round(c, 6) AS {name} FROM f WHERE i > 0"""
 
 
@@ -289,11 +299,22 @@ def sta8_canary(spark: SparkSession, d: str) -> DataFrame:
     return _deltas(spark, d).filter("delta is not null").select("cycle", ((F.col("delta") > 0.01) & (F.col("n") < 330)).alias("captured"))
 
 
-@_query("SELECT seq, array_to_string(list_filter([CASE WHEN len(coalesce(parent_skills, [])) = 0 THEN 'no independent property' END, CASE WHEN coalesce(nearest_neighbor_dist, 0) < 0.15 THEN 'novelty too low' END], lambda x: x IS NOT NULL), '; ') AS reasons FROM problems")
+_CHECKED = "(SELECT nullif(lower(trim(problem_id)), '') AS key, unnest(property_ids) AS prop, quorum_accepted FROM verifications)"
+
+
+@_query(TRUST + f""", z AS (SELECT key, max(CASE WHEN coalesce(u.trust, 0) > 0 THEN 1 ELSE 0 END) AS bites, max(CASE WHEN coalesce(quorum_accepted, false) THEN 1 ELSE 0 END) AS passed FROM {_CHECKED} k LEFT JOIN u ON k.prop = u.prop WHERE key IS NOT NULL GROUP BY key)
+    SELECT seq, array_to_string(list_filter([CASE WHEN len(coalesce(parent_skills, [])) = 0 THEN 'no independent property' END, CASE WHEN coalesce(bites, 0) = 0 THEN 'toothless properties' END, CASE WHEN coalesce(nearest_neighbor_dist, 0) < 0.15 THEN 'novelty too low' END, CASE WHEN coalesce(passed, 0) = 0 THEN 'no trusted verification' END], lambda x: x IS NOT NULL), '; ') AS reasons
+    FROM problems p LEFT JOIN z ON nullif(lower(trim(p.problem_id)), '') = z.key""")
 def sta9_admissibility(spark: SparkSession, d: str) -> DataFrame:
+    """Why a problem may not be used: its properties' trust and its verifications are looked up by its key."""
+    trust = G.property_trust(judged(spark, d)).select("prop", "trust")
+    k = table(spark, d, "verifications").select(T.key("problem_id").alias("key"), F.explode("property_ids").alias("prop"), "quorum_accepted").filter("key is not null").join(trust, "prop", "left")
+    c = k.groupBy("key").agg(F.bool_or(F.coalesce(F.col("trust") > 0, F.lit(False))).alias("bites"), F.bool_or(F.coalesce("quorum_accepted", F.lit(False))).alias("passed"))
     none = F.coalesce(F.size("parent_skills"), F.lit(0)) <= 0
-    why = F.concat_ws("; ", F.when(none, "no independent property"), F.when(F.coalesce("nearest_neighbor_dist", F.lit(0.0)) < 0.15, "novelty too low"))
-    return table(spark, d, "problems").select("seq", why.alias("reasons"))
+    lacks = lambda c: ~F.coalesce(c, F.lit(False))
+    why = F.concat_ws("; ", F.when(none, "no independent property"), F.when(lacks("bites"), "toothless properties"), F.when(F.coalesce("nearest_neighbor_dist", F.lit(0.0)) < 0.15, "novelty too low"), F.when(lacks("passed"), "no trusted verification"))
+    p = table(spark, d, "problems").select("seq", T.key("problem_id").alias("key"), "parent_skills", "nearest_neighbor_dist")
+    return p.join(c, "key", "left").select("seq", why.alias("reasons"))
 
 
 @_query("SELECT seq, greatest(10, CAST(floor(40 * greatest(0.2, least(1.0, least(1.0, greatest(0.0, declared_difficulty)) * 2)) * CASE WHEN nearest_neighbor_dist > 0.1 AND nearest_neighbor_dist < 1 THEN greatest(0.3, 1.0 - (nearest_neighbor_dist - 0.1)) ELSE 1.0 END) AS INTEGER)) AS n FROM problems WHERE declared_difficulty IS NOT NULL AND nearest_neighbor_dist IS NOT NULL")

@@ -336,6 +336,13 @@ def grd13_text_corruptions(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "eval_items").select("item_id", F.inline(text_corruptions(F.col("prompt"), F.col("item_id"))))
 
 
+@_query()
+def grd13_program_corruptions(spark: SparkSession, d: str) -> DataFrame:
+    from evalloom.functions.graders import program_corruptions
+
+    return program_corruptions(table(spark, d, "training_pool").filter("domain = 'code'"), "seq", T.longest_fence(F.col("response")))
+
+
 @_query("WITH t AS (SELECT item_id, unnest(regexp_extract_all(lower(prompt), '[a-z0-9]+')) AS w FROM eval_items), b AS (SELECT item_id, ('0x' || substr(sha1(w), 33, 8))::BIGINT % 64 AS bucket, count(*) AS n FROM t GROUP BY ALL) SELECT item_id, bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY item_id)), 6) AS x FROM b")
 def grd14_hash_embedding(spark: SparkSession, d: str) -> DataFrame:
     from evalloom.functions.graders import hash_embeddings

@@ -88,3 +88,17 @@ def test_intermediates_are_removed_on_release(spark):
     assert t.count() == 3 and any(folder.glob("some-*"))
     session.release(spark)
     assert not folder.exists()
+
+
+def test_programs_are_edited_once_per_kind_and_never_run(spark):
+    import ast
+
+    source = "def f(x, n=3):\n    if x < n and n > 0:\n        return x + 1\n    return None"
+    got = dict(G.edited_programs(source, 0))
+    assert set(got) == {"comparison", "operator", "constant", "return"}
+    plain = ast.unparse(ast.parse(source)).split("\n")
+    for kind, new in got.items():
+        assert sum(a != b for a, b in zip(plain, new.split("\n"), strict=True)) == 1, kind
+    assert got == dict(G.edited_programs(source, 0)) and G.edited_programs("no program at all", 0) == [] == G.edited_programs(None, 1) and G.edited_programs("x", 0) == []
+    df = spark.createDataFrame([(1, source), (2, None), (3, "raise SystemExit(1 +")], "i long, t string")
+    assert {(r.i, r.kind) for r in G.program_corruptions(df, "i", F.col("t")).collect()} == {(1, k) for k in got}
