@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalloom.llm import tensored
+from evalloom.operators.pairs import settled
 from evalloom.session import materialize, parallelism, run_dir
 
 _NORMAL = "trim(regexp_replace(lower({}), '[^\\\\p{{L}}\\\\p{{N}}]+', ' '))"
@@ -134,6 +135,7 @@ class HistoryIndex:
         held = materialize(held.select("session_id", "problem_id", "class_id", "turn"), "held")
         same = None
         if filled:
+            sigs = materialize(sigs, "classes")
             old = materialize(self._of("keys", "key", tensored.keyed(sigs).select("key")), "oldkeys")
             # with the sets of the run's own classes: shingles that the history has, from a text written otherwise
             sets = materialize(self._of("sets", "class_id", old.select(F.col("ident").alias("class_id")).unionByName(sigs.select("class_id"))), "oldsets")
@@ -141,6 +143,7 @@ class HistoryIndex:
             sigs = sigs.join(sets.select("class_id"), "class_id", "left_anti")
             links = tensored.links_to(sigs, (old, sets), self.threshold)
         else:
+            sigs = materialize(sigs, "classes")
             links = tensored.similar_classes(sigs, self.threshold)
 
         first = held.groupBy("class_id").agg(F.min("turn").alias("first"))
@@ -152,7 +155,7 @@ class HistoryIndex:
         a, b = F.col("first_a"), F.col("first_b")
         a_first = a.isNull() | (a < b)
         links = links.filter(a.isNull() | b.isNull() | (a != b)).select(F.when(a_first, F.col("a")).otherwise(F.col("b")).alias("old"), F.when(a_first, F.col("b")).otherwise(F.col("a")).alias("new"), (a.isNull() | b.isNull()).alias("kept"))
-        barred = self._settled(materialize(links, "links")).filter("not accepted").select("class_id")
+        barred = settled(materialize(links, "links")).filter("not accepted").select(F.col("id").alias("class_id"))
         out = barred if same is None else barred.unionByName(same)
         later = held.join(first, "class_id").filter("first < turn").select("session_id", "problem_id")
         at_first = held.join(first, "class_id").filter("first = turn").join(out, "class_id", "left_semi").select("session_id", "problem_id")
@@ -168,22 +171,6 @@ class HistoryIndex:
         self._append("content", fresh.select("hash").distinct().withColumn("batch", F.lit(batch_name)))
         return found.distinct()
 
-    @staticmethod
-    def _settled(links: DataFrame) -> DataFrame:
-        """class_id, accepted of every class that has an older neighbour.
-
-        links: old, new, kept (the old one is in the history, so accepted). A class is barred by an accepted older neighbour, and accepted
-        once all of them are barred; classes without older neighbours are accepted. A round decides all whose neighbours are decided, so there are as many rounds as the longest chain.
-        """
-        status = links.select(F.col("new").alias("class_id"), F.lit(None).cast("boolean").alias("accepted")).distinct()
-        while True:
-            older = status.select(F.col("class_id").alias("old"), F.col("accepted").alias("is"), F.lit(True).alias("known"))
-            j = links.join(older, "old", "left").select("new", F.when(F.col("kept") | F.col("known").isNull(), True).otherwise(F.col("is")).alias("is"))
-            g = j.groupBy(F.col("new").alias("class_id")).agg(F.bool_or(F.coalesce("is", F.lit(False))).alias("bars"), F.bool_and(F.coalesce(~F.col("is"), F.lit(False))).alias("free"))
-            status = materialize(g.select("class_id", F.when(F.col("bars"), False).when(F.col("free"), True).alias("accepted")), "status")
-            if not status.filter("accepted is null").head(1):
-                return status
-
 
 def _index(spark: SparkSession, k: int, threshold: float, m: int) -> HistoryIndex:
     return HistoryIndex(spark, run_dir(spark), f"history_{uuid.uuid4().hex}", k=k, threshold=threshold, m=m)

@@ -81,6 +81,25 @@ m AS (SELECT x, y FROM c JOIN n a ON a.text = x JOIN n b ON b.text = y WHERE 2 *
 SELECT DISTINCT least(a.id, b.id) AS problem_id_a, greatest(a.id, b.id) AS problem_id_b FROM m JOIN t a ON a.text = x JOIN t b ON b.text = y WHERE a.id <> b.id
 """
 
+# rows of earlier sessions that are like a row, then row by row in the order of sessions: barred if one of them is not barred itself
+P3_FOUND = r"""
+WITH RECURSIVE o AS (SELECT session_id, coalesce(min(proposed_at), 'infinity'::DOUBLE) AS began FROM problems WHERE session_id IS NOT NULL GROUP BY session_id),
+t AS (SELECT row_number() OVER (ORDER BY began, p.session_id, seq) AS i, dense_rank() OVER (ORDER BY began, p.session_id) AS turn, p.session_id AS session_id, nullif(lower(trim(problem_id)), '') AS problem_id, problem_text AS text
+  FROM problems p JOIN o ON p.session_id = o.session_id WHERE problem_text IS NOT NULL),
+e AS MATERIALIZED (SELECT text, row_number() OVER (ORDER BY text) AS id FROM (SELECT DISTINCT text FROM t)),
+w AS (SELECT id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM e),
+s AS MATERIALIZED (SELECT DISTINCT id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 3)),
+n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+c AS (SELECT a.id AS x, b.id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g GROUP BY 1, 2),
+m AS (SELECT x, y FROM c JOIN n a ON a.id = x JOIN n b ON b.id = y WHERE 2 * k >= a.n + b.n - k),
+r AS (SELECT t.i AS i, t.turn AS turn, e.id AS id FROM t JOIN e ON t.text = e.text),
+l AS (SELECT b.i AS new, list(a.i) AS olds FROM m JOIN r a ON a.id = x JOIN r b ON b.id = y WHERE a.turn < b.turn GROUP BY b.i),
+q AS MATERIALIZED (SELECT row_number() OVER (ORDER BY new) AS k, new, olds FROM l),
+f AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS barred UNION ALL SELECT q.k, CASE WHEN len(list_filter(q.olds, lambda x: NOT list_contains(f.barred, x))) > 0 THEN list_append(f.barred, q.new) ELSE f.barred END FROM f JOIN q ON q.k = f.k + 1),
+b AS (SELECT unnest(barred) AS i FROM (SELECT barred FROM f ORDER BY k DESC LIMIT 1))
+SELECT DISTINCT session_id, problem_id FROM t WHERE i IN (SELECT i FROM b) AND problem_id IS NOT NULL
+"""
+
 _N = r"trim(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
 P3_COVERAGE = rf"""
 WITH o AS (SELECT session_id, {{'b': coalesce(min(proposed_at), 'infinity'::DOUBLE), 's': session_id}} AS turn FROM problems WHERE session_id IS NOT NULL GROUP BY session_id),
@@ -143,4 +162,4 @@ SELECT DISTINCT doc_id, item_id FROM d JOIN i ON d.g = i.g
 
 P7_CHECK = "SELECT budget_id, 0::BIGINT AS wrong_tokens, 0::BIGINT AS split_without_need, 0::BIGINT AS over_full, (SELECT count(*) FROM documents WHERE text <> '') AS texts FROM pack_budgets"
 
-SQL = {"p7_check": P7_CHECK, "p1_found": P1_FOUND, "p3_coverage": P3_COVERAGE, "p8_found": P8_FOUND, "p9_found": P9_FOUND, "p9_canonical": P9_CANONICAL, "p9_classes": P9_CLASSES}
+SQL = {"p7_check": P7_CHECK, "p1_found": P1_FOUND, "p3_found": P3_FOUND, "p3_coverage": P3_COVERAGE, "p8_found": P8_FOUND, "p9_found": P9_FOUND, "p9_canonical": P9_CANONICAL, "p9_classes": P9_CLASSES}
