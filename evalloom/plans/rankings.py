@@ -329,11 +329,19 @@ def grd13_numeric_corruptions(spark: SparkSession, d: str) -> DataFrame:
     return r.select("s_suppkey", "kind", F.round("mutated", 2).alias("mutated"))
 
 
-@_query()
+_WORDS = "regexp_split_to_array(prompt, '\\s+')"
+
+
+@_query(f"""WITH w AS (SELECT item_id, prompt, {_WORDS} AS w FROM eval_items WHERE prompt IS NOT NULL)
+    SELECT item_id, 'negated' AS kind, CASE WHEN lower(w[1]) IN ('yes', 'true', 'correct') THEN 'no ' WHEN lower(w[1]) IN ('no', 'false', 'incorrect') THEN 'yes ' ELSE 'not ' END || prompt AS mutated FROM w
+    UNION ALL SELECT item_id, 'reversed', array_to_string(list_reverse(w), ' ') FROM w UNION ALL SELECT item_id, 'empty', '' FROM w UNION ALL SELECT item_id, 'shuffled', array_to_string(list_sort(w), ' ') FROM w WHERE len(w) > 3""")
 def grd13_text_corruptions(spark: SparkSession, d: str) -> DataFrame:
+    """The shuffled words are shown sorted, as their order comes from hashes."""
     from evalloom.functions.graders import text_corruptions
 
-    return table(spark, d, "eval_items").select("item_id", F.inline(text_corruptions(F.col("prompt"), F.col("item_id"))))
+    r = table(spark, d, "eval_items").filter("prompt is not null").select("item_id", F.inline(text_corruptions(F.col("prompt"), F.col("item_id"))))
+    plain = F.array_join(F.array_sort(F.split("mutated", " ")), " ")
+    return r.select("item_id", "kind", F.when(F.col("kind") == "shuffled", plain).otherwise(F.col("mutated")).alias("mutated"))
 
 
 @_query()

@@ -114,6 +114,26 @@ def _contains() -> str:
     return f"SELECT item_id, CASE WHEN length(w) <= 3 THEN len(list_filter({places}, lambda p: {_edge('p', 'w')})) > 0 ELSE {_edge('r', 'w')} END AS ok FROM {source}"
 
 
+def _clean() -> str:
+    re2 = lambda p: quoted(p.replace("'?t", "''?t").replace("''", "'"))
+    leak, start = T.LEAK, T.LEAK_AT_START
+    body = leak.removeprefix("(?i)")
+    bad = f"regexp_matches(substr(p, 1, 300), {re2(T.REFUSAL)}) AND NOT regexp_matches(p, {re2(T.SOLUTION)}) OR {gibberish('p')} OR regexp_matches(p, {re2(start)})"
+    before = f"length(regexp_extract(p, {re2('(?is)^(.*?)' + body)}, 1))"
+    cut = f"{before} + CASE WHEN starts_with(regexp_extract(p, {re2(leak)}), chr(10)) THEN 0 ELSE 2 END"
+    source = f"(SELECT seq, {strip('problem_text')} AS p FROM problems)"
+    return f"SELECT seq, CASE WHEN p IS NULL THEN NULL WHEN {bad} THEN '' WHEN NOT regexp_matches(p, {re2(leak)}) THEN p WHEN {cut} > 20 THEN {strip(f'left(p, {cut})')} ELSE '' END AS value FROM {source}"
+
+
+def _names() -> str:
+    line = r"^\s*(?:[-*\d+.)\s]*)\s*([A-Za-z][A-Za-z0-9 _/&-]{2,60})\s*$"
+    name = f"trim({swap(f'lower({strip(f"regexp_extract(s, {quoted(line)}, 1)")})', '[^a-z0-9]+', '_')}, '_')"
+    names = f"list_filter(list_transform(list_filter(string_split(text, chr(10)), lambda s: regexp_matches(s, {quoted(line)})), lambda s: {name}), lambda n: n <> '')"
+    # each name where it stands first
+    first = "list_filter(n, lambda x, i: list_position(n, x) = i)"
+    return f"SELECT doc_id, array_to_string({first}[1:20], ',') AS value FROM (SELECT doc_id, {names} AS n FROM documents)"
+
+
 VOTE = _vote()
 QUERIES: dict = {}
 SQL = {
@@ -122,6 +142,8 @@ SQL = {
     "prj19_choice_letter": f"SELECT doc_id, {choice()} AS value FROM documents",
     "prj22_code_fence": _fence(),
     "prj24_plain_markdown": _markdown(),
+    "prj27_clean_problem": _clean(),
+    "prj36_name_lines": _names(),
     "prj29_sample_issues": _issues(),
     "prj35_equations": _equations(),
     "prj38_json_lines": "SELECT seq, len(list_filter(string_split(training_sample_payload, chr(10)), lambda s: json_valid(s) AND json_extract_string(s, '$.prompt') IS NOT NULL AND json_extract_string(s, '$.response') IS NOT NULL)) > 0 AS value FROM training_pool",
