@@ -38,6 +38,23 @@ LEAK_AT_START = r"(?i)^\s*(?:solution|answer|hint|step\s*1|first,\s*(?:we|let|I)
 # The unit words that may end an answer.
 UNITS = r"(?i)\s*(?:cm|mm|m|km|kg|g|mg|lb|oz|ft|in|s|sec|min|hr|hours?|days?|years?|dollars?|euros?|cents?|percent|%|degrees?|°|radians?|rad)\s*$"
 
+# Patterns of answers, in queries and in their SQL alike.
+VOTE_PREFIX = r"^(the\s+)?(final\s+)?(answer|result|output|value|conclusion)\s*[:=]\s*"
+VOTE_NUMBER = r"(-?\d+(?:\.\d+)?(?:/\d+)?)"
+BOX_OPENS, BOX_ENDS = r"^\\boxed\s*\{\s*", r"\s*\}\s*$"
+BOXED = r"\\boxed\s*\{([^{}]*(?:\{[^{}]*\}[^{}]*)*)\}"
+DOLLARS = r"^\$+|\$+$"
+ANSWER_IS = r"(?i)^(?:the\s+)?(?:answer|result|solution|value)\s+is\s+"
+FRACTION, ROOT = r"\\frac\s*\{([^{}]*)\}\s*\{([^{}]*)\}", r"\\sqrt\s*\{([^{}]*)\}"
+# LaTeX commands and their plain forms, the longer command before its prefix.
+TEX = (("cdot", "*"), ("times", "*"), ("div", "/"), ("pi", "pi"), ("infty", "oo"), ("inf", "oo"), ("left", ""), ("right", ""), ("le", "<="), ("ge", ">="))
+# Patterns of fences, of marks of markdown, and of equations.
+THOUGHT = r"(?is)<think>.*?</think>"
+FIRST_FENCE, ANY_FENCE = r"(?s)```(?:python|py)?\s*\n(.*?)```", r"(?s)```(?:python3?|py)?[ \t]*\n?(.*?)```"
+BULLET, HEADER, WRAP, INLINE = r"^[-*•·]\s*", r"^(?:#{1,6}|>)+\s*", r"^\*{1,2}(.+?)\*{1,2}$", r"(?:\*{1,3}|`+|_{1,2})"
+CLAUSES, EQUATION = r"[\n;]|\. |, ", r"^\s*([A-Za-z_][A-Za-z_0-9]*|\([^()=]+\)|[^=]{1,60})\s*=\s*([^=<>!]+)$"
+NAME_LINE = r"^\s*(?:[-*\d+.)\s]*)\s*([A-Za-z][A-Za-z0-9 _/&-]{2,60})\s*$"
+
 BLANK = " \t\n\r\f\x0b"
 
 
@@ -147,10 +164,10 @@ def significant_words(x: Column | str) -> Column:
 def vote_answer(x: Column, domain: Column) -> Column:
     """An answer in the form in which votes are counted."""
     t = F.lower(strip(x))
-    t = F.regexp_replace(t, r"^(the\s+)?(final\s+)?(answer|result|output|value|conclusion)\s*[:=]\s*", "")
-    t = F.regexp_replace(F.regexp_replace(t, r"^\\boxed\s*\{\s*", ""), r"\s*\}\s*$", "")
+    t = F.regexp_replace(t, VOTE_PREFIX, "")
+    t = F.regexp_replace(F.regexp_replace(t, BOX_OPENS, ""), BOX_ENDS, "")
     t = F.btrim(t, F.lit(" .`\"'"))
-    number = F.regexp_extract(t, r"(-?\d+(?:\.\d+)?(?:/\d+)?)", 1)
+    number = F.regexp_extract(t, VOTE_NUMBER, 1)
     flat = F.substring(F.regexp_replace(t, r"\s+", " "), 1, 80)
     first = strip(F.regexp_replace(F.element_at(F.split(t, "\n"), 1), r"\s+", " "))
     return F.when((domain == "math") & (number != "") & (F.length(t) <= F.length(number) + 10), number).when(domain == "code", first).otherwise(flat)
@@ -159,15 +176,14 @@ def vote_answer(x: Column, domain: Column) -> Column:
 def latex_answer(x: Column) -> Column:
     """An answer without LaTeX wrappers, prose prefix, unit and end punctuation."""
     s = strip(x)
-    boxed = F.regexp_extract(s, r"\\boxed\s*\{([^{}]*(?:\{[^{}]*\}[^{}]*)*)\}", 1)
-    s = F.when(s.rlike(r"\\boxed\s*\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\}"), strip(boxed)).otherwise(s)
-    s = strip(F.regexp_replace(s, r"^\$+|\$+$", ""))
-    s = strip(F.regexp_replace(s, r"(?i)^(?:the\s+)?(?:answer|result|solution|value)\s+is\s+", ""))
-    s = F.regexp_replace(s, r"\\frac\s*\{([^{}]*)\}\s*\{([^{}]*)\}", "(($1)/($2))")
-    s = F.regexp_replace(s, r"\\sqrt\s*\{([^{}]*)\}", "sqrt($1)")
-    # LaTeX commands and their plain forms, the longer command before its prefix.
-    for tex, plain in (("\\cdot", "*"), ("\\times", "*"), ("\\div", "/"), ("\\pi", "pi"), ("\\infty", "oo"), ("\\inf", "oo"), ("\\left", ""), ("\\right", ""), ("\\le", "<="), ("\\ge", ">=")):
-        s = F.replace(s, F.lit(tex), F.lit(plain))
+    boxed = F.regexp_extract(s, BOXED, 1)
+    s = F.when(s.rlike(BOXED), strip(boxed)).otherwise(s)
+    s = strip(F.regexp_replace(s, DOLLARS, ""))
+    s = strip(F.regexp_replace(s, ANSWER_IS, ""))
+    s = F.regexp_replace(s, FRACTION, "(($1)/($2))")
+    s = F.regexp_replace(s, ROOT, "sqrt($1)")
+    for tex, plain in TEX:
+        s = F.replace(s, F.lit("\\" + tex), F.lit(plain))
     return strip(F.rtrim(strip(F.regexp_replace(s, UNITS, "")), F.lit(".!?,;:")))
 
 
@@ -230,13 +246,13 @@ def hash_marked_answer(x: Column) -> Column:
 
 def first_fence(x: Column) -> Column:
     """The first fenced block, without thoughts; the whole text where there is none."""
-    t = F.regexp_replace(x, r"(?is)<think>.*?</think>", "")
-    return F.when(t.rlike(r"(?s)```(?:python|py)?\s*\n.*?```"), F.regexp_extract(t, r"(?s)```(?:python|py)?\s*\n(.*?)```", 1)).otherwise(t)
+    t = F.regexp_replace(x, THOUGHT, "")
+    return F.when(t.rlike(FIRST_FENCE), F.regexp_extract(t, FIRST_FENCE, 1)).otherwise(t)
 
 
 def longest_fence(x: Column) -> Column:
     """The longest fenced block, stripped; else everything from the first definition on; else empty."""
-    blocks = F.transform(F.regexp_extract_all(x, F.lit(r"(?s)```(?:python3?|py)?[ \t]*\n?(.*?)```"), F.lit(1)), strip)
+    blocks = F.transform(F.regexp_extract_all(x, F.lit(ANY_FENCE), F.lit(1)), strip)
     best = F.array_max(F.transform(F.filter(blocks, lambda b: b != ""), lambda b: F.struct(F.length(b).alias("n"), b.alias("b"))))["b"]
     return F.coalesce(best, F.when(F.instr(x, "def ") > 0, F.regexp_extract(x, r"(?s)(def .*)", 1)).otherwise(F.when(x.isNotNull(), "")))
 
@@ -247,13 +263,13 @@ def without_thoughts(x: Column | str) -> Column:
 
 def plain_line(x: Column) -> Column:
     """A line without bullet, header marks and a wrap of asterisks."""
-    s = strip(F.regexp_replace(strip(x), r"^[-*•·]\s*", ""))
-    s = strip(F.regexp_replace(s, r"^(?:#{1,6}|>)+\s*", ""))
-    return F.when(s.rlike(r"^\*{1,2}(.+?)\*{1,2}$"), strip(F.regexp_extract(s, r"^\*{1,2}(.+?)\*{1,2}$", 1))).otherwise(s)
+    s = strip(F.regexp_replace(strip(x), BULLET, ""))
+    s = strip(F.regexp_replace(s, HEADER, ""))
+    return F.when(s.rlike(WRAP), strip(F.regexp_extract(s, WRAP, 1))).otherwise(s)
 
 
 def plain_inline(x: Column) -> Column:
-    return strip(F.regexp_replace(x, r"(?:\*{1,3}|`+|_{1,2})", ""))
+    return strip(F.regexp_replace(x, INLINE, ""))
 
 
 def plain_text(x: Column) -> Column:
@@ -361,15 +377,13 @@ def issue_category(x: Column) -> Column:
 
 def equations(x: Column) -> Column:
     """Texts "left = right" of the equations in prose: one line or clause each, sides trimmed, at least one of them short."""
-    clauses = F.split(x, r"[\n;]|\. |, ")
-    ok = r"^\s*([A-Za-z_][A-Za-z_0-9]*|\([^()=]+\)|[^=]{1,60})\s*=\s*([^=<>!]+)$"
-    return F.transform(F.filter(clauses, lambda c: c.rlike(ok)), lambda c: F.concat(strip(F.regexp_extract(c, ok, 1)), F.lit(" = "), strip(F.regexp_extract(c, ok, 2))))
+    clauses = F.filter(F.split(x, CLAUSES), lambda c: c.rlike(EQUATION))
+    return F.transform(clauses, lambda c: F.concat(strip(F.regexp_extract(c, EQUATION, 1)), F.lit(" = "), strip(F.regexp_extract(c, EQUATION, 2))))
 
 
 def name_lines(x: Column, limit: int = 20) -> Column:
     """Names listed one a line, distinct after normalising, in order, at most ``limit``."""
-    line = r"^\s*(?:[-*\d+.)\s]*)\s*([A-Za-z][A-Za-z0-9 _/&-]{2,60})\s*$"
-    names = F.transform(F.filter(F.split(x, "\n"), lambda s: s.rlike(line)), lambda s: task_name(F.regexp_extract(s, line, 1)))
+    names = F.transform(F.filter(F.split(x, "\n"), lambda s: s.rlike(NAME_LINE)), lambda s: task_name(F.regexp_extract(s, NAME_LINE, 1)))
     return F.slice(F.array_distinct(F.filter(names, lambda n: n != "")), 1, limit)
 
 

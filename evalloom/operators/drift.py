@@ -15,6 +15,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evalloom.operators.nested import parsed
 from evalloom.session import materialize
@@ -196,9 +197,6 @@ def consistent_schema(rows: DataFrame, snapshots: tuple[str, ...] = (), left_out
     return {p: (x, NAMES.get(kinds[x], "string")) for p, x in name.items()}
 
 
-TYPED = "seq long, table_name string, run_id string, file_name string, line_no int, numbers map<string,double>, booleans map<string,boolean>, strings map<string,string>, arrays map<string,array<string>>"
-
-
 def _number(v) -> float:
     try:
         return float(v)
@@ -210,38 +208,59 @@ def _text(v) -> str:
     return v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)
 
 
-#: Of each promoted type the Arrow type and how a value is cast to it.
+#: Of each promoted type the Arrow type, Spark's, and how a value is cast to it.
 CASTS = {
-    "number": (pa.float64(), _number),
-    "boolean": (pa.bool_(), bool),
-    "string": (pa.string(), _text),
-    "array": (pa.list_(pa.string()), lambda v: [None if e is None else _text(e) for e in v]),
+    "number": (pa.float64(), T.DoubleType(), _number),
+    "boolean": (pa.bool_(), T.BooleanType(), bool),
+    "string": (pa.string(), T.StringType(), _text),
+    "array": (pa.list_(pa.string()), T.ArrayType(T.StringType()), lambda v: [None if e is None else _text(e) for e in v]),
 }
-
-
-def _typed(batches: Iterator[pa.RecordBatch], schema: dict[str, tuple[str, str]], snapshots: tuple[str, ...], left_out: frozenset[str]) -> Iterator[pa.RecordBatch]:
+#: What tells a line: its columns come first, under these names.
+KEYS = {"seq": T.LongType(), "table_name": T.StringType(), "run_id": T.StringType(), "file_name": T.StringType(), "line_no": T.IntegerType()}
+
+
+def column_names(fields: list[str]) -> dict[str, str]:
+    """field -> column: its own name, with a number after it where an earlier column has the name in another case."""
+    taken, out = set(KEYS), {}
+    for f in sorted(fields):
+        name, n = f, 1
+        while name.lower() in taken:
+            n += 1
+            name = f"{f}#{n}"
+        taken.add(name.lower())
+        out[f] = name
+    return out
+
+
+def _typed(batches: Iterator[pa.RecordBatch], schema: dict[str, tuple[str, str]], fields: list[tuple[str, str, str]], snapshots: tuple[str, ...], left_out: frozenset[str]) -> Iterator[pa.RecordBatch]:
+    place = {name: i for i, (name, _, _) in enumerate(fields)}
+    target = {path: (place[name], CASTS[kind][2]) for path, (name, kind) in schema.items()}
     for b in batches:
-        at, maps = [], {kind: [] for kind in CASTS}
-        for n, body in enumerate(b.column(b.num_columns - 1).to_pylist()):
-            record = parsed(body, snapshots)
-            if record is None:
-                continue
-            at.append(n)
-            own: dict[str, dict] = {kind: {} for kind in CASTS}
-            for path, v in leaves(record, left_out):
-                name, kind = schema[path]
-                own[kind].setdefault(name, CASTS[kind][1](v))
-            for kind, m in own.items():
-                maps[kind].append(list(m.items()))
-        kept = [c.take(pa.array(at, pa.int64())) for c in b.columns[:-1]]
-        yield pa.RecordBatch.from_arrays([*kept, *[pa.array(m, pa.map_(pa.string(), CASTS[kind][0])) for kind, m in maps.items()]], names=[*b.schema.names[:-1], *(f"{kind}s" for kind in maps)])
+        for cut in range(0, b.num_rows, 2000):
+            part = b.slice(cut, 2000)
+            at, rows = [], []
+            for n, body in enumerate(part.column(part.num_columns - 1).to_pylist()):
+                record = parsed(body, snapshots)
+                if record is None:
+                    continue
+                row: dict[int, object] = {}
+                for path, v in leaves(record, left_out):
+                    i, cast = target[path]
+                    row.setdefault(i, cast(v))
+                at.append(n)
+                rows.append(row)
+            kept = [c.take(pa.array(at, pa.int64())) for c in part.columns[:-1]]
+            made = [pa.array([r.get(i) for r in rows], CASTS[kind][0]) for i, (_, _, kind) in enumerate(fields)]
+            yield pa.RecordBatch.from_arrays([*kept, *made], names=[*KEYS, *(c for _, c, _ in fields)])
 
 
 def typed(rows: DataFrame, schema: dict[str, tuple[str, str]], snapshots: tuple[str, ...] = (), left_out: tuple[str, ...] = ()) -> DataFrame:
-    """seq, table_name, run_id, file_name, line_no, numbers, booleans, strings, arrays: every valid line, each field cast to its promoted type.
+    """seq, table_name, run_id, file_name, line_no and a column per field: every valid line in one table, each value cast to its field's promoted type.
 
-    schema: of every field that some line has its name in the table and its type, see ``consistent_schema``. A field is in the map of its type, whatever share of the files has it, so the
-    table's columns never change as files are added; names that differ only in case stay apart. Elements of arrays are texts, those that are no strings as JSON.
+    schema: of every field that some line has its name in the table and its type, see ``consistent_schema``. A field is a column whatever share of the
+    files has it, null where a line does not; names that differ only in case stay apart, see ``column_names``. Elements of arrays are texts, those that are no strings as JSON.
     """
-    keep = ["seq", "table_name", "run_id", "file_name", "line_no"]
-    return rows.select(*keep, "body").mapInArrow(partial(_typed, schema=schema, snapshots=snapshots, left_out=frozenset(left_out)), TYPED)
+    kinds = {name: kind for name, kind in schema.values()}
+    fields = [(f, c, kinds[f]) for f, c in column_names(list(kinds)).items()]
+    out = T.StructType([*(T.StructField(k, t) for k, t in KEYS.items()), *(T.StructField(c, CASTS[kind][1]) for _, c, kind in fields)])
+    return rows.select(*KEYS, "body").mapInArrow(partial(_typed, schema=schema, fields=fields, snapshots=snapshots, left_out=frozenset(left_out)), out)

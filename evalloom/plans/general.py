@@ -71,7 +71,7 @@ def p5_schema(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_table(spark: SparkSession, d: str) -> DataFrame:
-    """One table of all lines: every field of the union schema, under one name for all of its names, cast to its promoted type, in the map of that type."""
+    """One table of all lines: every field of the union schema, a column under one name for all of its names, cast to its promoted type."""
     logs = _logs(spark, d)
     return drift.typed(logs, drift.consistent_schema(logs, SNAPSHOTS), SNAPSHOTS)
 

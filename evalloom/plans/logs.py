@@ -143,9 +143,23 @@ def src16_bundle(spark: SparkSession, d: str) -> DataFrame:
     return r.select("domain", "correct", "wrong_similar", "wrong_obvious")
 
 
-@_query()
+def _generated_sql(n: int, seed: int, tier: int) -> str:
+    draw = lambda k: f"('0x' || substr(md5(id || '|{seed}|{tier}|{k}'), 1, 8))::BIGINT % {10 * tier + 9} + 2"
+    r = f"SELECT id, ['+', '-', '*', 'max', 'min', 'mod'][CAST(id % 6 + 1 AS INTEGER)] AS category, {draw(1)} AS a, {draw(2)} AS b FROM (SELECT unnest(range({n})) AS id)"
+    return f"SELECT id, category, 'Compute ' || a || ' ' || category || ' ' || b AS prompt, CAST(CASE category WHEN '+' THEN a + b WHEN '-' THEN a - b WHEN '*' THEN a * b WHEN 'max' THEN greatest(a, b) WHEN 'min' THEN least(a, b) ELSE a % b END AS VARCHAR) AS answer, {tier} AS tier FROM ({r})"
+
+
+_MADE = " UNION ALL ".join(f"SELECT prompt, id AS o, '{k}' AS difficulty FROM ({_generated_sql(600, 1, t)})" for k, t in (("easy", 1), ("medium", 2), ("hard", 4), ("expert", 8)))
+
+
+@_query(f"""WITH c AS (SELECT prompt, min(o) AS o, ('0x' || substr(sha256('17:' || prompt), 1, 14))::BIGINT / 72057594037927936.0 < 0.2 AS heldout FROM (SELECT prompt, ('0x' || substr(md5(item_id), 1, 12))::BIGINT AS o FROM eval_items) GROUP BY prompt),
+    p AS (SELECT * FROM c WHERE NOT heldout ORDER BY o, prompt LIMIT 500), g AS (SELECT 500 - count(*) AS gap FROM p),
+    f AS (SELECT prompt, min({{'o': o, 'd': difficulty}}) AS k FROM ({_MADE}) WHERE prompt NOT IN (SELECT prompt FROM c) GROUP BY prompt),
+    r AS (SELECT prompt, k.o AS o, k.d AS difficulty, row_number() OVER (PARTITION BY k.d ORDER BY k.o, prompt) AS rn, ceil(CASE k.d WHEN 'easy' THEN 0.25::DOUBLE WHEN 'medium' THEN 0.4::DOUBLE WHEN 'hard' THEN 0.25::DOUBLE ELSE 0.1::DOUBLE END * gap) AS quota, gap FROM f, g),
+    m AS (SELECT *, row_number() OVER (ORDER BY rn / quota, difficulty) AS place FROM r WHERE rn <= quota)
+    SELECT prompt, 0 AS tier, o, NULL::VARCHAR AS difficulty, false AS heldout FROM p UNION ALL SELECT prompt, 0, o, NULL, true FROM c WHERE heldout UNION ALL SELECT prompt, 1, o, difficulty, false FROM m WHERE place <= gap""")
 def src17_bank(spark: SparkSession, d: str) -> DataFrame:
-    curated = table(spark, d, "eval_items").select("prompt", F.xxhash64("item_id").alias("o"))
+    curated = table(spark, d, "eval_items").select("prompt", F.conv(F.substring(F.md5("item_id"), 1, 12), 16, 10).cast("long").alias("o"))
     tiers = {"easy": 1, "medium": 2, "hard": 4, "expert": 8}
     made = None
     for difficulty, tier in tiers.items():
@@ -154,7 +168,7 @@ def src17_bank(spark: SparkSession, d: str) -> DataFrame:
     return L.difficulty_bank(curated, made, "prompt", "o", 500, 0.2, 17)
 
 
-@_query()
+@_query(_generated_sql(1000, 7, 2))
 def src18_generated(spark: SparkSession, d: str) -> DataFrame:
     return L.generated(spark, 1000, 7, 2)
 

@@ -144,9 +144,9 @@ def top15_near_dup_filter(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query(
-    f"""WITH RECURSIVE p AS (SELECT seq, {_TOK} AS t FROM training_pool WHERE prompt IS NOT NULL), k AS (SELECT min(seq) AS a, list_sort(t) AS t FROM p WHERE len(t) > 0 GROUP BY 2),
-    s AS (SELECT x.a AS old, y.a AS new FROM k x JOIN k y ON x.a < y.a AND len(x.t) >= 0.85 * len(y.t) AND len(y.t) >= 0.85 * len(x.t) WHERE len(list_intersect(x.t, y.t)) / (len(x.t) + len(y.t) - len(list_intersect(x.t, y.t))) >= 0.85),
-    o AS (SELECT row_number() OVER (ORDER BY n.new) AS i, n.new AS id, n.olds AS olds FROM (SELECT new, list(old) AS olds FROM s GROUP BY new) n),
+    f"""WITH RECURSIVE p AS (SELECT seq, {_TOK} AS t FROM training_pool WHERE prompt IS NOT NULL), k AS MATERIALIZED (SELECT min(seq) AS a, list_sort(t) AS t FROM p WHERE len(t) > 0 GROUP BY 2),
+    s AS MATERIALIZED (SELECT x.a AS old, y.a AS new FROM k x JOIN k y ON x.a < y.a AND len(x.t) >= 0.85 * len(y.t) AND len(y.t) >= 0.85 * len(x.t) WHERE len(list_intersect(x.t, y.t)) / (len(x.t) + len(y.t) - len(list_intersect(x.t, y.t))) >= 0.85),
+    o AS MATERIALIZED (SELECT row_number() OVER (ORDER BY n.new) AS i, n.new AS id, n.olds AS olds FROM (SELECT new, list(old) AS olds FROM s GROUP BY new) n),
     f AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS barred UNION ALL SELECT o.i, CASE WHEN len(list_filter(o.olds, lambda x: NOT list_contains(f.barred, x))) > 0 THEN list_append(f.barred, o.id) ELSE f.barred END FROM f JOIN o ON o.i = f.i + 1),
     b AS (SELECT unnest(barred) AS id FROM (SELECT barred FROM f ORDER BY i DESC LIMIT 1))
     SELECT a AS seq FROM k WHERE a NOT IN (SELECT id FROM b) UNION ALL SELECT seq FROM training_pool WHERE prompt IS NULL UNION ALL SELECT seq FROM p WHERE len(t) = 0"""

@@ -80,7 +80,8 @@ def snk15_report(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(W.markdown("Cycle analysis", sections(spark, d)),)], "report string")
 
 
-@_query()
+@_query(f"""SELECT *, concat_ws('; ', CASE WHEN least_moved < 0.5 THEN 'few steps moved' END, CASE WHEN worst_loss_rise > 0 THEN 'loss rose' END, CASE WHEN worst_delta < -1e-4 THEN 'a domain got worse' END, CASE WHEN multi_fail > 0.1 THEN 'several checks fail' END, CASE WHEN any_fail > 0.66 THEN 'accepted despite failures' END) AS signals
+    FROM (SELECT min(moved_share) AS least_moved, max(last_loss - first_loss) AS worst_loss_rise FROM ({aggregates.SQL["agg1_training_health"]})), (SELECT min(delta) AS worst_delta FROM ({effects.SQL["agg2_damage_probe"]})), (SELECT max(multi_fail_share) AS multi_fail, max(any_fail_share) AS any_fail FROM ({aggregates.SQL["agg3_verifier_noise"]}))""")
 def agg_signals(spark: SparkSession, d: str) -> DataFrame:
     """One row of the report's signals, from its sections."""
     s = sections(spark, d)

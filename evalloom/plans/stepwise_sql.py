@@ -20,23 +20,23 @@ def swap(x: str, pattern: str, new: str = "") -> str:
 
 
 def _vote() -> str:
-    t = swap(f"lower({strip('response')})", r"^(the\s+)?(final\s+)?(answer|result|output|value|conclusion)\s*[:=]\s*")
-    t = swap(swap(t, r"^\\boxed\s*\{\s*"), r"\s*\}\s*$")
+    t = swap(f"lower({strip('response')})", T.VOTE_PREFIX)
+    t = swap(swap(t, T.BOX_OPENS), T.BOX_ENDS)
     t = f"trim({t}, {quoted(' .`' + chr(34) + chr(39))})"
-    n = f"regexp_extract(t, {quoted(r'(-?\d+(?:\.\d+)?(?:/\d+)?)')}, 1)"
+    n = f"regexp_extract(t, {quoted(T.VOTE_NUMBER)}, 1)"
     first, flat = strip(swap("string_split(t, chr(10))[1]", r"\s+", " ")), f"substr({swap('t', r'\s+', ' ')}, 1, 80)"
     return f"SELECT seq, CASE WHEN domain = 'math' AND {n} <> '' AND length(t) <= length({n}) + 10 THEN {n} WHEN domain = 'code' THEN {first} ELSE {flat} END AS value FROM (SELECT seq, domain, {t} AS t FROM training_pool)"
 
 
 def _latex() -> str:
-    box = quoted(r"\\boxed\s*\{([^{}]*(?:\{[^{}]*\}[^{}]*)*)\}")
+    box = quoted(T.BOXED)
     s0 = strip("response")
     s1 = f"CASE WHEN regexp_matches({s0}, {box}) THEN {strip(f'regexp_extract({s0}, {box}, 1)')} ELSE {s0} END"
-    x = strip(swap("s", r"^\$+|\$+$"))
-    x = strip(swap(x, r"(?i)^(?:the\s+)?(?:answer|result|solution|value)\s+is\s+"))
-    x = swap(x, r"\\frac\s*\{([^{}]*)\}\s*\{([^{}]*)\}", r"((\1)/(\2))")
-    x = swap(x, r"\\sqrt\s*\{([^{}]*)\}", r"sqrt(\1)")
-    for tex, plain in (("cdot", "*"), ("times", "*"), ("div", "/"), ("pi", "pi"), ("infty", "oo"), ("inf", "oo"), ("left", ""), ("right", ""), ("le", "<="), ("ge", ">=")):
+    x = strip(swap("s", T.DOLLARS))
+    x = strip(swap(x, T.ANSWER_IS))
+    x = swap(x, T.FRACTION, r"((\1)/(\2))")
+    x = swap(x, T.ROOT, r"sqrt(\1)")
+    for tex, plain in T.TEX:
         x = f"replace({x}, {quoted(chr(92) + tex)}, {quoted(plain)})"
     x = strip(f"rtrim({strip(swap(x, T.UNITS))}, '.!?,;:')")
     return f"SELECT seq, {x} AS value FROM (SELECT seq, {s1} AS s FROM training_pool)"
@@ -50,19 +50,19 @@ def choice(text: str = "text") -> str:
 
 
 def _fence() -> str:
-    t = swap("response", r"(?is)<think>.*?</think>")
-    pattern = quoted(r"(?s)```(?:python|py)?\s*\n(.*?)```")
-    blocks = f"list_filter(list_transform(regexp_extract_all(response, {quoted(r'(?s)```(?:python3?|py)?[ \t]*\n?(.*?)```')}, 1), lambda b: {strip('b')}), lambda b: b <> '')"
+    t = swap("response", T.THOUGHT)
+    pattern = quoted(T.FIRST_FENCE)
+    blocks = f"list_filter(list_transform(regexp_extract_all(response, {quoted(T.ANY_FENCE)}, 1), lambda b: {strip('b')}), lambda b: b <> '')"
     rest = "CASE WHEN contains(response, 'def ') THEN length(regexp_extract(response, '(?s)(def .*)', 1)) WHEN response IS NOT NULL THEN 0 END"
     return f"SELECT seq, CASE WHEN regexp_matches({t}, {pattern}) THEN regexp_extract({t}, {pattern}, 1) ELSE {t} END AS first, CAST(coalesce(list_max(list_transform({blocks}, lambda b: length(b))), {rest}) AS INTEGER) AS longest FROM training_pool"
 
 
 def _markdown() -> str:
-    one = strip(swap(strip("s"), r"^[-*•·]\s*"))
-    one = strip(swap(one, r"^(?:#{1,6}|>)+\s*"))
-    wrap = quoted(r"^\*{1,2}(.+?)\*{1,2}$")
+    one = strip(swap(strip("s"), T.BULLET))
+    one = strip(swap(one, T.HEADER))
+    wrap = quoted(T.WRAP)
     one = f"CASE WHEN regexp_matches({one}, {wrap}) THEN {strip(f'regexp_extract({one}, {wrap}, 1)')} ELSE {one} END"
-    one = strip(swap(f"({one})", r"(?:\*{1,3}|`+|_{1,2})"))
+    one = strip(swap(f"({one})", T.INLINE))
     return f"SELECT doc_id, md5(array_to_string(list_transform(string_split(text, chr(10)), lambda s: {one}), chr(10))) AS value FROM documents"
 
 
@@ -87,9 +87,9 @@ def _issues() -> str:
 
 
 def _equations() -> str:
-    ok = quoted(r"^\s*([A-Za-z_][A-Za-z_0-9]*|\([^()=]+\)|[^=]{1,60})\s*=\s*([^=<>!]+)$")
+    ok = quoted(T.EQUATION)
     side = lambda i: strip(f"regexp_extract(c, {ok}, {i})")
-    clauses = f"list_filter(regexp_split_to_array(text, {quoted(r'[\n;]|\. |, ')}), lambda c: regexp_matches(c, {ok}))"
+    clauses = f"list_filter(regexp_split_to_array(text, {quoted(T.CLAUSES)}), lambda c: regexp_matches(c, {ok}))"
     return f"SELECT doc_id, array_to_string(list_transform({clauses}, lambda c: {side(1)} || ' = ' || {side(2)}), chr(10)) AS value FROM documents"
 
 
@@ -126,7 +126,7 @@ def _clean() -> str:
 
 
 def _names() -> str:
-    line = r"^\s*(?:[-*\d+.)\s]*)\s*([A-Za-z][A-Za-z0-9 _/&-]{2,60})\s*$"
+    line = T.NAME_LINE
     name = f"trim({swap(f'lower({strip(f"regexp_extract(s, {quoted(line)}, 1)")})', '[^a-z0-9]+', '_')}, '_')"
     names = f"list_filter(list_transform(list_filter(string_split(text, chr(10)), lambda s: regexp_matches(s, {quoted(line)})), lambda s: {name}), lambda n: n <> '')"
     # each name where it stands first

@@ -35,7 +35,7 @@ def shared_dir(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     folder = f"file://{tempfile.mkdtemp(prefix='evalloom-')}"
     spark.conf.set("spark.checkpoint.dir", folder)
-    atexit.register(_remove, spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), folder)
+    atexit.register(remove, spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), folder)
     return folder
 
 
@@ -44,11 +44,11 @@ def run_dir(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if app not in _RUNS:
         _RUNS[app] = f"{shared_dir(spark)}/evalloom-{app}-{uuid.uuid4().hex[:8]}"
-        atexit.register(_remove, spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), _RUNS[app])
+        atexit.register(remove, spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), _RUNS[app])
     return _RUNS[app]
 
 
-def _remove(jvm, conf, folder: str) -> None:
+def remove(jvm, conf, folder: str) -> None:
     try:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(conf).delete(path, True)
@@ -60,7 +60,7 @@ def release(spark: SparkSession) -> None:
     """Remove all intermediates of this application. Results that were not read yet are lost, so call it between jobs of a long-lived driver."""
     folder = _RUNS.pop(spark.sparkContext.applicationId, None)
     if folder:
-        _remove(spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), folder)
+        remove(spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), folder)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

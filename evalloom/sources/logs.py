@@ -134,7 +134,7 @@ def difficulty_bank(curated: DataFrame, generated: DataFrame, prompt: str, order
 def generated(spark: SparkSession, n: int, seed: int, tier: int) -> DataFrame:
     """n rows of arithmetic problems, six kinds in turn, the same for the same seed and tier wherever they are made."""
     r = spark.range(n).withColumn("kind", (F.col("id") % 6).cast("int"))
-    draw = lambda k: (F.pmod(F.xxhash64(F.col("id"), F.lit(seed), F.lit(tier), F.lit(k)), F.lit(10 * tier + 9)) + 2)
+    draw = lambda k: F.conv(F.substring(F.md5(F.concat(F.col("id").cast("string"), F.lit(f"|{seed}|{tier}|{k}"))), 1, 8), 16, 10).cast("long") % (10 * tier + 9) + 2
     a, b = draw(1), draw(2)
     signs = ("+", "-", "*", "max", "min", "mod")
     op = F.element_at(F.array(*[F.lit(s) for s in signs]), F.col("kind") + 1)
