@@ -191,10 +191,11 @@ def candidates(sigs: DataFrame, threshold: float, shared: int = 2, history: tupl
     if history:
         rows = rows.unionByName(history[0].select("key", "ident", "b", F.lit(True).alias("old")))
         sets = sets.unionByName(history[1].select("class_id", "shingles", F.lit(True).alias("old")))
-    hot_keys = materialize(rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("key"), "hotkeys")
+    hot_keys = rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("key")
     n_hot = hot_keys.limit(HOT_KEYS + 1).count()
     hot = None
     if n_hot:
+        hot_keys = materialize(hot_keys, "hotkeys")
         side = F.broadcast(hot_keys) if n_hot <= HOT_KEYS else hot_keys
         hot = rows.join(side, "key", "left_semi").select(F.col("ident").alias("class_id"))
         rows = rows.join(side, "key", "left_anti")
