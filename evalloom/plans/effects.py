@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalloom.functions import stats as S
+from evalloom.functions import text as T
 from evalloom.operators import keyed as K
 from evalloom.session import table
 
@@ -263,13 +264,17 @@ def jon18_ranked_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query(
-    f"""WITH r AS (SELECT {_KEY} AS problem, response AS t, length(response) % 2 = 0 AS ok, min(seq) AS seq FROM training_pool WHERE response IS NOT NULL GROUP BY 1, 2, 3),
+    f"""WITH v AS (SELECT nullif(lower(trim(record_id)), '') AS rid, bool_or(quorum_accepted) AS ok FROM verifications GROUP BY 1), g AS (SELECT {_KEY} AS problem, response AS t, coalesce(v.ok, false) AS ok, seq FROM training_pool LEFT JOIN v ON nullif(lower(trim(verification_record_id)), '') = v.rid WHERE response IS NOT NULL),
+    r AS (SELECT problem, t, ok, min(seq) AS seq FROM g GROUP BY 1, 2, 3),
     a AS (SELECT *, row_number() OVER (PARTITION BY problem, ok ORDER BY seq) AS n FROM r),
     p AS (SELECT x.problem, x.t AS chosen, y.t AS rejected, row_number() OVER (PARTITION BY x.problem ORDER BY x.n, y.n) AS pair_no FROM a x JOIN a y ON x.problem = y.problem AND x.ok AND NOT y.ok AND x.t <> y.t)
     SELECT problem, chosen, rejected, CAST(pair_no AS INTEGER) AS pair_no FROM p WHERE pair_no <= 4"""
 )
 def jon19_preference_pairs(spark: SparkSession, d: str) -> DataFrame:
-    r = table(spark, d, "training_pool").select(F.expr(_KEY).alias("problem"), "seq", "response", (F.length("response") % 2 == 0).alias("ok"))
+    """Answers are right where the verification that they name accepted them."""
+    checks = table(spark, d, "verifications").groupBy(T.key("record_id").alias("rid")).agg(F.bool_or("quorum_accepted").alias("v"))
+    r = table(spark, d, "training_pool").select(F.expr(_KEY).alias("problem"), "seq", "response", T.key("verification_record_id").alias("rid")).join(checks, "rid", "left")
+    r = r.select("problem", "seq", "response", F.coalesce("v", F.lit(False)).alias("ok"))
     return K.preference_pairs(r, "problem", "seq", "ok", "response")
 
 

@@ -118,7 +118,7 @@ _OFFERS = "(VALUES ('boxed'), ('named'), ('next'))"
 
 
 @_query(f"""WITH w AS (SELECT item_id, domain, trim(string_split(answer, '####')[-1]) AS w, offer FROM eval_items, {_OFFERS} o(offer)), r AS (SELECT *, CASE offer WHEN 'boxed' THEN 'The answer is \\boxed{{' || w || '}}' WHEN 'named' THEN 'x = ' || w || '.0' ELSE CAST(w::BIGINT + 1 AS VARCHAR) END AS r FROM w)
-    SELECT item_id, offer, CASE WHEN domain = 'math' THEN offer <> 'next' AND offer <> 'named' OR offer = 'named' AND false WHEN domain <> 'code' THEN contains(lower(r), lower(w)) OR contains(lower(w), lower(r)) END AS ok FROM r""")
+    SELECT item_id, offer, CASE WHEN domain = 'math' THEN offer = 'boxed' WHEN domain <> 'code' THEN contains(lower(r), lower(w)) OR contains(lower(w), lower(r)) END AS ok FROM r""")
 def grd11_canonical_grade(spark: SparkSession, d: str) -> DataFrame:
     """Three answers to each item, graded by its domain's rule: the canonical one in a box, a named value, and the next number."""
     want = T.hash_marked_answer(F.col("answer"))
