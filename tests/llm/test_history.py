@@ -91,6 +91,23 @@ def test_coverage_and_empty(spark):
     assert H.coverage(none).count() == 0 and H.repeated_problems(none, k=3, threshold=0.5).count() == 0
 
 
+def test_coverage_does_not_depend_on_the_waves(spark):
+    rnd = random.Random(12)
+    lines = [f"line {i} has its own words" for i in range(25)]
+    rows = [(f"s{rnd.randrange(6)}", f"p{i}", ". ".join(rnd.sample(lines, rnd.randrange(1, 5))), float(rnd.randrange(9))) for i in range(60)]
+    began = {}
+    for s, _, _, at in rows:
+        began[s] = min(began.get(s, at), at)
+    turn = {s: (b, s) for s, b in began.items()}
+    want = {}
+    for s, p, t, _ in rows:
+        before = [x for x in rows if turn[x[0]] < turn[s]]
+        seen = {q for x in before for q in x[2].split(". ")}
+        want[p] = (any(x[2] == t for x in before), 6 * len(t.split(". ")), 6 * sum(q in seen for q in t.split(". ")))
+    for n in (1, 2, 5):
+        assert {r.problem_id: (r.full_copy, r.n_words, r.seen_words) for r in H.coverage(table(spark, rows), n_waves=n).collect()} == want
+
+
 def test_index_is_incremental_and_probes_without_shuffling_the_history(spark, tmp_path):
     x = H.HistoryIndex(spark, f"file://{tmp_path}", "h1", buckets=4)
     one = spark.createDataFrame([("a", "First line. Second line."), ("b", None)], "id string, t string")
@@ -101,5 +118,10 @@ def test_index_is_incremental_and_probes_without_shuffling_the_history(spark, tm
     assert spark.table("h1_content").count() == 1 and spark.table("h1_paragraphs").count() == 2
     got = {r.ident: (r.full_copy, r.n_words, r.seen_words) for r in x.probe(two, "id", "t").collect()}
     assert got == {"c": (False, 4, 2), "d": (True, 4, 0)}
+    lines = x._known(two.select(H.content_hash("t").alias("hash")), "content")._jdf.queryExecution().executedPlan().toString().split("\n")
+    at = next(i for i, line in enumerate(lines) if "h1_content" in line)
+    shuffles = [i for i, line in enumerate(lines) if "Exchange" in line]
+    # the last shuffle is on the batch's side: its rows come from between it and the history's scan
+    assert "Bucketed: true" in lines[at] and max(shuffles) < at and any("ExistingRDD" in line or "LocalTableScan" in line for line in lines[max(shuffles) : at])
     x.append(two, "t", "two")
     assert {r.batch for r in spark.table("h1_paragraphs").collect()} == {"one", "two"}
