@@ -30,6 +30,7 @@ _FORMAT = re.compile("[" + re.escape("".join(chr(c) for c in (*range(0x20000), *
 _CODE = re.compile(r"^[ \t]*(?:async[ \t]+)?(?:def|class)[ \t]+\w+", re.M)
 
 
+@lru_cache(maxsize=16)  # each test of a row asks for it
 def visible(text: str | None) -> str:
     """Without thoughts and characters that show nothing, stripped."""
     if not text:
@@ -163,10 +164,13 @@ def is_copy(prompt: str, response: str | None) -> bool:
     """Nearly all words lie in tiles of the prompt, as do the prompt's in tiles of the response, and no part that stands by itself adds anything."""
     t = visible(response)
     text = words(t)
-    pattern, places = _pattern(prompt)
+    pattern, own = _pattern(prompt)
     if text == pattern or len(text) < LEAST or len(pattern) < LEAST:
         return bool(text) and text == pattern
-    # no tiling covers more than all runs of the pattern do
+    # no tiling covers more than the pattern's words, or more than all runs of the pattern do
+    if sum(map(own.__contains__, text)) < 0.7 * len(text):
+        return False
+    places = _places(pattern, LEAST)
     runs = 0
     end = 0
     for j in range(len(text) - LEAST + 1):
@@ -269,9 +273,9 @@ def _asked(prompt: str) -> str | None:
 
 
 @lru_cache(maxsize=4096)
-def _pattern(prompt: str) -> tuple[list[str], dict[tuple[str, ...], list[int]]]:
+def _pattern(prompt: str) -> tuple[list[str], frozenset[str]]:
     w = words(prompt)
-    return w, _places(w, LEAST)
+    return w, frozenset(w)
 
 
 def in_other_language(prompt: str, response: str) -> bool:
