@@ -114,7 +114,7 @@ def headers(rows: DataFrame, snapshots: tuple[str, ...] = (), left_out: tuple[st
     return h.filter("path is not null").groupBy("file_id", "path").agg(F.bit_or("kind").alias("kinds")), h.filter("cycle is not null").select("file_id", "cycle").distinct()
 
 
-def changes(rows: DataFrame, snapshots: tuple[str, ...] = (), left_out: tuple[str, ...] = ()) -> DataFrame:
+def changes(rows: DataFrame, snapshots: tuple[str, ...] = (), left_out: tuple[str, ...] = (), known: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """table_name, run_id, file_name, change_kind, field_path, new_path: what differs from the file before of the same run and table.
 
     rows: table_name, run_id, file_name, written_at, body. Files follow each other by written_at, then name; when they
@@ -122,8 +122,9 @@ def changes(rows: DataFrame, snapshots: tuple[str, ...] = (), left_out: tuple[st
     file has the type "mixed" of just these. A rename is found without comparing every pair of fields: over the cycles that both files
     report, each field that left or came is reduced to one fingerprint of its cycles and values, and equal ones are joined; of files in which
     nothing left or nothing came, no value is read. A run of one file has no changes; an empty table gives no rows.
+    known: what ``headers`` gave for the same rows, if it was asked before.
     """
-    header, said = headers(rows, snapshots, left_out)
+    header, said = known or headers(rows, snapshots, left_out)
     files = rows.groupBy("table_name", "run_id", "file_name").agg(F.min("written_at").alias("written_at")).withColumn("file_id", file_id())
     w = Window.partitionBy("table_name", "run_id").orderBy("written_at", "file_name")
     steps = files.withColumn("before", F.lag("file_id").over(w)).filter("before is not null")
@@ -177,9 +178,10 @@ def consistent_schema(rows: DataFrame, snapshots: tuple[str, ...] = (), left_out
 
     Names are only joined where no file has both. The driver holds field names and renames, of which there are few whatever the rows.
     """
-    header, _ = headers(rows, snapshots, left_out)
+    known = headers(rows, snapshots, left_out)
+    header = known[0]
     fields = {r["path"]: (r["kinds"], r["n"]) for r in header.groupBy("path").agg(F.bit_or("kinds").alias("kinds"), F.count("*").alias("n")).collect()}
-    edges = changes(rows, snapshots, left_out).filter("change_kind = 'renamed'").groupBy("field_path", "new_path").agg(F.count("*").alias("n")).collect()
+    edges = changes(rows, snapshots, left_out, known).filter("change_kind = 'renamed'").groupBy("field_path", "new_path").agg(F.count("*").alias("n")).collect()
     name = {p: p for p in fields}
     for _, a, b in sorted((-r["n"], r["field_path"], r["new_path"]) for r in edges):
         if a in name and b in name and name[a] != name[b]:
