@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from evalloom.llm.words import mix, shingle_sets
 from evalloom.operators.pairs import pairs_within
-from evalloom.operators.ranked import prefix_pairs
+from evalloom.operators.prefixes import prefix_pairs
 from evalloom.session import materialize, parallelism
 
 #: B hashes of a text.

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalloom.operators.pairs import pairs_within
+from evalloom.operators.prefixes import prefix_pairs
 from evalloom.operators.totals import with_totals
 from evalloom.session import materialize
 
@@ -91,22 +92,6 @@ def difficulty_mix(cycle: Column, score: Column) -> dict[str, Column]:
     return {k: EARLY[k] * (1 - t) + LATE[k] * t for k in EARLY}
 
 
-def prefix_pairs(sets: DataFrame, ident: str, tokens: str, threshold: float, old: str | None = None) -> DataFrame:
-    """a < b: ids whose sets may have the Jaccard similarity ``threshold``; every pair that has it is among them.
-
-    Only the rarest tokens of a set are matched, as many as every partner must share one of, so common tokens pair nobody; sets of
-    too different sizes are passed over. sets: one row per id, distinct tokens. Empty sets pair with nothing. Two rows whose
-    boolean column ``old`` is true are no pair.
-    """
-    words = sets.select(F.col(ident).alias("id"), (F.col(old) if old else F.lit(False)).alias("old"), F.explode(tokens).alias("w"))
-    df = words.groupBy("w").agg(F.count("*").alias("df"))
-    order = words.join(df, "w").groupBy("id", "old").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("o"))
-    n = F.size("o")
-    prefix = order.select("id", "old", n.alias("n"), F.explode(F.slice("o", 1, n - F.ceil(n * threshold).cast("int") + 1)).alias("x")).filter("x.df > 1").select("id", "old", "n", F.col("x.w").alias("w"))
-    p = pairs_within(prefix, "w", "id", ("n", "old")).filter(f"n_a >= n_b * {threshold} and n_b >= n_a * {threshold} and not (old_a and old_b)")
-    return p.select("a", "b").distinct()
-
-
 def near_pairs(sets: DataFrame, ident: str, tokens: str, threshold: float) -> DataFrame:
     """a < b, similarity: all pairs of token sets at or above the threshold, exactly, by prefix filtering.
 
