@@ -116,7 +116,7 @@ def _classes(sets: DataFrame, ident: str, tokens: str, threshold: float) -> tupl
     side = lambda c: one.select(F.col("cls").alias(c), F.col("t").alias(f"t_{c}"), F.col("first").alias(f"first_{c}"))
     cand = prefix_pairs(one, "cls", "t", threshold)
     links = cand.join(side("a"), "a").join(side("b"), "b").filter(jaccard(F.col("t_a"), F.col("t_b")) >= threshold)
-    return s.select("id", "cls"), one.select("cls", "first"), links.select("a", "b", "first_a", "first_b")
+    return s.select("id", "cls"), one.select("cls", "first"), materialize(links.select("a", "b", "first_a", "first_b"), "alike")
 
 
 def without_earlier_like(sets: DataFrame, ident: str, tokens: str, threshold: float) -> DataFrame:

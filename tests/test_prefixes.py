@@ -29,3 +29,12 @@ def test_written_intermediates_leave_no_shuffle_files(spark):
     t = session.materialize(spark.range(20_000).repartition(5, "id").groupBy("id").count(), "some")
     left = files() - before
     assert t.count() == 20_000 and not left
+
+
+def test_the_filter_leaves_only_its_own_last_shuffles(spark, monkeypatch):
+    """The links are written before the result is asked for, so that candidates are not formed in the plan that is returned."""
+    from evalloom.operators.ranked import without_earlier_like
+
+    df = spark.createDataFrame([(i, [f"w{x}" for x in range(20) if x != i % 7]) for i in range(50)], "i long, t array<string>")
+    kept = without_earlier_like(df, "i", "t", 0.85)
+    assert "MapInArrow" not in kept._jdf.queryExecution().toString() and [r.i for r in kept.collect()] == [0]
