@@ -92,3 +92,15 @@ def test_share_of_met_tables_follows_the_formula():
 def test_shingle_sets_of_a_batch_do_not_run_into_each_other():
     a, b, c = shingle_sets(["a b c d", None, "c d e"], 3)
     assert (len(a), len(b), len(c)) == (2, 0, 1) and not set(a.tolist()) & set(c.tolist())
+
+
+def test_passes_and_sketches_lose_nothing_and_write_no_chance_meetings(spark, monkeypatch):
+    rows = corpus(6, 80)
+    whole = found(spark, rows, k=3, threshold=0.5)
+    monkeypatch.setattr(X, "PASS", 900)
+    assert found(spark, rows, k=3, threshold=0.5) == whole
+    # texts that share two fifths of their words meet by chance, and are not written
+    shared = [f"s{x}" for x in range(16)]
+    texts = [" ".join([*shared, *(f"o{i}x{j}" for j in range(24))]) for i in range(200)]
+    sigs = X.signatures(spark.createDataFrame(list(enumerate(texts)), "text_id long, text string"), 1, 20)
+    assert 4 * X.candidates(sigs, 0.5).count() < X.candidates(sigs, 0.0).count()
