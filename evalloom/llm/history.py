@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from evalloom.llm import tensored
 from evalloom.operators.pairs import settled
-from evalloom.session import materialize, parallelism, run_dir
+from evalloom.session import materialize, parallelism, run_dir, shuffles_removed
 
 _NORMAL = "trim(regexp_replace(lower({}), '[^\\\\p{{L}}\\\\p{{N}}]+', ' '))"
 #: Waves of successive batches in which a whole table is fed to an index.
@@ -83,7 +83,8 @@ class HistoryIndex:
     def _append(self, name: str, rows: DataFrame) -> None:
         """Add rows that do not come from the table itself, which cannot be read and appended to at once."""
         key = self.TABLES[name].split(" ")[0]
-        rows.select(self._table(name).columns).repartition(self.buckets, key).write.mode("append").format("parquet").bucketBy(self.buckets, key).sortBy(key).saveAsTable(f"{self.name}_{name}")
+        with shuffles_removed(self.spark):
+            rows.select(self._table(name).columns).repartition(self.buckets, key).write.mode("append").format("parquet").bucketBy(self.buckets, key).sortBy(key).saveAsTable(f"{self.name}_{name}")
 
     # -- full copies and shared paragraphs
 
@@ -135,7 +136,6 @@ class HistoryIndex:
         held = materialize(held.select("session_id", "problem_id", "class_id", "turn"), "held")
         same = None
         if filled:
-            sigs = materialize(sigs, "classes")
             old = materialize(self._of("keys", "key", tensored.keyed(sigs).select("key")), "oldkeys")
             # with the sets of the run's own classes: shingles that the history has, from a text written otherwise
             sets = materialize(self._of("sets", "class_id", old.select(F.col("ident").alias("class_id")).unionByName(sigs.select("class_id"))), "oldsets")
@@ -143,7 +143,6 @@ class HistoryIndex:
             sigs = sigs.join(sets.select("class_id"), "class_id", "left_anti")
             links = tensored.links_to(sigs, (old, sets), self.threshold)
         else:
-            sigs = materialize(sigs, "classes")
             links = tensored.similar_classes(sigs, self.threshold)
 
         first = held.groupBy("class_id").agg(F.min("turn").alias("first"))
